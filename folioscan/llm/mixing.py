@@ -51,19 +51,25 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.tolist()
 
 
+def _round(x: np.ndarray, half: np.ndarray, mask: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Four rounds of a balanced Feistel network on numbers of 2 * half bits."""
+    left, right = x >> half, x & mask
+    for r in range(4):
+        y = (right + key + np.uint64(r * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        y ^= y >> np.uint64(31)
+        y *= np.uint64(0x94D049BB133111EB)
+        left, right = right, left ^ ((y >> np.uint64(29)) & mask)
+    return left << half | right
+
+
 def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The k-th element of a pseudorandom permutation of 0..n-1 for each row: a Feistel network, walked until it is inside."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = k.astype(np.uint64), np.arange(len(k))
     while len(todo):
-        left, right = out[todo] >> half[todo], out[todo] & mask[todo]
-        for r in range(4):
-            x = (right + key[todo] + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((x >> np.uint64(29)) & mask[todo])
-        out[todo] = left << half[todo] | right
+        with np.errstate(over="ignore"):
+            out[todo] = _round(out[todo], half[todo], mask[todo], key[todo])
         todo = todo[out[todo] >= n[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
@@ -151,7 +157,8 @@ class Mix:
                 to = np.searchsorted(under_at, rank, "right")
                 own[extra], number[extra] = to, totals[to] + rank - (under_at - under)[to]
                 turn = number // blocks[own]
-                key = (own.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + turn.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                with np.errstate(over="ignore"):
+                    key = (own.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + turn.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
                 index = permuted(number % blocks[own], blocks[own], key)
                 yield pa.record_batch([pa.array(np.repeat(shard, n)), pa.array(own.astype(np.int32)), pa.array(turn.astype(np.int32)), pa.array(index)], ["shard", "k", "pass", "index"])
 

@@ -121,6 +121,12 @@ def labelled() -> list[tuple[list[str], list[str]]]:
         for t in others:
             words = [*before.split(), *t.split(), *after.split()]
             rows.append((words, ["O"] * len(words)))
+    kinds = list(forms)
+    for a in kinds:  # a span right behind another
+        for b in kinds:
+            own = [(k, forms[k][i].split()) for k, i in ((a, 0), (b, -1))]
+            rows.append((["of", *own[0][1], *own[1][1], "is"], ["O", *(f"{'I' if i else 'B'}-{k}" for k, w in own for i in range(len(w))), "O"]))
+            rows.append(([*forms[a][-1].split(), *forms[b][0].split()], [f"{'I' if i else 'B'}-{k}" for k, j in ((a, -1), (b, 0)) for i in range(len(forms[k][j].split()))]))
     return rows
 
 
