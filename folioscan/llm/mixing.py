@@ -79,7 +79,10 @@ def n_words(text: Column) -> Column:
 
 
 class Mix:
-    """The tables of a mix of docs (doc_id, text, source); see `taken`, `slots`, `pieces`."""
+    """The tables of a mix of docs (doc_id, text, source); see `taken`, `slots`, `pieces`.
+
+    Slots come from a small range of shards, so Spark would take them for small: joins with them are hinted not to broadcast.
+    """
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, buckets: int = BUCKETS, seed: int = 1):
         self.block, self.n_slots, self.seed = block, slots, seed
@@ -139,7 +142,7 @@ class Mix:
         groups = drawn.groupBy("g", "k").agg(F.sum("n").alias("n"))
         base = groups.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("g", "k", "base")
         inside = Window.partitionBy("g", "k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, ["g", "k"]).withColumn("first", F.col("first") + F.col("base"))
+        numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base.hint("merge"), ["g", "k"]).withColumn("first", F.col("first") + F.col("base"))
         totals = np.zeros(len(quota), np.int64)
         for r in groups.groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row for each source
             totals[r["k"]] = r["n"]
@@ -166,12 +169,12 @@ class Mix:
 
     def join(self) -> DataFrame:
         """shard, k, pass, index, doc_id, start, words: what the mix holds, piece by piece."""
-        return self.slots().join(self.pieces(), ["k", "index"])
+        return self.slots().hint("merge").join(self.pieces(), ["k", "index"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for every row; taken counts the words that the mix takes, with repeats."""
         often = self.slots().groupBy("k", "index").agg(F.count("*").alias("times"))
-        words = self.pieces().join(often, ["k", "index"]).groupBy("k", "doc_id").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
+        words = self.pieces().join(often.hint("merge"), ["k", "index"]).groupBy("k", "doc_id").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
         rows = self.sized.alias("l").join(F.broadcast(self.sources).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("k", "doc_id", "size", "source_size", "target")
         same = (F.col("l.k") == F.col("r.k")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
         return rows.alias("l").join(words.alias("r"), same, "left").select("l.doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
