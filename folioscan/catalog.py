@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from folioscan.plans import retrieval_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**text_queries.QUERIES, **retrieval_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**text_queries.SQL, **retrieval_queries.SQL}
