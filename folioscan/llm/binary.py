@@ -6,7 +6,7 @@ A file set is a folder with three Parquet tables (so any store that Spark writes
   index over them: for each document its id, the byte at which its frame ends, its number of ids, and the ids before it
   in this range. `dictionary_sha256` says which dictionary opens them.
 - `ranges`: the ids in each range of doc_ids; with them a document's start in the whole corpus follows.
-Documents are in ascending doc_id order; rows of equal doc_id are ordered by their ids' SHA-256; null doc_ids come first.
+Documents are in ascending doc_id order; rows of equal doc_id are ordered by their text's XXH64; null doc_ids come first.
 A null or empty text is a document of the end id alone.
 """
 
@@ -146,14 +146,6 @@ def write_ids(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", end:
     digest = hashlib.sha256(shared).hexdigest()
     spark.createDataFrame([(digest, bytearray(shared))], "dictionary_sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared), write_content_size=True)
-        for part in slices(batches, "ids"):
-            ids = part.column("ids").to_pylist()
-            frames = [press.compress(x) for x in ids]
-            tie = [hashlib.sha256(x).digest()[:8] for x in ids]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(tie, pa.binary()), pa.array(frames, pa.binary())], ["doc_id", "n", "tie", "frame"])
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = start = shard = 0
@@ -170,20 +162,25 @@ def write_ids(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", end:
         from pyspark import TaskContext
 
         held_range = TaskContext.get().partitionId()
-        for part in slices(batches, "frame"):
-            for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "frame")), strict=True):
-                if held and size + len(row[2]) > shard_bytes:
+        coder, last = load(vocabulary(file)), struct.pack("<I", end)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared), write_content_size=True)
+        for part in slices(batches):
+            ids = [x + last for x in coder.encode([t or "" for t in part.column("text").to_pylist()])]
+            for doc_id, x in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+                frame = press.compress(x)
+                if held and size + len(frame) > shard_bytes:
                     out = flush()
                     yield out
                     start += out.column("range_tokens")[0].as_py()
                     held, size, shard = [], 0, shard + 1
-                held.append(row)
-                size += len(row[2])
+                held.append((doc_id, len(x) // 4, frame))
+                size += len(frame)
         if held:
             yield flush()
 
-    packed = encode_ids(docs, file, end).mapInArrow(pack, "doc_id long, n long, tie binary, frame binary")
-    ordered = packed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "frame")
+    # Texts are dealt to ranges before they are encoded: finding the ranges reads the input twice, and encodes nothing twice.
+    rows = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     shards = ordered.mapInArrow(gather, "range int, shard int, doc_ids array<long>, frame_ends array<long>, n_tokens array<long>, starts array<long>, frames binary, dictionary_sha256 string, range_tokens long")
     shards.write.option("compression", "none").parquet(f"{path}/shards")
     index = spark.read.parquet(f"{path}/shards")

@@ -44,7 +44,7 @@ def keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nd
 class WordMemo:
     """new: gives the ids of each of some words, as little-endian unsigned 32-bit integers. most: words kept."""
 
-    def __init__(self, new: Callable[[list[bytes]], list[bytes]], most: int = 1_200_000):
+    def __init__(self, new: Callable[[list[bytes]], list[bytes]], most: int = 800_000):
         self.new, self.most = new, most
         self.clear()
 
