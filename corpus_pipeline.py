@@ -8,25 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import bpe, language, mixing, pii, simhash
-from folioscan.llm.common import crc_mod, shared_dir
+from folioscan.llm.common import crc_mod, map_rows, shared_dir
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that lie too far from every language, and those without a letter; lang becomes the predicted one."""
     model = language.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
         import pyarrow as pa
 
         from folioscan.llm.common import slices
 
-        for part in slices(batches):
-            named, _, rejected = model.predict(part.column("text").to_pylist())
-            at = part.schema.get_field_index("lang")
-            out = part.set_column(at, part.schema.field(at), pa.array(named, part.schema.field(at).type))
+        for part in slices(batches, f"c{text}"):
+            named, _, rejected = model.predict(part.column(text).to_pylist())
+            out = part.set_column(lang, part.schema.field(lang), pa.array(named, part.schema.field(lang).type))
             yield out.filter(pa.array([not r for r in rejected]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

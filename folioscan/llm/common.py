@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step holds at a time.
 SLICE_BYTES = 4 << 20
@@ -19,6 +20,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{df.columns.index(n)}").alias(n) for n in names))
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """run over all columns, which it gets and gives back as c0, c1, ...; names may clash, and stay."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kinds = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, df.schema.fields, strict=True)])
+    return df.toDF(*names).mapInArrow(run, kinds).toDF(*df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of a column; one row may exceed it."""
     for batch in batches:

@@ -8,7 +8,7 @@ permutation for each pass; the mix is the join of slots and blocks by (source, i
 Everything random is a hash of a seed, so reruns agree. The order of words in a source is that of (bucket, doc_id).
 
 Null and empty texts have no words and take no place; a null source is a source of its own, the last; rows that repeat a
-doc_id are packed as they come, and counted together. No table of more than a row for each source or bucket is broadcast
+doc_id are packed and counted each for itself (in `mixed_texts` they share their pieces). No table of more than a row for each source or bucket is broadcast
 or collected.
 """
 
@@ -103,19 +103,27 @@ class Mix:
         self.table = [(i, s, n, t, b, q) for i, ((s, n), t, b, q) in enumerate(zip(totals, goal, blocks, quota, strict=True))]
         self.sources = spark.createDataFrame(self.table, "k int, source string, source_size long, target double, blocks long, quota long")
         self.starts = starts.select("source", "bucket", "base")
+        self._placed: DataFrame | None = None
+
+    def placed(self) -> DataFrame:
+        """k, doc_id, size, at: the place of every row's first word among its source's words; rows without words are left out."""
+        if self._placed is None:
+            inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+            rows = self.sized.filter("size > 0").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.bucket") == F.col("r.bucket"))
+            rows = rows.alias("l").join(self.starts.alias("r"), same).select("doc_id", "l.source", "size", (F.col("before") + F.col("base")).alias("at"))
+            named = rows.alias("l").join(F.broadcast(self.sources.select("k", "source")).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
+            self._placed = cut(named.select("k", "doc_id", "size", "at"))
+        return self._placed
 
     def pieces(self) -> DataFrame:
-        """k, index, doc_id, start, words: the part of a document (from word start) that a block holds."""
-        inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        placed = self.sized.filter("size > 0").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.bucket") == F.col("r.bucket"))
-        placed = placed.alias("l").join(self.starts.alias("r"), same).select("doc_id", "l.source", "size", (F.col("before") + F.col("base")).alias("at"))
-        named = placed.alias("l").join(F.broadcast(self.sources.select("k", "source")).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("k", "doc_id", "size", "at")
+        """k, index, doc_id, at, start, words: the part of a row (from word start) that a block holds."""
+        named = self.placed()
         b = F.lit(self.block)
         cuts = named.withColumn("index", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))))
         start = F.greatest(F.lit(0), F.col("index") * b - F.col("at"))
         end = F.least(F.col("size"), (F.col("index") + 1) * b - F.col("at"))
-        return cuts.select("k", "index", "doc_id", start.alias("start"), (end - start).alias("words"))
+        return cuts.select("k", "index", "doc_id", "at", start.alias("start"), (end - start).alias("words"))
 
     def slots(self) -> DataFrame:
         """shard, k, pass, index: the blocks of every shard of the mix."""
@@ -168,16 +176,18 @@ class Mix:
         return numbered.select("shard", "k", "n", "first").mapInArrow(expand, "shard long, k int, pass int, index long")
 
     def join(self) -> DataFrame:
-        """shard, k, pass, index, doc_id, start, words: what the mix holds, piece by piece."""
+        """shard, k, pass, index, doc_id, at, start, words: what the mix holds, piece by piece."""
         return self.slots().hint("merge").join(self.pieces(), ["k", "index"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for every row; taken counts the words that the mix takes, with repeats."""
         often = self.slots().groupBy("k", "index").agg(F.count("*").alias("times"))
-        words = self.pieces().join(often.hint("merge"), ["k", "index"]).groupBy("k", "doc_id").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
-        rows = self.sized.alias("l").join(F.broadcast(self.sources).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("k", "doc_id", "size", "source_size", "target")
-        same = (F.col("l.k") == F.col("r.k")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-        return rows.alias("l").join(words.alias("r"), same, "left").select("l.doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+        words = self.pieces().join(often.hint("merge"), ["k", "index"]).groupBy("k", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        some = self.placed().join(words, ["k", "at"], "left").join(F.broadcast(self.sources), "k")
+        named = F.col("l.source").eqNullSafe(F.col("r.source"))
+        empty = self.sized.filter("size = 0").alias("l").join(F.broadcast(self.sources).alias("r"), named).withColumn("taken", F.lit(0))
+        columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
+        return some.select(*columns).unionByName(empty.select(*columns))
 
 
 #: Shards whose draws are numbered together.
@@ -191,31 +201,35 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """
     mix = Mix(docs, **options)
     runs = mix.join().groupBy("doc_id", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
-    rows = docs.join(runs, "doc_id").drop("pass")
-    at, names = rows.columns.index("runs"), docs.columns
-    text = names.index("text")
+    names, own_names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*own_names)
+    own = plain.columns[names.index("doc_id")]
+    rows = plain.join(runs, F.col(own).eqNullSafe(F.col("doc_id"))).select(*plain.columns, "runs")
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         # The words of the contract are those between ASCII blanks; a cut keeps the white space between its words.
         word = re.compile("[^ \t-\r]+")
-        for part in slices(batches):
+        for part in slices(batches, f"c{text}"):
             texts = []
-            for t, taken in zip(part.column(text).to_pylist(), part.column(at).to_pylist(), strict=True):
-                spans, out, end = [m.span() for m in word.finditer(t)], [], -1
+            for t, taken in zip(part.column(text).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                spans, out, end = [m.span() for m in word.finditer(t or "")], [], -1
                 for r in taken:
-                    a, b = r["start"], r["start"] + r["words"]
+                    a, b = r["start"], min(r["start"] + r["words"], len(spans))
+                    if a >= b:  # a piece of another row with this doc_id
+                        continue
                     if a == end:
                         out[-1] = (out[-1][0], spans[b - 1][1])
                     else:
                         out.append((spans[a][0], spans[b - 1][1]))
                     end = b
                 texts.append("\n".join(t[a:b] for a, b in out))
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
-            yield pa.record_batch([new.get(n, part.column(i)) for i, n in enumerate(names)], names)
+            new = {text: pa.array(texts, pa.string()), chars: pa.array(map(len, texts), pa.int64())}
+            yield pa.record_batch([new.get(i, part.column(i)) for i in range(len(names))], own_names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pick, slices
+from .common import documents, map_rows, pick, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -239,10 +239,11 @@ def plausible(kind: int, text: str) -> bool:
     """What a span of the field must hold to be kept."""
     digits = sum(c.isdigit() for c in text)
     if kind == 0:
-        return bool(re.search(r"[\[(]at[\])]", text)) and bool(re.search(r"\.[A-Za-z]{2}|[\[(]dot[\])]", text))
+        return bool(re.search(r"[\[(]at[\])]", text)) and "@" not in text and bool(re.search(r"\.[A-Za-z]{2}|[\[(]dot[\])]", text))
     if kind == 3:
         return 10 <= digits <= 11 and bool(re.match(r"\+|\(?[0-9]{3}[)\s.-]", text))
-    return False  # the patterns already hold every address and card that is whole
+    whole = base_spans(text)  # an address or card that the patterns miss for the digits beside it
+    return any(k == kind and (a, b) == (0, len(text)) for a, k, b in whole)
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
@@ -322,11 +323,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, f"c{at}"):
             masked = pa.array([t and mask(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
             yield pa.record_batch([masked if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def joined(found: Column) -> Column:
@@ -335,5 +336,5 @@ def joined(found: Column) -> Column:
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     rows = find(documents(spark, sf_dir)).withColumn("own", F.filter("spans", lambda x: x["base"]))
-    counts = [F.size(F.filter("own", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.expr(f"filter(own, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(joined(F.col("own")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
