@@ -42,7 +42,7 @@ def text_counts(texts: list[str], window: int = 5) -> dict[str, np.ndarray]:
     out["n_lines"] = np.array([len(x) for x in lines], np.int64)
     out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in lines], np.int64)
     doc = np.repeat(np.arange(len(texts)), out["n_words"])
-    out["n_short"] = np.bincount(doc[length <= 3], minlength=len(texts)).astype(np.int64)
+    out["n_short"] = np.bincount(doc[(length <= 3) & _LETTER[data[start]]], minlength=len(texts)).astype(np.int64)
     ids = word_ids(data, start, length).astype(np.int64)
     repeated = np.zeros(len(ids), bool)
     if len(ids) >= window:
@@ -83,7 +83,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "length": (F.col("n_words") < 10, F.col("n_words") >= 50),
         "letters": (letters < 0.6, letters > 0.8),
         "upper": (upper > 0.4, upper < 0.15),
-        "short_words": (short < 0.01, short > 0.1),
+        "short_words": (short < 0.02, short > 0.1),
         "word_length": ((mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
     }
 
