@@ -10,13 +10,22 @@ SAMPLE_CHARS = 24_000_000
 
 
 def choose(labelled: DataFrame, label: str, each: int, most: int = 20_000, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """doc_id and label of at most `each` rows of every label value, those of least hash of doc_id.
+    """doc_id and label of at most `each` rows of every label value, those of least hash of doc_id
+    (a few less if the hash is uneven).
 
     labelled has doc_id, the label and n (characters of the text). Rows come in turn from every label value until `most`
     rows or `chars` characters are there, so the sample's size is bounded whatever the input is.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.dropna(subset=["doc_id", label]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
+    known = labelled.dropna(subset=["doc_id", label])
+    # Rows are ranked only below a hash that about twice `each` rows of their label reach, so no label's rows meet in one task.
+    sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()
+    share = {r[label]: min(1.0, (2 * each + 100) / r["count"]) for r in sizes if r["count"] > 2 * each + 100}
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    if share:
+        limit = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
+        known = known.filter(spread <= F.coalesce(F.try_element_at(limit, F.col(label)), F.lit(1.0)))
+    order = Window.partitionBy(label).orderBy(spread, "doc_id")
+    ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
     rows, held = [], 0
     for r in ranked.orderBy("rank", label).select("doc_id", label, "n").limit(most).collect():
         held += r["n"]
