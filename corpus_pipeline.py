@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row, and whether the ids decode to its text."""
-    rows = bpe.decode_documents(bpe.encode_documents(docs))
+    rows = bpe.encode_documents(docs, decode=True)
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

@@ -23,7 +23,7 @@ NONE = np.int32(0x7FFFFFFF)
 #: Pieces of more bytes are merged with a heap instead of a matrix row.
 WIDEST = 256
 #: Entries that a worker's memo of chunks holds before it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Cuts where the piece pattern always cuts too: each chunk holds whole pieces.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -202,21 +202,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, decode: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of the whole text of every row.
 
-    Null and empty texts have no ids. Rows of the input map one to one; other columns don't matter.
+    Null and empty texts have no ids. Rows of the input map one to one; other columns don't matter. With decode, `decoded`
+    (binary) has the bytes that the ids stand for, in the same pass and by the same worker's tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         coder = load(vocabulary(file), pattern or public_tokenizers.PATTERN)
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 20):
             ids = coder.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decode:
+                columns.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
+            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
+        coder.memo.clear()  # the worker may run other stages next, which need its memory
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def decode_documents(encoded: DataFrame, file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
@@ -233,5 +238,5 @@ def decode_documents(encoded: DataFrame, file: str = "byte_bpe_50k.tiktoken", pa
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    rows = decode_documents(encode_documents(documents(spark, sf_dir)))
+    rows = encode_documents(documents(spark, sf_dir), decode=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

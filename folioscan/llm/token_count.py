@@ -24,7 +24,7 @@ from .common import documents, pick, slices
 #: Characters in one chunk of the scan.
 CHUNK = 256
 #: States that the piece transducer holds before it is compiled afresh.
-STATES = 250_000
+STATES = 120_000
 #: A packed transition: the next state, and the gain plus GAIN in the low bits.
 BITS, GAIN = 5, 16
 
