@@ -36,3 +36,19 @@ def mix_pages(original: DataFrame, noise: DataFrame, place: Column) -> DataFrame
     order = Window.partitionBy("doc_id").orderBy("at", "own", "k", "old_page")
     both = a.unionByName(b).withColumn("page_idx", F.row_number().over(order) - 1)
     return both.select("doc_id", "page_idx", "old_page", (F.col("own") == 0).alias("was_noise"))
+
+
+def group_rank(rows: DataFrame, by: list[str], bucket: Column, order: list[str]) -> DataFrame:
+    """The rows with `rank` from 1 in each group, ordered by bucket, then `order`; no task sorts a whole group.
+
+    bucket is a coarse whole number that the order follows, so that a bucket of a group has few rows. Rows are ranked in their
+    buckets, and the counts of the earlier buckets added; a window over the counts alone sees one row for each bucket.
+    """
+    marked = rows.withColumn("_bucket", bucket)
+    keys = [*by, "_bucket"]
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = marked.withColumn("_within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).alias("l")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = within.join(counts.alias("r"), same).withColumn("rank", F.col("_before") + F.col("_within"))
+    return joined.select(*(F.col(f"l.{c}") for c in rows.columns), "rank")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.functions import vectors as V
+from folioscan.functions.similarity import chunk_score, window_score
 from folioscan.operators import chunking as C
+from folioscan.operators import clustering as K
 from folioscan.operators import layout as L
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
@@ -104,20 +106,19 @@ def reorder_chunks(spark, sf) -> DataFrame:
 
 
 def mean_pool(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 400")
-    rows = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
-    pooled = V.mean_pool(F.transform("v", lambda x: x["embedding"]), F.transform("v", lambda x: F.when(x["vec_id"] % 3 == 0, 0).otherwise(1)))
-    return rows.select("label", F.posexplode(pooled).alias("dim", "value")).select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    """The mean vector of each label over the vectors that its mask keeps; sums are partial before the exchange."""
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 3 != 0).alias("held"), F.posexplode("embedding").alias("dim", "x"))
+    total = F.sum(F.when(F.col("held"), F.col("x").cast("double")).otherwise(0.0))
+    means = e.groupBy("label", "dim").agg((total / F.greatest(F.count_if("held").cast("double"), F.lit(1e-9))).alias("value"))
+    return means.select("label", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 def late_interaction(spark, sf) -> DataFrame:
-    """Two query vectors of each label against the labels' first patches."""
-    e = table(spark, sf, "embeddings")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    n = e.withColumn("n", F.row_number().over(order)).filter("n <= 12")
-    q = n.filter("n <= 2").groupBy("label").agg(F.collect_list("embedding").alias("q"))
-    p = n.filter("n > 2").groupBy("label").agg(F.collect_list("embedding").alias("p"))
-    return q.join(p, "label").select("label", F.round(V.max_sim(F.col("q"), F.col("p")), 5).alias("score"))
+    """The vectors of a label divisible by 100 are a query's tokens, its others the patches; the best patch of each token, summed."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", V.unit(F.col("embedding")).alias("u"))
+    q, p = e.filter("vec_id % 100 = 0").alias("q"), e.filter("vec_id % 100 <> 0").alias("p")
+    best = q.join(p, F.col("q.label") == F.col("p.label")).groupBy("q.label", "q.vec_id").agg(F.max(V.dot(F.col("q.u"), F.col("p.u"))).alias("m"))
+    return best.groupBy("label").agg(F.round(F.sum("m"), 5).alias("score"))
 
 
 def _boxes(spark, sf) -> DataFrame:
@@ -161,6 +162,41 @@ def merged_boxes(spark, sf) -> DataFrame:
     return L.merged(_boxes(spark, sf))
 
 
+def box_clusters(spark, sf) -> DataFrame:
+    return K.clusters(_boxes(spark, sf))
+
+
+def cluster_crops(spark, sf) -> DataFrame:
+    """Crops of boxes whose cluster is a remainder of their id (-1 for some) and whose label is another."""
+    b = _boxes(spark, sf).withColumn("cluster", F.col("box_id") % 4 - 1).withColumn("label", (F.col("box_id") % 3).cast("int"))
+    return K.crop_boxes(b).select("page", F.col("crop").cast("long").alias("crop"), F.col("label").cast("long").alias("label"), "x0", "y0", "x1", "y1")
+
+
+def cluster_parts(spark, sf) -> DataFrame:
+    """Pages of each conversation split where their words would exceed 120."""
+    rows = pages(spark, sf).select("doc_id", "page_idx", F.size("words").alias("n"))
+    return K.split_by_budget(rows, ["doc_id"], "page_idx", "n", 120).select("doc_id", "page_idx", F.col("part").cast("long").alias("part"))
+
+
+def merged_words(spark, sf) -> DataFrame:
+    """Turns as boxes; a conversation's turns of one role are a cluster, and system turns stand alone."""
+    rows = pages(spark, sf)
+    group = F.when(F.col("role") == "system", -1).when(F.col("role") == "user", 0).otherwise(1)
+    units = rows.select(F.col("doc_id").alias("page"), F.col("page_idx").alias("box_id"), F.col("page_idx").alias("place"), F.col("role").alias("label"), group.alias("cluster"), "words")
+    merged = K.merge_words(units)
+    return merged.select("page", "place", "label", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"))
+
+
+def chunk_scores(spark, sf) -> DataFrame:
+    """How well the pages of a conversation's other roles hold the first four words of each user turn."""
+    rows = pages(spark, sf)
+    text = lambda w: F.array_join(w, " ")
+    asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), text(F.slice("words", 1, 4)).alias("part"))
+    held = rows.filter("role <> 'user'").select("doc_id", text(F.col("words")).alias("chunk"))
+    scored = asked.join(held, "doc_id").withColumn("s", window_score(F.col("chunk"), F.col("part")))
+    return scored.groupBy("doc_id", "turn").agg(F.round(chunk_score(F.max("s")), 6).alias("chunk_score"))
+
+
 def words_in_layout(spark, sf) -> DataFrame:
     """Words of the first documents' pages on a grid of ten a line, in the boxes of the page of the same number; labels by last box."""
     rows = doc_words(spark, sf).select(F.col("doc_id").alias("page"), F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -185,7 +221,8 @@ def balanced(spark, sf) -> DataFrame:
     """All rows of the rare class, and as many of the other, by a fixed order."""
     rows = table(spark, sf, "labels").select("doc_id", "toxic")
     n = rows.filter("toxic = 1").agg(F.count("*").alias("n"))
-    ranked = rows.filter("toxic = 0").withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy(F.col("doc_id") * 7919 % 10007, "doc_id")))
+    key = F.col("doc_id") * 7919 % 10007
+    ranked = S.group_rank(rows.filter("toxic = 0"), ["toxic"], key, ["doc_id"])
     few = ranked.join(F.broadcast(n), F.col("rank") <= F.col("n")).select("doc_id", "toxic")
     return rows.filter("toxic = 1").unionByName(few)
 
@@ -212,7 +249,7 @@ def noise_bins(spark, sf) -> DataFrame:
     return bins.join(found, ["level", "n"], "left").select("level", "n", zero("m").alias("mean"), zero("s").alias("std"))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, words_in_layout, patch_grid, stratified, balanced, noise_pages, noise_bins)}
+QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, words_in_layout, box_clusters, cluster_crops, cluster_parts, merged_words, chunk_scores, patch_grid, stratified, balanced, noise_pages, noise_bins)}
 
 _VOTE = "v AS (SELECT question, chunk % 5 AS page, {sum} AS votes FROM s WHERE sim > {least} GROUP BY 1, 2) SELECT question, page, {votes} AS votes FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(votes, 6) DESC, page) AS r FROM v) WHERE r = 1"
 _COMPONENTS = SQL_BOXES.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT DISTINCT page, i, j FROM p WHERE touch), r AS (SELECT page, box_id, box_id AS x FROM b UNION SELECT r.page, r.box_id, e.j FROM r JOIN e ON r.page = e.page AND r.x = e.i), k AS (SELECT page, box_id, min(x) AS component FROM r GROUP BY 1, 2)"
@@ -236,8 +273,8 @@ SQL = {
     "majority_page": SQL_SIM + ", " + _VOTE.format(sum="count(*)", least="0.05", votes="votes"),
     "weighted_page": SQL_SIM + ", " + _VOTE.format(sum="sum(sim)", least="0", votes="round(votes, 4)"),
     "reorder_chunks": SQL_SIM.replace("WITH s", SQL_BOXES + ", s") + ", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 5) SELECT question, chunk, row_number() OVER (PARTITION BY question ORDER BY page, y0, x0, chunk) AS place FROM t JOIN b ON chunk = box_id",
-    "mean_pool": "WITH v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings WHERE vec_id < 400) SELECT label, dim, round(sum(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE x END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS value FROM v GROUP BY label, dim",
-    "late_interaction": f"WITH n AS (SELECT label, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), s AS (SELECT q.label, q.n, max({_DOT.format(a='q.e', b='d.e')} / (sqrt({_DOT.format(a='q.e', b='q.e')}) * sqrt({_DOT.format(a='d.e', b='d.e')}))) AS m FROM n q JOIN n d ON q.label = d.label AND q.n <= 2 AND d.n > 2 AND d.n <= 12 GROUP BY 1, 2) SELECT label, round(sum(m), 5) AS score FROM s GROUP BY label",
+    "mean_pool": "WITH v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) SELECT label, dim, round(sum(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE x END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS value FROM v GROUP BY label, dim",
+    "late_interaction": f"WITH s AS (SELECT q.label, q.vec_id, max({_DOT.format(a='q.embedding', b='d.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='d.embedding', b='d.embedding')}))) AS m FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 100 = 0 AND d.vec_id % 100 <> 0 GROUP BY 1, 2) SELECT label, round(sum(m), 5) AS score FROM s GROUP BY label",
     "box_pairs": SQL_BOXES + " SELECT page, i AS a, j AS b, round(inter / (ai + aj - inter + 1e-8), 6) AS iou, round(CASE WHEN ai <= 0 THEN 0 ELSE inter / ai END, 6) AS inside FROM p WHERE touch AND i < j",
     "absorbed_boxes": SQL_BOXES + " SELECT DISTINCT page, i AS box_id FROM p WHERE wi < wj AND CASE WHEN ai <= 0 THEN 0 ELSE inter / ai END >= 0.6",
     "box_components": _COMPONENTS + " SELECT page, box_id, component FROM k",
@@ -246,6 +283,18 @@ SQL = {
  wb AS (SELECT page, pos, (pos % 10) / 10 AS x0, (pos // 10) / ceil(n / 10) AS y0, (pos % 10 + 1) / 10 AS x1, (pos // 10 + 1) / ceil(n / 10) AS y1 FROM g),
  m AS (SELECT w.page, b.box_id, pos FROM wb w JOIN b ON w.page = b.page WHERE greatest(0, least(w.x1, b.x1) - greatest(w.x0, b.x0)) * greatest(0, least(w.y1, b.y1) - greatest(w.y0, b.y0)) / ((w.x1 - w.x0) * (w.y1 - w.y0)) > 0.5)
  SELECT page, box_id, count(*) AS n, sum(pos)::BIGINT AS places FROM m GROUP BY 1, 2""",
+    "cluster_crops": SQL_BOXES + """, f2 AS (SELECT *, box_id % 4 = 0 AS lone, CASE WHEN box_id % 4 = 0 THEN box_id ELSE box_id % 4 - 1 END AS id, (box_id % 3)::BIGINT AS label FROM b),
+ l AS (SELECT page, lone, id, label, round(sum((x1 - x0) * (y1 - y0)), 9) AS area, min(box_id) AS seen FROM f2 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY page, lone, id ORDER BY area DESC, seen) AS r FROM l),
+ u AS (SELECT page, lone, id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM f2 GROUP BY ALL)
+ SELECT u.page, row_number() OVER (PARTITION BY u.page ORDER BY u.lone DESC, u.id) - 1 AS crop, label, x0, y0, x1, y1 FROM u JOIN t ON u.page = t.page AND u.lone = t.lone AND u.id = t.id AND r = 1""",
+    "merged_words": f"""WITH c AS (SELECT conv_id AS page, turn, role, {W} AS ws, CASE role WHEN 'system' THEN 'box' || turn ELSE CASE role WHEN 'user' THEN 'user' ELSE 'other' END END AS unit FROM conversations),
+ l AS (SELECT page, unit, role, count(*) AS n, min(turn) AS seen FROM c GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY page, unit ORDER BY n DESC, seen) AS r FROM l),
+ u AS (SELECT page, unit, min(turn) AS place, flatten(list(ws ORDER BY turn)) AS ws FROM c GROUP BY ALL)
+ SELECT u.page, place, role AS label, len(ws) AS n, md5(array_to_string(ws, ' ')) AS words_md5 FROM u JOIN m ON u.page = m.page AND u.unit = m.unit AND r = 1""",
+    "cluster_parts": f"""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn AS page_idx, len({W}) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+ f AS (SELECT doc_id, page_idx, r, 0::BIGINT AS part, n AS used FROM c WHERE r = 1
+ UNION ALL SELECT c.doc_id, c.page_idx, c.r, CASE WHEN f.used > 0 AND f.used + c.n > 120 THEN f.part + 1 ELSE f.part END, CASE WHEN f.used > 0 AND f.used + c.n > 120 THEN c.n ELSE f.used + c.n END FROM f JOIN c ON c.doc_id = f.doc_id AND c.r = f.r + 1)
+ SELECT doc_id, page_idx, part FROM f""",
     "patch_grid": """WITH i AS (SELECT p_partkey AS image, p_size * 20 + 100 AS w, p_partkey % 700 + 60 AS h FROM part),
  g AS (SELECT *, CASE WHEN w <= 256 THEN 1 ELSE ceil((w - 256) / 128)::BIGINT + 1 END AS nc, CASE WHEN h <= 256 THEN 1 ELSE ceil((h - 256) / 128)::BIGINT + 1 END AS nr FROM i),
  r AS (SELECT *, unnest(range(0, nr)) AS row FROM g), c AS (SELECT *, unnest(range(0, nc)) AS col FROM r),

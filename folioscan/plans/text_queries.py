@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
 from folioscan.operators import chunking as C
+from folioscan.operators import ranking as R
+from folioscan.operators import sampling as S
 from folioscan.sources.tables import pages, table, words
 
 #: The words of a text in SQL, and a text with other than ASCII characters replaced (edit distances differ in their units).
@@ -48,7 +50,7 @@ def oracle_page(spark, sf) -> DataFrame:
 
 def size_subset(spark, sf) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "source")
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    first = S.group_rank(rows, ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"])
     sizes = rows.groupBy("source").agg(F.floor(F.count("*") * 0.3).alias("n"))
     return first.join(sizes, "source").filter("rank <= n").select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
@@ -103,7 +105,7 @@ def histogram_extremes(spark, sf) -> DataFrame:
 
 
 def concat_context(spark, sf) -> DataFrame:
-    rows = C.chunks(doc_words(spark, sf)).filter(F.col("chunk_id") % 2 == 0).withColumnRenamed("chunk_id", "rank")
+    rows = C.chunks(doc_words(spark, sf)).withColumnRenamed("chunk_id", "rank")
     context = C.concat_evidence(rows, ["doc_id"], "rank", "[SEP]")
     return context.select("doc_id", F.length("context").cast("long").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
@@ -114,11 +116,11 @@ def token_budget(spark, sf) -> DataFrame:
 
 
 def surrounding_words(spark, sf) -> DataFrame:
-    """Every third chunk, ranked by number, with 15 places on either side; places count overlap words twice."""
+    """The three longest chunks of each document with 15 places on either side; places count overlap words twice."""
     rows = C.chunks(doc_words(spark, sf)).withColumn("n", F.size("words"))
     run = Window.partitionBy("doc_id").orderBy("chunk_id")
     placed = rows.withColumn("last", F.sum("n").over(run) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    kept = placed.filter(F.col("chunk_id") % 3 == 0).select("doc_id", F.lit(0).alias("page_idx"), F.col("chunk_id").alias("rank"), "first", "last")
+    kept = R.top_k(placed, ["doc_id"], "n", ["chunk_id"], 3).select("doc_id", F.lit(0).alias("page_idx"), "rank", "first", "last")
     positions = rows.groupBy("doc_id").agg(F.sum("n").alias("n_places")).select("doc_id", F.lit(0).alias("page_idx"), "n_places")
     out = C.surroundings(kept, positions, 15).groupBy("doc_id", "rank")
     return out.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n")).select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
@@ -126,7 +128,7 @@ def surrounding_words(spark, sf) -> DataFrame:
 
 def _answers(spark, sf) -> DataFrame:
     """Gold and predicted answers of every type, made from events."""
-    e = table(spark, sf, "events").filter("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("string", "int", "float", "list", "not-answerable"))), (F.col("event_id") % 5 + 1).cast("int"))
     cents = F.floor(F.col("value") * 100).cast("long")
     number = F.concat((cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
@@ -137,7 +139,7 @@ def _answers(spark, sf) -> DataFrame:
 
 
 SQL_ANSWERS = """
-WITH e AS (SELECT *, event_id % 5 AS t, event_id % 4 AS off, CAST(floor(value * 100) AS BIGINT) AS cents FROM events WHERE event_id % 3 = 0),
+WITH e AS (SELECT *, event_id % 5 AS t, event_id % 4 AS off, CAST(floor(value * 100) AS BIGINT) AS cents FROM events),
 k AS (SELECT *, ['string','int','float','list','not-answerable'][t + 1] AS kind, (cents // 100)::VARCHAR || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS number FROM e),
 g AS (SELECT *, CASE kind WHEN 'int' THEN '-' || user_id::VARCHAR WHEN 'float' THEN number WHEN 'list' THEN '[' || event_type || ',b]' ELSE event_type END AS gold FROM k),
 a AS (SELECT event_id, kind, gold, CASE off WHEN 0 THEN gold WHEN 1 THEN ' ' || upper(gold) WHEN 2 THEN substr(gold, 1, 4) ELSE CASE kind WHEN 'not-answerable' THEN 'none' WHEN 'float' THEN number || '%' ELSE gold || 'x' END END AS pred FROM g),
@@ -259,11 +261,12 @@ SQL = {
  SELECT * FROM (SELECT 'most_common' AS kind, size, n FROM h ORDER BY n DESC, size LIMIT 5) UNION ALL SELECT * FROM (SELECT 'least_common', size, n FROM h ORDER BY n, size LIMIT 5)
  UNION ALL SELECT * FROM (SELECT 'smallest', size, n FROM h ORDER BY size LIMIT 5) UNION ALL SELECT * FROM (SELECT 'largest', size, n FROM h ORDER BY size DESC LIMIT 5)
  UNION ALL SELECT * FROM (SELECT 'nearest_mean', size, n FROM h, m ORDER BY round(abs(size - mean), 6), size LIMIT 5)""",
-    "concat_context": SQL_CHUNKS + ", c2 AS (SELECT doc_id, string_agg(array_to_string(words, ' '), ' [SEP] ' ORDER BY chunk_id) AS c FROM chunks WHERE chunk_id % 2 = 0 GROUP BY doc_id) SELECT doc_id, length(c) AS n_chars, md5(c) AS context_md5 FROM c2",
+    "concat_context": SQL_CHUNKS + ", c2 AS (SELECT doc_id, string_agg(array_to_string(words, ' '), ' [SEP] ' ORDER BY chunk_id) AS c FROM chunks GROUP BY doc_id) SELECT doc_id, length(c) AS n_chars, md5(c) AS context_md5 FROM c2",
     "token_budget": SQL_CHUNKS + " SELECT * FROM (SELECT doc_id, chunk_id, sum(stop - start) OVER (PARTITION BY doc_id ORDER BY chunk_id)::BIGINT AS used FROM chunks) WHERE used <= 200",
     "surrounding_words": SQL_CHUNKS + """, p AS (SELECT doc_id, chunk_id, stop - start AS n, (sum(stop - start) OVER (PARTITION BY doc_id ORDER BY chunk_id))::BIGINT - 1 AS l FROM chunks),
  t AS (SELECT doc_id, sum(n)::BIGINT AS places FROM p GROUP BY doc_id),
- x AS (SELECT p.doc_id, chunk_id AS rank, unnest(range(greatest(0, l - n + 1 - 15), least(places - 1, l + 15) + 1)) AS pos FROM p JOIN t ON p.doc_id = t.doc_id WHERE chunk_id % 3 = 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, chunk_id) AS rank FROM p),
+ x AS (SELECT k.doc_id, rank, unnest(range(greatest(0, l - n + 1 - 15), least(places - 1, l + 15) + 1)) AS pos FROM k JOIN t ON k.doc_id = t.doc_id WHERE rank <= 3),
  b AS (SELECT doc_id, pos, min(rank) AS rank FROM x GROUP BY 1, 2) SELECT doc_id, rank, min(pos) AS first, max(pos) AS last, count(*) AS n FROM b GROUP BY 1, 2""",
     "typed_accuracy": SQL_ANSWERS + " SELECT event_id, kind, ok::INT::DOUBLE AS accuracy FROM acc",
     "typed_anls": SQL_ANSWERS + " SELECT event_id, kind, round(CASE WHEN p1 = '' THEN 0.0 WHEN kind = 'not-answerable' THEN ok::INT WHEN special THEN (g1 = p1)::INT WHEN kind IN ('int', 'float', 'list') THEN ok::INT WHEN sim >= 0.5 THEN sim ELSE 0.0 END, 6)::DOUBLE AS anls FROM acc",
