@@ -198,7 +198,7 @@ def chunk_scores(spark, sf) -> DataFrame:
 
 
 def words_in_layout(spark, sf) -> DataFrame:
-    """Words of the first documents' pages on a grid of ten a line, in the boxes of the page of the same number; labels by last box."""
+    """Words of documents, each a page, on a grid of ten a line, in the boxes of the page of the same number; labels by last box."""
     rows = doc_words(spark, sf).select(F.col("doc_id").alias("page"), F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
     lines = F.ceil(F.col("n") / 10)
     col, line = F.col("pos") % 10, F.floor(F.col("pos") / 10)
