@@ -52,3 +52,8 @@ def group_rank(rows: DataFrame, by: list[str], bucket: Column, order: list[str])
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     joined = within.join(counts.alias("r"), same).withColumn("rank", F.col("_before") + F.col("_within"))
     return joined.select(*(F.col(f"l.{c}") for c in rows.columns), "rank")
+
+
+def held_out(pool: DataFrame, seeds: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The n first rows, in a fixed order, of the pool's rows whose key isn't among the seeds."""
+    return pool.join(seeds.select(key), key, "left_anti").orderBy(*order).limit(n)
