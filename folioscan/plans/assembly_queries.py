@@ -11,6 +11,7 @@ from folioscan.operators import assembly as A
 from folioscan.operators import chunking as C
 from folioscan.operators import layout as L
 from folioscan.operators import sampling as S
+from folioscan.plans import answering as Q
 from folioscan.plans.retrieval_queries import SQL_BOXES, SQL_CONF, _boxes, _confidences
 from folioscan.plans.text_queries import SQL_WORDS
 from folioscan.sources.tables import pages, table
@@ -121,7 +122,16 @@ def noise_pool(spark, sf) -> DataFrame:
     return S.held_out(table(spark, sf, "documents").select("doc_id", "source"), seeds, "doc_id", [F.col("doc_id") * 7919 % 10007, F.col("doc_id")], 40)
 
 
-QUERIES = {f.__name__: f for f in (padded_pages, labelled_words, compact_chunks, aligned_spans, resized_images, divided_regions, patch_surroundings, page_grid, char_words, filtered_boxes, example_ids, extractive_confidences, overridden_answers, result_rows, clock_times, noise_pool)}
+def answered_questions(spark, sf) -> DataFrame:
+    """Each user turn's first words as a question on its conversation, answered from the page of the largest summed similarity."""
+    rows = pages(spark, sf)
+    asked = rows.filter("role = 'user'").select(F.concat_ws(":", "doc_id", "page_idx").alias("question_id"), "doc_id", F.array_join(F.slice("words", 1, 8), " ").alias("question"))
+    found = Q.answer_questions(asked, rows.select("doc_id", "page_idx", "words"), "weightmajorpage")
+    first = F.try_element_at("answers", F.lit(1))
+    return found.select("question_id", first["answer"].alias("answer"), F.round(first["confidence"], 6).alias("confidence"), F.try_element_at("pages", F.lit(1)).alias("page"))
+
+
+QUERIES = {f.__name__: f for f in (padded_pages, labelled_words, compact_chunks, aligned_spans, resized_images, divided_regions, patch_surroundings, page_grid, char_words, filtered_boxes, example_ids, extractive_confidences, overridden_answers, result_rows, clock_times, noise_pool, answered_questions)}
 
 _SIZES = "i AS (SELECT p_partkey AS image, p_partkey * 37 % 1900 + 10 AS w, p_partkey * 53 % 1300 + 10 AS h, p_size % 3 AS label FROM part)"
 _CONF_HALF = "1 / list_sum(list_transform({0}, lambda x: exp(x::DOUBLE - list_max({0})::DOUBLE)))"
