@@ -238,12 +238,16 @@ def noise_pages(spark, sf) -> DataFrame:
 
 
 def noise_bins(spark, sf) -> DataFrame:
-    """Means by page count of each sample's mean and deviation over repetitions, at several noise levels; empty bins are 0."""
+    """Means by page count of each sample's mean and deviation over repetitions, at several noise levels; empty bins are 0.
+
+    The bins go from 1 to the most pages of a conversation, and to 10 at least.
+    """
     sizes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     grid = spark.createDataFrame([(level, rep) for level in (0, 3, 20, 100) for rep in (0, 1, 2)], "level long, rep long")
     runs = sizes.crossJoin(F.broadcast(grid)).withColumn("score", (F.col("conv_id") * 17 + F.col("level") * 5 + F.col("rep") * 31) % 101 / 100.0)
     each = runs.groupBy("level", "conv_id", "n").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    bins = spark.range(1, 11).select(F.col("id").alias("n")).crossJoin(F.broadcast(grid.select("level").distinct()))
+    most = sizes.agg(F.greatest(F.max("n"), F.lit(10).cast("long")).alias("most"))
+    bins = most.select(F.explode(F.sequence(F.lit(1).cast("long"), "most")).alias("n")).crossJoin(F.broadcast(grid.select("level").distinct()))
     found = each.groupBy("level", "n").agg(F.avg("m").alias("m"), F.avg("s").alias("s"))
     zero = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 6)
     return bins.join(found, ["level", "n"], "left").select("level", "n", zero("m").alias("mean"), zero("s").alias("std"))
