@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field is trained in numpy on a small labelled table (`labelled`) and decoded by Viterbi in padded batches. A span holds
-a digit, an at sign or a spelt-out one; so only windows are decoded, of words of up to 64 characters that hold one of
-these and GAP words on either side. The field's spans are kept where they don't touch a span of the patterns: those stay.
+a digit, an at sign or a spelt-out one; so only windows are decoded, of words that hold one of these and GAP words on
+either side. A run of more than 64 characters without blanks is split into words at punctuation that no span holds and at
+characters of scripts without blanks. The field's spans are kept where they don't touch a span of the patterns: those stay.
 A null or empty text has no spans. Spans are in code points, ends exclusive.
 """
 
@@ -26,8 +27,13 @@ DIGITS = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Words kept on either side of a word that may be in a span.
 GAP = 3
+#: Words, with those that pad, which are decoded together.
+STEP = 1 << 16
 WORD = re.compile(r"\S+")
-TAIL = re.compile(r"\S{0,65}")
+TAIL = re.compile(r"\S*")
+#: A run without blanks that is split, and the characters that it is split at.
+LONG = re.compile(r"(?<!\S)\S{65,}")
+SPLIT = re.compile(r"[,;:|\"'`<>{}=/\\&?!#*\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2010-\u206f\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 TRIGGER = re.compile(r"[0-9@]+|[\[(]at[\])]")
 
 
@@ -83,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """Letters as a, digits as 9 and how many, other characters as they are; runs of letters count once."""
-    core = re.sub(r"[^\W\d_]+", "a", word[:64])
+    core = re.sub(r"[^\W\d_]+", "a", word)[:64]
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 17)}", core)
 
 
@@ -149,10 +155,14 @@ class Field:
         """Viterbi's best tags of each row, all rows of a batch at once."""
         out: list[list[int]] = [[] for _ in rows]
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
-        for k in range(0, len(order), 512):
-            part = [i for i in order[k : k + 512] if rows[i]]
-            if not part:
-                continue
+        order = [i for i in order if rows[i]]
+        k = 0
+        while k < len(order):
+            n = min(512, len(order) - k)
+            while n > 1 and n * len(rows[order[k + n - 1]]) > STEP:
+                n //= 2
+            part = order[k : k + n]
+            k += n
             score, n = self.potentials([rows[i] for i in part])
             best, back = score[:, 0] + self.move[-1], np.zeros(score.shape, np.int64)
             ends = [best]
@@ -250,14 +260,18 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     """The words around those that may be in a span, as spans of words."""
     out: list[list[tuple[int, int]]] = []
     done = 0
+    if TRIGGER.search(text):
+        text = LONG.sub(lambda m: SPLIT.sub(" ", m[0]), text)
     for m in TRIGGER.finditer(text):
         if m.start() < done:
             continue
-        left = text[max(0, m.start() - 65) : m.start()]
+        left = text[max(done, m.start() - 65) : m.start()]
+        if len(left) == 65 and len(left.split()) == 1:
+            left = text[done : m.start()]
         begin = m.start() - (len(left.split()[-1]) if left and not left[-1].isspace() else 0)
         done = TAIL.match(text, m.end()).end()
-        if done - begin > 64:
-            continue
+        while out and out[-1][-1][0] >= begin:  # a word that the window before ends in, perhaps cut
+            out[-1].pop()
         if out and (begin < out[-1][-1][1] or len(text[out[-1][-1][1] : begin].split()) <= GAP):
             start = out[-1][-1][1]
         else:
@@ -281,7 +295,7 @@ def spans(texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
     for (i, w), tags in zip(cut, tagged, strict=True):
         held: list[list[int]] = []
         for (a, b), tag in zip(w, tags, strict=True):
-            if tag and TAGS[tag][0] == "I" and held:
+            if tag and TAGS[tag][0] == "I" and held and texts[i][held[-1][2] : a].isspace():
                 held[-1][2] = b
             elif tag:
                 held.append([a, KINDS.index(TAGS[tag][2:]), b])

@@ -3,6 +3,7 @@
 from statistics import mean, pstdev
 
 from folioscan import catalog
+from folioscan.llm import pii
 
 
 def test_noise_bins_of_long_conversations(spark, tmp_path):
@@ -18,3 +19,17 @@ def test_noise_bins_of_long_conversations(spark, tmp_path):
             want[level, n] = (round(mean(map(mean, own)), 6), round(mean(map(pstdev, own)), 6)) if own else (0.0, 0.0)
     assert got.keys() == want.keys()
     assert all(abs(a - b) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_pii_in_long_runs():
+    fill = ",".join(f"field{c}" for c in "abcdefghijklmnop")
+    for text in (f"{fill},lee(at)host.com,212-555-0147,{fill}", f'{{"a":"{fill}","mail":"lee(at)host.com","tel":"212-555-0147"}}', "日本語" * 30 + "lee(at)host.com、" + "日本語" * 5 + "212-555-0147" + "日本語" * 30):
+        masked = text.replace("lee(at)host.com", "<email>").replace("212-555-0147", "<phone>")
+        assert len(max(text.split(), key=len)) > 64 and pii.mask(text) == masked
+    name = "a" * 70
+    assert pii.mask(f"write to {name}(at)host.com or call") == "write to <email> or call"
+    # The address begins in the words kept behind a number.
+    assert pii.mask(f"in 1999 and {name}(at)host.com or call") == "in 1999 and <email> or call"
+    assert pii.mask(f"in 1999 and {'b' * 30} {'a' * 40}(at)host.com or") == f"in 1999 and {'b' * 30} <email> or"
+    for text in ("9," * 50_000, "a1" * 50_000, "x(at)" * 20_000, "1 " * 50_000):
+        assert pii.mask(text) == text
