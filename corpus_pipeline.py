@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import bpe, language, mixing, pii, simhash
@@ -30,11 +30,20 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of every group of near-duplicates, and one row of equal doc_ids."""
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    return docs.alias("l").join(keep.alias("r"), same, "left_semi")
+    """Keeps the document of least doc_id of every group of near-duplicates, and one row of equal doc_ids.
+
+    Of rows that share a doc_id the one of least hash counts. Rows without a doc_id aren't rows of one document: each text
+    of them stands for a document, whose number comes from the text's hash and lies above those of doc_ids.
+    """
+    own = (F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumns({"_id": F.coalesce("doc_id", own), "_hash": F.xxhash64(*docs.columns)})
+    # Rows are dealt out by document only if some document has several.
+    if rows.groupBy("_id").count().filter("count > 1").limit(1).count():
+        first = Window.partitionBy("_id").orderBy("_hash")
+        rows = rows.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    found = simhash.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return rows.join(keep, "_id", "left_semi").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

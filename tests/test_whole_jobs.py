@@ -1,7 +1,10 @@
 """Jobs that must not lose rows beyond the sizes of the given tables."""
 
+import random
 from statistics import mean, pstdev
 
+import corpus_pipeline
+
 from folioscan import catalog
 from folioscan.llm import pii
 
@@ -33,3 +36,15 @@ def test_pii_in_long_runs():
     assert pii.mask(f"in 1999 and {'b' * 30} {'a' * 40}(at)host.com or") == f"in 1999 and {'b' * 30} <email> or"
     for text in ("9," * 50_000, "a1" * 50_000, "x(at)" * 20_000, "1 " * 50_000):
         assert pii.mask(text) == text
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[5]), (None, texts[3]), (4, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(i for i, _ in got if i is not None) == [1, 2, 3]
+    assert sorted(t for i, t in got if i is None) == sorted([texts[4], texts[5]])
