@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of text that a sample holds at most (its first row is taken in any case).
+#: Characters of text that a sample holds at most (if no row fits, it holds the shortest).
 SAMPLE_CHARS = 24_000_000
+#: Rows of more than this share of the sample's characters come after all others.
+LONG_SHARE = 0.01
 
 
 def choose(labelled: DataFrame, label: str, each: int, most: int = 20_000, chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -14,7 +16,8 @@ def choose(labelled: DataFrame, label: str, each: int, most: int = 20_000, chars
     (a few less if the hash is uneven).
 
     labelled has doc_id, the label and n (characters of the text). Rows come in turn from every label value until `most`
-    rows or `chars` characters are there, so the sample's size is bounded whatever the input is.
+    rows are there; a row that would take the sample over `chars` characters is skipped, so the sample's size is bounded
+    whatever the input is. Rows of more than LONG_SHARE of `chars` come last, lest a few of them fill the sample.
     """
     known = labelled.dropna(subset=["doc_id", label])
     # Rows are ranked only below a hash that about twice `each` rows of their label reach, so no label's rows meet in one task.
@@ -27,10 +30,13 @@ def choose(labelled: DataFrame, label: str, each: int, most: int = 20_000, chars
     order = Window.partitionBy(label).orderBy(spread, "doc_id")
     ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
     rows, held = [], 0
-    for r in ranked.orderBy("rank", label).select("doc_id", label, "n").limit(most).collect():
-        held += r["n"]
-        if rows and held > chars:
-            break
+    found = ranked.orderBy("rank", label).select("doc_id", label, "n").limit(most).collect()
+    for r in sorted(found, key=lambda r: r["n"] > chars * LONG_SHARE):
+        if held + r["n"] <= chars:
+            held += r["n"]
+            rows.append((r["doc_id"], r[label]))
+    if found and not rows:
+        r = min(found, key=lambda r: r["n"])
         rows.append((r["doc_id"], r[label]))
     kind = dict(labelled.dtypes)[label]
     return labelled.sparkSession.createDataFrame(rows, f"doc_id long, {label} {kind}")

@@ -7,6 +7,7 @@ import corpus_pipeline
 
 from folioscan import catalog
 from folioscan.llm import pii
+from folioscan.llm.sample import choose
 
 
 def test_noise_bins_of_long_conversations(spark, tmp_path):
@@ -38,6 +39,20 @@ def test_pii_in_long_runs():
         assert pii.mask(text) == text
 
 
+def test_sample_goes_on_behind_long_rows(spark):
+    def chosen(long, chars=1000, count=100):
+        rows = [(i, "ab"[i % 2], long.get(i, 10)) for i in range(count)]
+        got = choose(spark.createDataFrame(rows, "doc_id long, label string, n long"), "label", count, chars=chars)
+        return sorted(r["doc_id"] for r in got.collect())
+
+    assert chosen({}) == list(range(100))
+    for n in (990, 5000):  # too long beside the others, or by itself, whatever its rank is
+        for i in (0, 1, 50, 77):
+            assert chosen({i: n}) == [x for x in range(100) if x != i]
+    assert chosen({3: 20}, chars=2000) == list(range(100))
+    assert chosen({0: 7000, 1: 6000}, count=2) == [1]
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
