@@ -8,6 +8,7 @@ import numpy as np
 
 #: Words of up to so many bytes are kept; longer ones are rare and go to the coder each time.
 KEPT = 24
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -26,14 +27,10 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of each word as three integers (exact up to KEPT bytes), and a hash of these and the length."""
     wide = np.concatenate([data, np.zeros(KEPT + 8, np.uint8)])
-    w = wide.astype(np.uint64)
-    for k in (1, 2, 4):
-        w = w[:-k] | w[k:] << np.uint64(8 * k)
+    eight = np.ndarray((len(data) + KEPT + 1,), "<u8", buffer=wide, strides=(1,))  # the eight bytes from each place on
     exact = np.empty((3, len(start)), np.uint64)
     for i in range(3):
-        inside = np.clip(length - 8 * i, 0, 8).astype(np.uint64)
-        mask = np.where(inside == 8, ~np.uint64(0), (np.uint64(1) << (inside * np.uint64(8)) % np.uint64(64)) - np.uint64(1))
-        exact[i] = w[np.minimum(start + 8 * i, len(w) - 1)] & mask
+        exact[i] = eight[start + 8 * i] & _MASK[np.clip(length - 8 * i, 0, 8)]
     h = length.astype(np.uint64) * _MIX[3]
     for i in range(3):
         h = (h ^ exact[i]) * _MIX[i]
@@ -42,63 +39,90 @@ def keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nd
 
 
 class WordMemo:
-    """new: gives the ids of each of some words, as little-endian unsigned 32-bit integers. most: words kept."""
+    """An open-addressed table from words to ids. new: gives the ids of some words, all in one array, and how many each has.
 
-    def __init__(self, new: Callable[[list[bytes]], list[bytes]], most: int = 800_000):
-        self.new, self.most = new, most
+    It holds at most `most` words and `most_ids` ids, and starts afresh when it would hold more.
+    """
+
+    def __init__(self, new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000, most_ids: int = 4_000_000):
+        self.new, self.most, self.most_ids = new, most, most_ids
+        self.bits = int(np.ceil(np.log2(2 * most)))
         self.clear()
 
     def clear(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.exact = np.zeros((3, 0), np.uint64)
-        self.length = np.zeros(0, np.int64)
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.words = 0
+        self.hash = np.empty(1024, np.uint64)
+        self.exact = np.empty((3, 1024), np.uint64)
+        self.at, self.n, self.length = (np.empty(1024, np.int32) for _ in range(3))
+        self.ids, self.held = np.empty(1 << 14, "<u4"), 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, exact: np.ndarray, h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The place of each word in the memo, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        slot, todo = self._slot(h), np.arange(len(h))
+        while len(todo):
+            at = self.slots[slot[todo]]
+            full = at >= 0
+            todo, at = todo[full], at[full]
+            same = (self.hash[at] == h[todo]) & (self.length[at] == length[todo]) & (self.exact[0, at] == exact[0, todo]) & (self.exact[1, at] == exact[1, todo]) & (self.exact[2, at] == exact[2, todo])
+            out[todo[same]] = at[same]
+            todo = todo[~same]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _add(self, exact: np.ndarray, h: np.ndarray, length: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Puts words, none of them twice or known, into the table."""
+        first = self.words
+        self.words += len(h)
+        size = len(self.hash)
+        if self.words > size:
+            more = max(self.words - size, size // 2)
+            self.hash = np.concatenate([self.hash, np.empty(more, np.uint64)])
+            self.exact = np.concatenate([self.exact, np.empty((3, more), np.uint64)], 1)
+            self.at, self.n, self.length = (np.concatenate([x, np.empty(more, np.int32)]) for x in (self.at, self.n, self.length))
+        part = slice(first, self.words)
+        self.hash[part], self.exact[:, part], self.length[part], self.at[part], self.n[part] = h, exact, length, at, n
+        place, slot = np.arange(first, self.words, dtype=np.int32), self._slot(h)
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]  # of several words for one slot the last one stays
+            put = self.slots[slot] == place
+            place, slot = place[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
 
     def encode(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many ids each has."""
         exact, h = keys(data, start, length)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        # Words of one hash that differ in their bytes, and long words, are looked up one by one.
-        odd = (length > KEPT) | (length != length[first][which]) | (exact != exact[:, first[which]]).any(0)
-        place = np.searchsorted(self.hash, h[first])
-        place[place == len(self.hash)] = 0
-        known = np.zeros(len(first), bool)
-        if len(self.hash):
-            known = (self.hash[place] == h[first]) & (self.length[place] == length[first]) & (self.exact[:, place] == exact[:, first]).all(0)
-        pool = [self.pool]
-        at, n = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        at[known], n[known] = self.at[place[known]] if known.any() else 0, self.n[place[known]] if known.any() else 0
-        fresh = np.flatnonzero(~known & (length[first] <= KEPT))
-        strange = np.flatnonzero(odd)
-        words = [data[a : a + b].tobytes() for i in (first[fresh], strange) for a, b in zip(start[i].tolist(), length[i].tolist(), strict=True)]
-        sizes = np.zeros(0, np.int64)
-        if words:
-            unique = list(dict.fromkeys(words))
-            of = dict(zip(unique, self.new(unique), strict=True))
-            found = [of[w] for w in words]
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            pool.append(np.frombuffer(b"".join(found), "<u4"))
-        begins = len(self.pool) + np.cumsum(sizes) - sizes
-        at[fresh], n[fresh] = begins[: len(fresh)], sizes[: len(fresh)]
-        pool = np.concatenate(pool)
-        word_at, word_n = at[which], n[which]
-        word_at[strange], word_n[strange] = begins[len(fresh) :], sizes[len(fresh) :]
-        out = pool[ragged(word_at, word_n)]
-        if len(self.hash) + len(fresh) > self.most:
+        place = self.find(exact, h, length)
+        at, n = self.at[place].astype(np.int64), self.n[place].astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        if not len(missing):
+            return self.ids[ragged(at, n)], n
+        short = missing[length[missing] <= KEPT]
+        _, first, which = np.unique(h[short], return_index=True, return_inverse=True)
+        fresh = short[first]
+        # Words of one hash that differ in their bytes, and long words, are looked up one by one and not kept.
+        same = (length[short] == length[fresh][which]) & (exact[:, short] == exact[:, fresh[which]]).all(0)
+        strange = np.concatenate([missing[length[missing] > KEPT], short[~same]])
+        some = np.concatenate([fresh, strange])
+        found, sizes = self.new([data[a : a + b].tobytes() for a, b in zip(start[some].tolist(), length[some].tolist(), strict=True)])
+        if self.held + len(found) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.empty(len(found) + len(self.ids) // 2, "<u4")])
+        self.ids[self.held : self.held + len(found)] = found
+        begins = self.held + np.cumsum(sizes) - sizes
+        at[short], n[short] = begins[which], sizes[which]
+        at[strange], n[strange] = begins[len(fresh) :], sizes[len(fresh) :]
+        out = self.ids[ragged(at, n)]
+        kept = int(sizes[: len(fresh)].sum())
+        if self.words + len(fresh) > self.most or self.held + kept > self.most_ids:
             self.clear()
-        elif len(fresh):
-            i = first[fresh]
-            kept = len(self.pool) + int(sizes[: len(fresh)].sum())
-            self.pool = pool[:kept].copy()
-            hashes = np.concatenate([self.hash, h[i]])
-            # Of two words with one hash the one kept first stays.
-            order = np.unique(hashes, return_index=True)[1]
-            self.hash = hashes[order]
-            self.exact = np.concatenate([self.exact, exact[:, i]], 1)[:, order]
-            self.length = np.concatenate([self.length, length[i]])[order]
-            self.at, self.n = np.concatenate([self.at, at[fresh]])[order], np.concatenate([self.n, n[fresh]])[order]
-        return out, word_n
+        else:
+            self._add(exact[:, fresh], h[fresh], length[fresh], begins[: len(fresh)], sizes[: len(fresh)])
+            self.held += kept
+        return out, n
 
 
 #: ASCII white space.
