@@ -1,15 +1,18 @@
 """Mixing sources to target weights, by blocks of words.
 
-Every source's words are packed into blocks of `block` words. A shard of the mix has `slots` slots; it draws how many of
+Every source's words are packed into blocks of `block` words, or of fewer in a source that has under FINE blocks, so that a
+block is a small part of any source. A shard of the mix has `slots` slots; it draws how many of
 them each source gets from a multinomial of the targets. Numbered through all shards, the draws of a source are its slots;
 a source that drew more than its quota hands the surplus slots to those that drew fewer, so every source meets its target
-to within a block. A source's k-th slot holds the block that a pseudorandom permutation of its blocks maps k to, with a new
+to within two blocks. A source's k-th slot holds the block that a pseudorandom permutation of its blocks maps k to, with a new
 permutation for each pass; the mix is the join of slots and blocks by (source, index). A quota is at most two passes.
-Everything random is a hash of a seed, so reruns agree. The order of words in a source is that of (bucket, doc_id).
+Everything random is a hash of a seed, so reruns agree. The order of words in a source is that of (bucket, doc_id, size, row's
+hash); rows that are equal in all columns may change places, which changes no result.
 
 Null and empty texts have no words and take no place; a null source is a source of its own, the last; rows that repeat a
-doc_id are packed and counted each for itself (in `mixed_texts` they share their pieces). No table of more than a row for each source or bucket is broadcast
-or collected.
+doc_id are packed, counted and mixed each for itself, also if all their columns are equal. A very long text is cut into
+blocks like any other; an empty table gives no rows; columns with other names don't matter, and clashing ones stay. No table
+of more than a row for each source or bucket is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, documents, pick, slices
 
 BLOCK = 64
+#: Blocks that a source has at least, if it has so many words: the words of its blocks are fewer than BLOCK else.
+FINE = 256
 SLOTS = 4096
 #: Rows of one source are dealt to so many buckets by hash; words are numbered within and over buckets.
 BUCKETS = 4096
@@ -87,7 +92,7 @@ class Mix:
     def __init__(self, docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, buckets: int = BUCKETS, seed: int = 1):
         self.block, self.n_slots, self.seed = block, slots, seed
         spark = docs.sparkSession
-        sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+        sized = with_tie(docs).select("doc_id", "source", n_words(F.col("text")).alias("size"), "tie", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int").alias("bucket"))
         self.sized = cut(sized)
         # Words of each bucket of each source, numbered over buckets. A source has `buckets` rows here at most.
         each = self.sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -98,32 +103,36 @@ class Mix:
             raise ValueError(f"a mix has at most {SOURCES} sources")
         totals.sort(key=lambda x: (x[0] is None, x[0] or ""))  # Python orders text by code point
         goal = targets([n for _, n in totals])
-        blocks = [-(-n // block) for _, n in totals]
-        quota = [0 if not n else min(MOST * b, int(t // n) * b + round(t % n / block)) for (_, n), t, b in zip(totals, goal, blocks, strict=True)]
-        self.table = [(i, s, n, t, b, q) for i, ((s, n), t, b, q) in enumerate(zip(totals, goal, blocks, quota, strict=True))]
-        self.sources = spark.createDataFrame(self.table, "k int, source string, source_size long, target double, blocks long, quota long")
+        widths = [max(1, min(block, n // FINE)) for _, n in totals]
+        blocks = [-(-n // w) for (_, n), w in zip(totals, widths, strict=True)]
+        quota = [0 if not n else min(MOST * b, int(t // n) * b + round(t % n / w)) for (_, n), t, b, w in zip(totals, goal, blocks, widths, strict=True)]
+        self.table = [(i, s, n, t, w, b, q) for i, ((s, n), t, w, b, q) in enumerate(zip(totals, goal, widths, blocks, quota, strict=True))]
+        self.sources = spark.createDataFrame(self.table, "k int, source string, source_size long, target double, width long, blocks long, quota long")
         self.starts = starts.select("source", "bucket", "base")
         self._placed: DataFrame | None = None
 
     def placed(self) -> DataFrame:
-        """k, doc_id, size, at: the place of every row's first word among its source's words; rows without words are left out."""
+        """k, width, doc_id, tie, size, at: the place of every row's first word among its source's words, in blocks of width words.
+
+        Rows without words are left out.
+        """
         if self._placed is None:
-            inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+            inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
             rows = self.sized.filter("size > 0").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.bucket") == F.col("r.bucket"))
-            rows = rows.alias("l").join(self.starts.alias("r"), same).select("doc_id", "l.source", "size", (F.col("before") + F.col("base")).alias("at"))
-            named = rows.alias("l").join(F.broadcast(self.sources.select("k", "source")).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
-            self._placed = cut(named.select("k", "doc_id", "size", "at"))
+            rows = rows.alias("l").join(self.starts.alias("r"), same).select("doc_id", "l.source", "size", "tie", (F.col("before") + F.col("base")).alias("at"))
+            named = rows.alias("l").join(F.broadcast(self.sources.select("k", "source", "width")).alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
+            self._placed = cut(named.select("k", "width", "doc_id", "tie", "size", "at"))
         return self._placed
 
     def pieces(self) -> DataFrame:
-        """k, index, doc_id, at, start, words: the part of a row (from word start) that a block holds."""
+        """k, index, doc_id, tie, at, start, words: the part of a row (from word start) that a block holds."""
         named = self.placed()
-        b = F.lit(self.block)
+        b = F.col("width")
         cuts = named.withColumn("index", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))))
         start = F.greatest(F.lit(0), F.col("index") * b - F.col("at"))
         end = F.least(F.col("size"), (F.col("index") + 1) * b - F.col("at"))
-        return cuts.select("k", "index", "doc_id", "at", start.alias("start"), (end - start).alias("words"))
+        return cuts.select("k", "index", "doc_id", "tie", "at", start.alias("start"), (end - start).alias("words"))
 
     def slots(self) -> DataFrame:
         """shard, k, pass, index: the blocks of every shard of the mix."""
@@ -176,7 +185,7 @@ class Mix:
         return numbered.select("shard", "k", "n", "first").mapInArrow(expand, "shard long, k int, pass int, index long")
 
     def join(self) -> DataFrame:
-        """shard, k, pass, index, doc_id, at, start, words: what the mix holds, piece by piece."""
+        """shard, k, pass, index, doc_id, tie, at, start, words: what the mix holds, piece by piece."""
         return self.slots().hint("merge").join(self.pieces(), ["k", "index"])
 
     def taken(self) -> DataFrame:
@@ -194,18 +203,28 @@ class Mix:
 GROUP = 256
 
 
+def with_tie(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text, and tie: a hash of all columns of the row, which tells rows of one doc_id apart."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.select(*(F.col(f"c{docs.columns.index(n)}").alias(n) for n in ("doc_id", "source", "text")), F.xxhash64(*plain.columns).alias("tie"))
+
+
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of docs' columns: for each document and pass the text of its words that were taken, if any.
+    """The mix as rows of docs' columns: for each row and pass the text of its words that were taken, if any.
 
     `text` keeps the words of a run of taken blocks as they stand; runs are joined by a line feed. `n_chars` is counted anew.
     """
     mix = Mix(docs, **options)
-    runs = mix.join().groupBy("doc_id", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
+    runs = mix.join().groupBy("doc_id", "tie", "at", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"))
     names, own_names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*own_names)
-    own = plain.columns[names.index("doc_id")]
-    rows = plain.join(runs, F.col(own).eqNullSafe(F.col("doc_id"))).select(*plain.columns, "runs")
+    plain = docs.toDF(*own_names).withColumn("own_tie", F.xxhash64(*own_names))
+    own = own_names[names.index("doc_id")]
+    if mix.placed().groupBy("doc_id", "tie").count().filter("count > 1").limit(1).count():
+        # Rows that are equal in all columns: one of them stands for all, and has the places of each.
+        plain = plain.groupBy(own, "own_tie").agg(*(F.first(c).alias(c) for c in own_names if c != own)).select(*own_names, "own_tie")
+    rows = plain.join(runs, F.col(own).eqNullSafe(F.col("doc_id")) & (F.col("own_tie") == F.col("tie"))).select(*own_names, "runs")
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    kinds = docs.toDF(*own_names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -217,9 +236,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             for t, taken in zip(part.column(text).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
                 spans, out, end = [m.span() for m in word.finditer(t or "")], [], -1
                 for r in taken:
-                    a, b = r["start"], min(r["start"] + r["words"], len(spans))
-                    if a >= b:  # a piece of another row with this doc_id
-                        continue
+                    a, b = r["start"], r["start"] + r["words"]
                     if a == end:
                         out[-1] = (out[-1][0], spans[b - 1][1])
                     else:
@@ -229,7 +246,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             new = {text: pa.array(texts, pa.string()), chars: pa.array(map(len, texts), pa.int64())}
             yield pa.record_batch([new.get(i, part.column(i)) for i in range(len(names))], own_names)
 
-    return rows.mapInArrow(run, plain.schema).toDF(*names)
+    return rows.mapInArrow(run, kinds).toDF(*names)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
