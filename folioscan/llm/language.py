@@ -1,9 +1,10 @@
 """Language by nearest centroid: TF-IDF vectors of hashed byte n-grams against several centroids of each language.
 
-Fitted on a bounded sample of labelled rows: at most EACH documents of a language and SAMPLE_CHARS characters. A text's
-vector counts its whole text. The language is that of the centroid with the largest cosine; `rejected` marks texts that
-lie farther from it than the sample's own texts do. A null text or one without a letter is `und`, and rejected.
-Equal texts get equal results; with nothing to learn from every text is `und`.
+Fitted on a bounded sample of labelled documents: at most EACH of a language, MOST in all and SAMPLE_CHARS characters. A
+text's vector counts its whole text, however long. The language is that of the centroid with the largest cosine, of equal ones
+the first in order of names; `rejected` marks texts that lie farther from it than the sample's own texts do. A null text
+or one without a letter is `und`, and rejected. Rows that repeat a doc_id are learnt from once, and predicted each for
+itself; equal texts get equal results; with nothing to learn from every text is `und`. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, pick, slices
-from .sample import choose
+from .sample import choose, texts_of
 from .wordmemo import join
 
 DIMENSIONS = 4096
 EACH = 400
+#: Documents that the sample holds at most; their counts come to the driver.
+MOST = 4000
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but one in 500 of its language's sample reach.
 REJECT = 0.5
 #: Texts of fewer n-grams are rejected at a smaller cosine.
 FULL = 1000
+#: Texts, and text bytes, whose vectors are held at a time.
+STEP, STEP_BYTES = 64, 256 << 10
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:97] = 32
@@ -39,12 +44,13 @@ def vectors(texts: list[str]) -> np.ndarray:
     b = _FOLD[data].astype(np.uint32)
     two = b[:-1] * np.uint32(257) + b[1:]
     three = two[:-1] * np.uint32(257) + b[2:]
-    row = np.repeat(np.arange(len(texts)), np.diff(at))
-    out = np.zeros(len(texts) * DIMENSIONS, np.int64)
-    for grams in (two, three):
-        slot = ((grams * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)  # the upper 12 bits
-        out += np.bincount(row[: len(slot)] * DIMENSIONS + slot, minlength=len(out))
-    return out.reshape(len(texts), DIMENSIONS)
+    out = np.zeros((len(texts), DIMENSIONS), np.int32)
+    for grams, short in ((two, 1), (three, 2)):
+        slot = (grams * np.uint32(2654435761)) >> np.uint32(20)  # the upper 12 bits
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for k in range(a, b - short, STEP_BYTES):
+                out[i] += np.bincount(slot[k : min(b - short, k + STEP_BYTES)], minlength=DIMENSIONS)
+    return out
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -83,8 +89,8 @@ class Languages:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         named, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.names else []
-        for k in range(0, len(able), 256):
-            part = able[k : k + 256]
+        for k in range(0, len(able), STEP):
+            part = able[k : k + STEP]
             counts = vectors([texts[i] for i in part])
             close = weigh(counts, self.idf) @ self.centres.T
             best = close.argmax(1)
@@ -97,17 +103,17 @@ class Languages:
 
 def fit(train: DataFrame, each: int = EACH) -> Languages:
     """Learns from text and lang of the rows of train."""
-    rows = pick(train, "doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND lang <> 'und'")
-    chosen = choose(rows.select("doc_id", "lang", F.length("text").alias("n")), "lang", each)
+    rows = pick(train, "doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    chosen = choose(rows.select("doc_id", "lang", F.length("text").alias("n")), "lang", each, MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=1 << 20):
+        for part in slices(batches, most=STEP_BYTES):
             texts = part.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                packed = [v.astype("<u4").tobytes() for v in vectors(texts[k : k + 256])]
-                yield pa.record_batch([part.column("doc_id")[k : k + 256], part.column("lang")[k : k + 256], pa.array(packed, pa.binary())], ["doc_id", "lang", "counts"])
+            for k in range(0, len(texts), STEP):
+                packed = [v.astype("<u4").tobytes() for v in vectors(texts[k : k + STEP])]
+                yield pa.record_batch([part.column("doc_id")[k : k + STEP], part.column("lang")[k : k + STEP], pa.array(packed, pa.binary())], ["doc_id", "lang", "counts"])
 
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(run, "doc_id long, lang string, counts binary").limit(40_000).collect()
+    found = texts_of(rows, chosen, "lang").mapInArrow(run, "doc_id long, lang string, counts binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["counts"])))
     counts = np.stack([np.frombuffer(r["counts"], "<u4") for r in found]) if found else np.zeros((0, DIMENSIONS), np.uint32)
     return Languages(counts, [r["lang"] for r in found])
@@ -117,7 +123,7 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """doc_id, lang_pred, score, rejected for the whole text of every row; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=STEP_BYTES):
             named, score, rejected = model.predict(part.column("text").to_pylist())
             yield pa.record_batch([part.column("doc_id"), pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 

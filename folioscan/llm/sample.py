@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that a sample holds at most (if no row fits, it holds the shortest).
 SAMPLE_CHARS = 24_000_000
-#: Rows of more than this share of the sample's characters come after all others.
+#: Rows of more than this share of a label's characters come after all others.
 LONG_SHARE = 0.01
 
 
 def choose(labelled: DataFrame, label: str, each: int, most: int = 20_000, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """doc_id and label of at most `each` rows of every label value, those of least hash of doc_id
-    (a few less if the hash is uneven).
+    """doc_id and label, distinct, of at most `each` documents of every label value, those of least hash of doc_id.
 
-    labelled has doc_id, the label and n (characters of the text). Rows come in turn from every label value until `most`
-    rows are there; a row that would take the sample over `chars` characters is skipped, so the sample's size is bounded
-    whatever the input is. Rows of more than LONG_SHARE of `chars` come last, lest a few of them fill the sample.
+    labelled has doc_id, the label and n (characters of the text); rows that repeat a doc_id and label count once. With many
+    label values fewer documents of each are taken, so that at most `most` come out; of more than `most` values the most
+    frequent ones count. Every label first fills an equal part of `chars`; what is left over goes round. A document that
+    doesn't fit is passed over, and documents of more than LONG_SHARE of a part come last, lest a few of them fill it.
     """
+    spark, kind = labelled.sparkSession, dict(labelled.dtypes)[label]
     known = labelled.dropna(subset=["doc_id", label])
-    # Rows are ranked only below a hash that about twice `each` rows of their label reach, so no label's rows meet in one task.
-    sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()
-    share = {r[label]: min(1.0, (2 * each + 100) / r["count"]) for r in sizes if r["count"] > 2 * each + 100}
+    counts = known.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("count"))
+    sizes = counts.orderBy(F.desc("count"), label).limit(most).collect()
+    each = max(1, min(each, most // max(1, len(sizes))))
+    # Documents above a hash that about twice `each` of their label stay below never leave the executors.
+    shares = spark.createDataFrame([(r[label], min(1.0, (2 * each + 8) / r["count"])) for r in sizes], f"{label} {kind}, share double")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    if share:
-        limit = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
-        known = known.filter(spread <= F.coalesce(F.try_element_at(limit, F.col(label)), F.lit(1.0)))
-    order = Window.partitionBy(label).orderBy(spread, "doc_id")
-    ranked = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
-    rows, held = [], 0
-    found = ranked.orderBy("rank", label).select("doc_id", label, "n").limit(most).collect()
-    for r in sorted(found, key=lambda r: r["n"] > chars * LONG_SHARE):
-        if held + r["n"] <= chars:
-            held += r["n"]
-            rows.append((r["doc_id"], r[label]))
+    near = known.withColumn("spread", spread).join(F.broadcast(shares), label).filter("spread <= share")
+    found = near.groupBy("doc_id", label, "spread").agg(F.max(F.coalesce("n", F.lit(0))).alias("n")).collect()
+    by_label: dict = {}
+    for r in sorted(found, key=lambda r: (r["spread"], r["doc_id"])):
+        by_label.setdefault(r[label], []).append(r)
+    part = chars / max(1, len(by_label))
+    rows, rest, left = [], [], float(chars)
+    for own in by_label.values():
+        held = 0
+        for r in sorted(own[:each], key=lambda r: r["n"] > part * LONG_SHARE):
+            if held + r["n"] <= part:
+                held += r["n"]
+                rows.append(r)
+            else:
+                rest.append(r)
+        left -= held
+    for r in sorted(rest, key=lambda r: (r["n"], r["spread"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            rows.append(r)
     if found and not rows:
-        r = min(found, key=lambda r: r["n"])
-        rows.append((r["doc_id"], r[label]))
-    kind = dict(labelled.dtypes)[label]
-    return labelled.sparkSession.createDataFrame(rows, f"doc_id long, {label} {kind}")
+        rows.append(min(found, key=lambda r: (r["n"], r["spread"], r["doc_id"])))
+    return spark.createDataFrame([(r["doc_id"], r[label]) for r in rows], f"doc_id long, {label} {kind}")
+
+
+def texts_of(rows: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
+    """doc_id, the label and text of the chosen documents, each once: of rows that share a doc_id the least text counts.
+
+    rows: doc_id and text. chosen is bounded by `choose`, so it is broadcast.
+    """
+    on = ["doc_id", *([label] if label in rows.columns else [])]
+    return rows.join(F.broadcast(chosen), on).groupBy("doc_id", label).agg(F.min("text").alias("text"))
