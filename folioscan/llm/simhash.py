@@ -6,12 +6,14 @@ together, the bits in which they differ add up, and a pair is dropped as soon as
 whose leaves are already linked with each other is not paired again, so large groups of near copies cost no more than
 their links. Sorted, a set of fingerprints is its trie: a node is a range with a common prefix.
 
-Distinct fingerprints alone are joined, so copies cost nothing; a task holds whole quarters of at most CHUNK fingerprints
-at a time, and a quarter above that is split by pairs of subtrees. Links are reduced to spanning trees where they are
-found, and components follow by contracting stars, with checkpoints. Nothing but counts comes to the driver.
-
-Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id keep a row each. A null
-doc_id stays; a component's id is its smallest doc_id, null if it has none.
+Distinct fingerprints alone are joined, so copies cost nothing; a task holds whole quarters, as many at a time as make CHUNK
+fingerprints. What stands below one quarter and is more than SPLIT, of which each takes some 100 bytes in a task, is dealt to
+tasks by pairs of subtrees SPLIT_BITS further down, and again if such a pair is too large. Links are reduced to spanning trees
+where they are found, and components follow by contracting stars, with checkpoints. Nothing but counts comes to the driver.
+
+Null and empty texts have fingerprint zero and link like any other; very long ones are read whole. Bits set in exactly half of
+the shingles are 0. Rows that repeat a doc_id keep a row each. A null doc_id stays; a component's id is its smallest doc_id,
+null if it has none. An empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import cut, documents, pick, slices
 
 BUDGET, QUARTER = 3, 16
-#: Fingerprints that a task joins at a time, and those in a quarter above which it is split.
+#: Fingerprints that a task joins at a time, and those below one quarter, or one pair of subtrees, above which it is split.
 CHUNK = 200_000
-SPLIT = 20_000
-#: Bits by which a quarter that is too large is split.
+SPLIT = 500_000
+#: Bits further down of the subtrees that are paired then.
 SPLIT_BITS = 8
 #: Node pairs that go down together.
 PAIRS = 400_000
@@ -58,15 +60,15 @@ def bits_over_half(h: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of the whole text of every row; map-only."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of the whole text of every row, and its longs `also`; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64)), *(part.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, "doc_id", "text", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 class Forest:
@@ -74,16 +76,26 @@ class Forest:
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self._turns: np.ndarray | None = None
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             a, b = self.label[a], self.label[b]
             live = a != b
             a, b = a[live], b[live]
+            if not len(a):
+                return
+            self._turns = None
             np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
-            while (up := self.label[self.label]).tobytes() != self.label.tobytes():
+            while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
+    def turns(self) -> np.ndarray:
+        """How often the label has changed up to each leaf: equal at both ends of a range of one component."""
+        if self._turns is None:
+            self._turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        return self._turns
+
 
 def join_trie(keys: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], first_bit: int) -> np.ndarray:
     """The component label of each of the sorted keys, linked where two below a pair of roots differ in BUDGET bits at most.
@@ -107,7 +119,7 @@ def join_trie(keys: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray,
                 stack.append((a0[k : k + PAIRS], a1[k : k + PAIRS], b0[k : k + PAIRS], b1[k : k + PAIRS], diff[k : k + PAIRS], bit))
             continue
         # Pairs within one component, and a single leaf with itself, have nothing to add.
-        turns = np.concatenate([[0], np.cumsum(forest.label[1:] != forest.label[:-1])])
+        turns = forest.turns()
         one = (forest.label[a0] == forest.label[b0]) & (turns[a1 - 1] == turns[a0]) & (turns[b1 - 1] == turns[b0])
         a0, a1, b0, b1, diff = (x[~one] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
@@ -127,8 +139,8 @@ def join_trie(keys: np.ndarray, roots: tuple[np.ndarray, np.ndarray, np.ndarray,
         if not len(a0):
             continue
         # Both nodes are cut at the next bit: the first leaf of each that has it set.
-        ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        one_bit, below = np.uint64(1 << bit), np.uint64((1 << bit) - 1)
+        am, bm = (np.clip(np.searchsorted(keys, (keys[lo] | one_bit) & ~below), lo, hi) for lo, hi in ((a0, a1), (b0, b1)))
         same = a0 == b0
         parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1)]
         cross = ~same
@@ -210,51 +222,68 @@ def near(distinct: DataFrame) -> DataFrame:
 
 
 def split_links(rows: DataFrame) -> DataFrame:
-    """Links below large quarters: one task for each pair of subtrees SPLIT_BITS further down, of at most BUDGET differing bits.
+    """Links below large quarters (q, front, key), by pairs of subtrees ever further down, until each pair fits a task.
 
-    Each pair's leaves meet in one task, as sorted arrays of 8 bytes a leaf.
+    A group is a pair of subtrees: `path` says which, `side` in which of the two a key stands, `used` in how many bits they
+    differ; `cross` is false for a subtree with itself. A subtree is paired with those that BUDGET allows.
     """
-    masks = [m for m in range(1 << SPLIT_BITS) if bin(m).count("1") <= BUDGET]
-    child = F.shiftrightunsigned("key", 64 - QUARTER - SPLIT_BITS).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
-    dealt = rows.withColumn("c", child).withColumn("m", F.explode(F.array(*(F.lit(m) for m in masks))))
-    dealt = dealt.withColumn("lower", F.least("c", F.col("c").bitwiseXOR(F.col("m")))).select("q", "front", "lower", "m", "key")
+    masks = F.array(*(F.lit(m) for m in range(1 << SPLIT_BITS) if bin(m).count("1") <= BUDGET))
+    at = ["q", "front", "path"]
+    rows = rows.select("q", "front", F.lit("").alias("path"), F.lit(0).alias("side"), F.lit(0).alias("used"), F.lit(False).alias("cross"), "key")
+    found, depth = None, 0
+    while rows is not None:
+        depth += SPLIT_BITS
+        child = F.shiftrightunsigned("key", 64 - QUARTER - depth).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
+        dealt = rows.withColumn("c", child).withColumn("m", F.explode(F.filter(masks, lambda m: F.bit_count(m) + F.col("used") <= BUDGET)))
+        first = F.when(F.col("cross"), F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("c").bitwiseXOR(F.col("m")))).otherwise(F.least("c", F.col("c").bitwiseXOR(F.col("m"))))
+        dealt = dealt.withColumn("first", first)
+        side = F.when(F.col("cross"), F.col("side")).otherwise((F.col("c") != F.col("first")).cast("int"))
+        path = F.concat("path", F.format_string("%02x%02x", "first", "m"))
+        dealt = dealt.select("q", "front", path.alias("path"), side.alias("side"), (F.col("used") + F.bit_count("m")).alias("used"), (F.col("cross") | (F.col("m") != 0)).alias("cross"), "key")
+        rows = None
+        if depth < 64 - QUARTER:
+            groups = dealt.groupBy(*at).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
+            hot = cut(groups.select(*at))
+            if hot.limit(1).count():
+                rows = cut(dealt.join(hot, at, "left_semi"))
+                dealt = dealt.join(hot, at, "left_anti")
+        links = _below(dealt, 64 - QUARTER - depth)
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def _below(dealt: DataFrame, bits: int) -> DataFrame:
+    """Links of groups that fit a task; `bits` are left below their subtrees' roots."""
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = np.uint64(64 - QUARTER - SPLIT_BITS)
-        part = (1 << SPLIT_BITS) - 1
-
-        def solve(q: int, m: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if m == 0:
-                lo, hi = np.array([0]), np.array([len(keys)])
-                label = join_trie(keys, (lo, hi, lo, hi, np.array([0])), int(bit) - 1)
-            else:
-                side = (keys >> bit) & np.uint64(part)
-                half = int(np.searchsorted(side, side[-1]))
-                if not half:
-                    return
-                x = lambda v: np.array([v])
-                label = join_trie(keys, (x(0), x(half), x(half), x(len(keys)), x(bin(m).count("1"))), int(bit) - 1)
-            moved = np.flatnonzero(label != np.arange(len(keys)))
+        def solve(q: int, cross: bool, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n, first = len(keys), (keys >> np.uint64(bits)) << np.uint64(bits)
+            half = int(np.searchsorted(first, first[-1])) if cross else 0
+            if cross and not half:
+                return
+            x = lambda v: np.array([v])
+            roots = (x(0), x(half), x(half), x(n), x(int(first[0] ^ first[-1]).bit_count())) if cross else (x(0), x(n), x(0), x(n), x(0))
+            label = join_trie(keys, roots, bits - 1)
+            moved = np.flatnonzero(label != np.arange(n))
             if len(moved):
                 yield _links(back(keys[moved], q), back(keys[label[moved]], q))
 
         group, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("q", "front", "lower", "m")]
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("q", "front", "path", "cross")), strict=True))
             keys = batch.column("key").to_numpy().view(np.uint64)
-            ids = np.stack(columns, 1)
-            cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
-                if group is not None and group != tuple(ids[a]):
+            cuts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                if group is not None and group != ids[a]:
                     yield from solve(group[0], group[3], np.concatenate(held))
                     held = []
-                group = tuple(ids[a].tolist())
+                group = ids[a]
                 held.append(keys[a:b])
         if held:
             yield from solve(group[0], group[3], np.concatenate(held))
 
-    ordered = dealt.repartition("q", "front", "lower", "m").sortWithinPartitions("q", "front", "lower", "m", F.expr("key ^ (-9223372036854775807L - 1L)"))
-    return ordered.mapInArrow(below, "a long, b long")
+    ordered = dealt.repartition("q", "front", "path").sortWithinPartitions("q", "front", "path", F.expr("key ^ (-9223372036854775807L - 1L)"))
+    return ordered.select("q", "front", "path", "cross", "key").mapInArrow(below, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,16 +306,17 @@ def components(links: DataFrame) -> DataFrame:
             return stars.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row."""
-    rows = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach), root (a fingerprint that names the component) and `also`
+    of every row."""
+    rows = cut(fingerprints(docs, *also))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near(distinct))
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = placed.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("least").alias("of_root"))
-    named = placed.join(least, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(least, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"), "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", *also)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
