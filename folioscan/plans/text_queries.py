@@ -30,11 +30,27 @@ def normal_answers(spark, sf) -> DataFrame:
 
 
 def answer_span(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    gold = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(words(F.col("text")), 1, 2), " ").alias("gold"))
-    found = docs.join(gold, "item_id").withColumn("start", F.expr("locate(gold, text)") - 1)
-    hit = F.col("start") >= 0
-    return found.select("doc_id", "item_id", F.when(hit, F.col("start")).otherwise(0).cast("long").alias("span_start"), F.when(hit, F.col("start") + F.length("gold")).otherwise(0).cast("long").alias("span_end"))
+    """Where each document holds a whole item of benchmark for the first time; item -1 and (0, 0) for documents that hold none.
+
+    Of several items the one that stands first in the text counts, then the one of least number. Items are looked for by their
+    second to sixth words, which stand in a text as words of their own wherever the item does: documents' runs of five words
+    are joined to them, so no document meets every item. An item of fewer than seven words has no such run; these few are
+    held against every text.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"), words(F.col("text")).alias("w")).filter(F.length("gold") > 0)
+    run = lambda i: F.array_join(F.slice("w", i, 5), " ")
+    long = items.filter(F.size("w") >= 7).select("item_id", "gold", run(2).alias("key"))
+    runs = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
+    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), run))).alias("key"))
+    met = runs.join(long, "key").select("doc_id", "item_id", "gold").join(docs, "doc_id")
+    short = items.filter(F.size("w") < 7).select("item_id", "gold").join(docs, F.contains("text", "gold"))
+    both = met.select("doc_id", "item_id", "gold", "text").unionByName(short.select("doc_id", "item_id", "gold", "text"))
+    at = both.select("doc_id", "item_id", (F.expr("locate(gold, text)") - 1).alias("start"), F.length("gold").alias("n")).filter("start >= 0")
+    first = at.groupBy("doc_id").agg(F.min(F.struct("start", "item_id", "n")).alias("f"))
+    found = docs.select("doc_id").join(first, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return found.select("doc_id", F.coalesce("f.item_id", F.lit(-1)).cast("long").alias("item_id"), zero(F.col("f.start")).alias("span_start"), zero(F.col("f.start") + F.col("f.n")).alias("span_end"))
 
 
 def _gold(rows: DataFrame) -> DataFrame:
@@ -127,30 +143,34 @@ def surrounding_words(spark, sf) -> DataFrame:
 
 
 def _answers(spark, sf) -> DataFrame:
-    """Gold and predicted answers of every type, made from events."""
+    """Gold and predicted answers of every type, made from events: right, near, wrong and unreadable ones."""
     e = table(spark, sf, "events")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("string", "int", "float", "list", "not-answerable"))), (F.col("event_id") % 5 + 1).cast("int"))
     cents = F.floor(F.col("value") * 100).cast("long")
     number = F.concat((cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    gold = F.when(kind == "int", F.concat(F.lit("-"), F.col("user_id").cast("string"))).when(kind == "float", number).when(kind == "list", F.concat(F.lit("["), "event_type", F.lit(","), F.lit("b]"))).otherwise(F.col("event_type"))
-    off = F.col("event_id") % 4
-    pred = F.when(off == 0, gold).when(off == 1, F.concat(F.lit(" "), F.upper(gold))).when(off == 2, F.substring(gold, 1, 4)).otherwise(F.when(kind == "not-answerable", "none").when(kind == "float", F.concat(number, F.lit("%"))).otherwise(F.concat(gold, F.lit("x"))))
+    listed = F.concat(F.lit("['"), "event_type", F.lit("', 'b, c']"))
+    gold = F.when(kind == "int", F.concat(F.lit("-"), F.col("user_id").cast("string"))).when(kind == "float", number).when(kind == "list", listed).otherwise(F.col("event_type"))
+    off = F.floor(F.col("event_id") / 5) % 8
+    pred = F.when(off == 0, gold).when(off == 1, F.concat(F.lit(" "), F.upper(gold))).when(off == 2, F.substring(gold, 1, 4)).when(off == 3, "none").when(off == 4, F.concat(gold, F.lit("%")))
+    pred = pred.when(off == 5, F.concat(gold, F.lit(".7"))).when(off == 6, F.concat(F.lit('["b, c", "'), "event_type", F.lit('"]'))).otherwise("")
     return e.select("event_id", kind.alias("kind"), gold.alias("gold"), pred.alias("pred"))
 
 
-SQL_ANSWERS = """
-WITH e AS (SELECT *, event_id % 5 AS t, event_id % 4 AS off, CAST(floor(value * 100) AS BIGINT) AS cents FROM events),
+#: Written from the metrics' rules, step by step: what reads as a number, which answers must match exactly, which score by distance.
+SQL_ANSWERS = r"""
+WITH e AS (SELECT *, event_id % 5 AS t, (event_id // 5) % 8 AS off, CAST(floor(value * 100) AS BIGINT) AS cents FROM events),
 k AS (SELECT *, ['string','int','float','list','not-answerable'][t + 1] AS kind, (cents // 100)::VARCHAR || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS number FROM e),
-g AS (SELECT *, CASE kind WHEN 'int' THEN '-' || user_id::VARCHAR WHEN 'float' THEN number WHEN 'list' THEN '[' || event_type || ',b]' ELSE event_type END AS gold FROM k),
-a AS (SELECT event_id, kind, gold, CASE off WHEN 0 THEN gold WHEN 1 THEN ' ' || upper(gold) WHEN 2 THEN substr(gold, 1, 4) ELSE CASE kind WHEN 'not-answerable' THEN 'none' WHEN 'float' THEN number || '%' ELSE gold || 'x' END END AS pred FROM g),
+g AS (SELECT *, CASE kind WHEN 'int' THEN '-' || user_id::VARCHAR WHEN 'float' THEN number WHEN 'list' THEN '[' || chr(39) || event_type || chr(39) || ', ' || chr(39) || 'b, c' || chr(39) || ']' ELSE event_type END AS gold FROM k),
+a AS (SELECT event_id, kind, event_type, gold, CASE off WHEN 0 THEN gold WHEN 1 THEN ' ' || upper(gold) WHEN 2 THEN substr(gold, 1, 4) WHEN 3 THEN 'none' WHEN 4 THEN gold || '%' WHEN 5 THEN gold || '.7' WHEN 6 THEN '["b, c", "' || event_type || '"]' ELSE '' END AS pred, off FROM g),
 p AS (SELECT *, trim(lower(gold)) AS g1, trim(lower(pred)) AS p1 FROM a),
-s AS (SELECT *, regexp_full_match(g1, '\\d+(-\\d+|\\s\\d+)?') OR g1 LIKE 'page%' AS special,
- CASE WHEN greatest(len(g1), len(p1)) = 0 THEN 1.0 ELSE 1 - levenshtein(g1, p1)::DOUBLE / greatest(len(g1), len(p1)) END AS sim FROM p),
-acc AS (SELECT *, CASE WHEN kind = 'not-answerable' THEN p1 IN ('', 'none', 'not answerable') WHEN p1 = 'none' THEN g1 = 'none' WHEN special THEN g1 = p1
- WHEN kind = 'int' THEN coalesce(trunc(try_cast(g1 AS DOUBLE)) = trunc(try_cast(p1 AS DOUBLE)), false)
- WHEN kind = 'float' THEN coalesce(abs(try_cast(replace(g1, '%', '') AS DOUBLE) - try_cast(replace(p1, '%', '') AS DOUBLE)) <= 0.01, false)
- WHEN kind = 'list' THEN list_sort(string_split(regexp_replace(regexp_replace(g1, '^\\[', ''), '\\]$', ''), ',')) = list_sort(string_split(regexp_replace(regexp_replace(p1, '^\\[', ''), '\\]$', ''), ','))
- ELSE g1 = p1 END AS ok FROM s)"""
+s AS (SELECT *, contains(g1, 'https://') OR contains(g1, 'http://') OR suffix(g1, '.py') OR suffix(g1, '.ipynb') OR starts_with(g1, 'page') OR contains(g1, 'a.m.') OR contains(g1, 'p.m.')
+  OR regexp_full_match(g1, '\d+(-\d+|\s\d+)?|\d{4}[-\s]\d{2}([-\s]\d{2})?|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') AS special,
+ 1 - levenshtein(g1, p1)::DOUBLE / greatest(len(g1), len(p1), 1) AS sim,
+ CASE WHEN regexp_full_match(g1, '[+-]?\d+') THEN g1::BIGINT END AS g_int, trunc(try_cast(p1 AS DOUBLE)) AS p_int,
+ try_cast(rtrim(g1, '%') AS DOUBLE) AS g_float, try_cast(rtrim(p1, '%') AS DOUBLE) AS p_float,
+ list_sort(string_split(trim(g1, '[]'), ',')) AS g_list, list_sort(string_split(trim(p1, '[]'), ',')) AS p_list FROM p),
+acc AS (SELECT *, CASE WHEN kind = 'not-answerable' THEN p1 = '' OR p1 = 'none' WHEN p1 = 'none' THEN false WHEN special THEN g1 = p1
+ WHEN kind = 'int' THEN coalesce(g_int = p_int, false) WHEN kind = 'float' THEN coalesce(abs(p_float - g_float) < 0.01, false) WHEN kind = 'list' THEN g_list = p_list ELSE g1 = p1 END AS ok FROM s)"""
 
 
 def typed_accuracy(spark, sf) -> DataFrame:
@@ -164,18 +184,17 @@ def typed_anls(spark, sf) -> DataFrame:
 
 
 def any_of_anls(spark, sf) -> DataFrame:
-    """The best score of a turn's first words over the first words of all assistant turns of its conversation."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", _ascii(F.array_join(F.slice(words(F.col("text")), 1, 3), " ")).alias("first"))
-    golds = rows.filter("role = 'assistant'").groupBy("conv_id").agg(F.collect_list("first").alias("golds"))
-    both = rows.filter("role = 'user'").join(golds, "conv_id")
-    best = F.array_max(F.transform("golds", lambda g: X.anls_strict(F.lower(g), F.lower(F.col("first")))))
-    return both.select("conv_id", "turn", F.round(best, 6).alias("anls"))
+    """The best score of a turn over all assistant turns of its conversation: whole texts, each turn a prediction."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.lower(_ascii(F.array_join(words(F.col("text")), " "))).alias("said"))
+    both = rows.filter("role = 'user'").join(rows.filter("role = 'assistant'").select("conv_id", F.col("said").alias("gold")), "conv_id")
+    return both.groupBy("conv_id", "turn").agg(F.round(F.max(X.anls_strict(F.col("gold"), F.col("said"))), 6).alias("anls"))
 
 
 def report_score(spark, sf) -> DataFrame:
-    a = _answers(spark, sf).filter(F.col("kind").isin("string", "int", "float"))
-    kind = F.when(F.col("kind") == "string", "Str").when(F.col("kind") == "int", "Int").otherwise("Float")
-    return a.select("event_id", F.round(X.eval_score(F.col("gold"), F.col("pred"), kind), 6).alias("score"))
+    """The report's score of answers of all its types."""
+    kinds = F.create_map(*(F.lit(x) for kv in (("string", "Str"), ("int", "Int"), ("float", "Float"), ("list", "List"), ("not-answerable", "None")) for x in kv))
+    a = _answers(spark, sf)
+    return a.select("event_id", F.round(X.eval_score(F.col("gold"), F.col("pred"), F.try_element_at(kinds, F.col("kind"))), 6).alias("score"))
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -190,7 +209,7 @@ SQL_SCORED = "WITH r AS (SELECT l.doc_id, lang, source, quality::DOUBLE AS score
 
 def accuracy_f1(spark, sf) -> DataFrame:
     hit = F.sum(F.when(~F.col("unanswerable"), F.col("score")).otherwise(0.0))
-    rows = _scored(spark, sf).agg(F.avg("score").alias("accuracy"), hit.alias("hit"), F.count_if(~F.col("unanswerable")).alias("gold"), F.count_if(F.lower("pred") != "not answerable").alias("made"))
+    rows = _scored(spark, sf).agg(F.avg("score").alias("accuracy"), hit.alias("hit"), F.count_if(~F.col("unanswerable")).alias("gold"), F.count_if(F.col("pred") != "Not answerable").alias("made"))
     r, p = F.try_divide(F.col("hit"), F.col("gold")), F.try_divide(F.col("hit"), F.col("made"))
     f1 = F.coalesce(F.try_divide(2 * r * p, r + p), F.lit(0.0))
     return rows.select(F.round("accuracy", 6).alias("accuracy"), F.round(r, 6).alias("recall"), F.round(p, 6).alias("precision"), F.round(f1, 6).alias("f1"))
@@ -231,13 +250,21 @@ def best_so_far(spark, sf) -> DataFrame:
     return e.filter(F.col("best").isNull() | (F.col("value") > F.col("best"))).select("event_id", "user_id")
 
 
+#: The least similarity of an anchor and its positive.
+PAIR = 0.8
+
+
 def contrastive_pairs(spark, sf) -> DataFrame:
-    """Anchor and positive turns of a conversation whose first words are near by edit distance."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", _ascii(F.lower(F.array_join(F.slice(words(F.col("text")), 1, 2), " "))).alias("first"))
-    a, b = t.filter("role = 'user'").alias("a"), t.filter("role <> 'user'").alias("b")
-    both = a.join(b, F.col("a.conv_id") == F.col("b.conv_id"))
-    score = X.similarity(F.col("a.first"), F.col("b.first"))
-    return both.filter(score > 0.4).select("a.conv_id", F.col("a.turn").alias("anchor"), F.col("b.turn").alias("positive"), F.round(score, 6).alias("score"))
+    """Anchor and positive turns of one conversation whose whole texts score above PAIR by edit distance.
+
+    Texts whose lengths differ by more than PAIR allows are never compared.
+    """
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", _ascii(F.lower(F.array_join(words(F.col("text")), " "))).alias("said"))
+    a, b = t.filter("role = 'user'").alias("a"), t.alias("b")
+    one, two = F.length("a.said"), F.length("b.said")
+    both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") != F.col("b.turn")) & (F.least(one, two) > PAIR * F.greatest(one, two) - 1e-9))
+    scored = both.select("a.conv_id", F.col("a.turn").alias("anchor"), F.col("b.turn").alias("positive"), X.anls_strict(F.col("a.said"), F.col("b.said")).alias("s"))
+    return scored.filter(F.col("s") > PAIR).select("conv_id", "anchor", "positive", F.round("s", 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (page_context, normal_answers, answer_span, oracle_page, size_subset, page_window, chunk_words, chunk_histogram, histogram_summary, histogram_extremes, concat_context, token_budget, surrounding_words, typed_accuracy, typed_anls, any_of_anls, report_score, accuracy_f1, report_by_type, report_by_source, dataset_means, label_means, timing_shares, best_so_far, contrastive_pairs)}
@@ -247,7 +274,7 @@ SQL_GOLD = "g AS (SELECT conv_id, max(turn) AS gold FROM conversations WHERE rol
 SQL = {
     "page_context": f"SELECT conv_id AS doc_id, turn AS page_idx, list_aggregate(list_transform({W}, lambda w: lower(w)), 'string_agg', ' ') AS context FROM conversations WHERE len({W}) > 0 UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE len({W}) = 0",
     "normal_answers": "SELECT conv_id, string_agg(r, ',' ORDER BY r) AS answers FROM (SELECT DISTINCT conv_id, lower(role) AS r FROM conversations) GROUP BY conv_id",
-    "answer_span": f"WITH b AS (SELECT item_id, array_to_string({W}[1:2], ' ') AS gold FROM benchmark), d AS (SELECT doc_id, item_id, gold, strpos(text, gold) - 1 AS s FROM documents JOIN b ON doc_id % 40 = item_id) SELECT doc_id, item_id, CASE WHEN s >= 0 THEN s ELSE 0 END AS span_start, CASE WHEN s >= 0 THEN s + length(gold) ELSE 0 END AS span_end FROM d",
+    "answer_span": "WITH m AS (SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS s, length(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, item_id) AS r FROM m) SELECT d.doc_id, coalesce(item_id, -1) AS item_id, coalesce(s, 0) AS span_start, coalesce(s + n, 0) AS span_end FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id AND r = 1",
     "oracle_page": f"WITH {SQL_GOLD} SELECT c.conv_id AS doc_id, turn AS page_idx, len({W}) AS n_words FROM conversations c JOIN g ON c.conv_id = g.conv_id WHERE turn = gold",
     "size_subset": "SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE rank <= floor(c * 0.3)",
     "page_window": f"""WITH {SQL_GOLD}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
@@ -269,14 +296,21 @@ SQL = {
  x AS (SELECT k.doc_id, rank, unnest(range(greatest(0, l - n + 1 - 15), least(places - 1, l + 15) + 1)) AS pos FROM k JOIN t ON k.doc_id = t.doc_id WHERE rank <= 3),
  b AS (SELECT doc_id, pos, min(rank) AS rank FROM x GROUP BY 1, 2) SELECT doc_id, rank, min(pos) AS first, max(pos) AS last, count(*) AS n FROM b GROUP BY 1, 2""",
     "typed_accuracy": SQL_ANSWERS + " SELECT event_id, kind, ok::INT::DOUBLE AS accuracy FROM acc",
-    "typed_anls": SQL_ANSWERS + " SELECT event_id, kind, round(CASE WHEN p1 = '' THEN 0.0 WHEN kind = 'not-answerable' THEN ok::INT WHEN special THEN (g1 = p1)::INT WHEN kind IN ('int', 'float', 'list') THEN ok::INT WHEN sim >= 0.5 THEN sim ELSE 0.0 END, 6)::DOUBLE AS anls FROM acc",
-    "any_of_anls": f"""WITH f AS (SELECT conv_id, turn, role, lower(regexp_replace(array_to_string({W}[1:3], ' '), '[^\\x00-\\x7F]', '?', 'g')) AS x FROM conversations),
- s AS (SELECT u.conv_id, u.turn, CASE WHEN greatest(len(u.x), len(a.x)) = 0 THEN 1.0 ELSE 1 - levenshtein(u.x, a.x)::DOUBLE / greatest(len(u.x), len(a.x)) END AS s FROM f u JOIN f a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant')
+    "typed_anls": SQL_ANSWERS + " SELECT event_id, kind, round(CASE WHEN p1 = '' THEN 0.0 WHEN kind = 'not-answerable' OR g1 = '' THEN (p1 = 'none')::INT WHEN p1 = 'none' THEN 0.0 WHEN special THEN (g1 = p1)::INT WHEN kind IN ('int', 'float', 'list') THEN ok::INT WHEN sim >= 0.5 THEN sim ELSE 0.0 END, 6)::DOUBLE AS anls FROM acc",
+    "any_of_anls": f"""WITH f AS (SELECT conv_id, turn, role, lower(regexp_replace(array_to_string({W}, ' '), '[^\\x00-\\x7F]', '?', 'g')) AS x FROM conversations),
+ s AS (SELECT u.conv_id, u.turn, 1 - levenshtein(u.x, a.x)::DOUBLE / greatest(len(u.x), len(a.x), 1) AS s FROM f u JOIN f a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant')
  SELECT conv_id, turn, round(max(CASE WHEN s > 0.5 THEN s ELSE 0.0 END), 6)::DOUBLE AS anls FROM s GROUP BY 1, 2""",
-    "report_score": SQL_ANSWERS + """, q AS (SELECT *, try_cast(regexp_replace(g1, '%+$', '') AS DOUBLE) AS gn, try_cast(regexp_replace(p1, '%+$', '') AS DOUBLE) AS pn FROM s WHERE kind IN ('string', 'int', 'float'))
- SELECT event_id, round(CASE WHEN kind = 'int' THEN coalesce(floor(gn) = floor(pn), false)::INT
- WHEN kind = 'float' THEN coalesce(abs(gn / 100 - pn) <= 0.01 * greatest(abs(gn / 100), abs(pn)) OR abs(gn - pn) <= 0.01 * greatest(abs(gn), abs(pn)) OR abs(gn * 100 - pn) <= 0.01 * greatest(abs(gn * 100), abs(pn)), false)::INT
- WHEN special THEN (g1 = p1)::INT WHEN sim > 0.5 THEN sim ELSE 0 END, 6)::DOUBLE AS score FROM q""",
+    "report_score": SQL_ANSWERS + r""", c AS (SELECT *, rtrim(trim(g1, chr(39) || '"'), '%') AS gc, rtrim(trim(p1, chr(39) || '"'), '%') AS pc,
+  CASE WHEN starts_with(gold, '[') THEN list_sort([event_type, 'b, c']) ELSE [g1] END AS gl,
+  CASE WHEN kind = 'list' AND off = 0 OR off = 6 THEN list_sort([event_type, 'b, c']) ELSE [p1] END AS pl FROM s),
+ n AS (SELECT *, try_cast(gc AS DOUBLE) AS gn, try_cast(pc AS DOUBLE) AS pn FROM c),
+ r AS (SELECT *, [[gn / 100, pn], [gn, pn], [gn * 100, pn]] AS pairs FROM n),
+ d AS (SELECT *, list_bool_or(list_transform(pairs, lambda q: abs(q[1] - q[2]) <= 0.01 * greatest(abs(q[1]), abs(q[2]))
+   OR round(q[1], greatest(2, least(len(split_part(q[1]::VARCHAR, '.', 2)), len(split_part(q[2]::VARCHAR, '.', 2))))::INT) = round(q[2], greatest(2, least(len(split_part(q[1]::VARCHAR, '.', 2)), len(split_part(q[2]::VARCHAR, '.', 2))))::INT))) AS near FROM r),
+ f AS (SELECT *, contains(gc, 'https://') OR suffix(gc, '.py') OR suffix(gc, 'ipynb') OR starts_with(gc, 'page') OR contains(gc, 'a.m.') OR contains(gc, 'p.m.') OR regexp_full_match(gc, '\d+(-\d+|\s\d+)?|\d{4}[-\s]\d{2}([-\s]\d{2})?|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') AS exact,
+  1 - levenshtein(gc, pc)::DOUBLE / greatest(len(gc), len(pc), 1) AS near_text FROM d)
+ SELECT event_id, round(CASE kind WHEN 'int' THEN CASE WHEN g_int IS NOT NULL AND p_int IS NOT NULL THEN (g_int = p_int)::INT ELSE (gold = '')::INT END WHEN 'float' THEN coalesce(near, false)::INT
+ WHEN 'list' THEN (gl = pl)::INT ELSE CASE WHEN exact THEN (gc = pc)::INT WHEN near_text > 0.5 THEN near_text ELSE 0 END END, 6)::DOUBLE AS score FROM f""",
     "accuracy_f1": SQL_SCORED + ", t AS (SELECT avg(score) AS a, sum(CASE WHEN NOT unanswerable THEN score ELSE 0 END) AS hit, count(*) FILTER (NOT unanswerable) AS gold, count(*) FILTER (pred <> 'Not answerable') AS made FROM r) SELECT round(a, 6) AS accuracy, round(hit / gold, 6) AS recall, round(hit / made, 6) AS precision, round(coalesce(2 * (hit / gold) * (hit / made) / nullif(hit / gold + hit / made, 0), 0), 6) AS f1 FROM t",
     "report_by_type": SQL_SCORED + " SELECT lang, round(avg(score), 6) AS mean, count(*) AS n FROM r GROUP BY lang",
     "report_by_source": SQL_SCORED + " SELECT evidence, round(avg(score), 6) AS mean, count(*) AS n FROM (SELECT score, unnest([source, 'half' || (doc_id % 2)]) AS evidence FROM r) GROUP BY evidence",
@@ -284,7 +318,7 @@ SQL = {
     "label_means": SQL_SCORED + " SELECT x.lang, round(coalesce(avg(score), -1), 6) AS mean FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS lang) x LEFT JOIN r ON r.lang = x.lang GROUP BY x.lang",
     "timing_shares": "SELECT event_type, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, round(sum(value) / sum(sum(value)) OVER (), 4) AS share FROM events GROUP BY event_type",
     "best_so_far": "SELECT event_id, user_id FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR value > best",
-    "contrastive_pairs": f"""WITH f AS (SELECT conv_id, turn, role, regexp_replace(lower(array_to_string({W}[1:2], ' ')), '[^\\x00-\\x7F]', '?', 'g') AS x FROM conversations),
- s AS (SELECT a.conv_id, a.turn AS anchor, b.turn AS positive, CASE WHEN greatest(len(a.x), len(b.x)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.x, b.x)::DOUBLE / greatest(len(a.x), len(b.x)) END AS s FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role <> 'user')
- SELECT conv_id, anchor, positive, round(s, 6)::DOUBLE AS score FROM s WHERE s > 0.4""",
+    "contrastive_pairs": f"""WITH f AS (SELECT conv_id, turn, role, regexp_replace(lower(array_to_string({W}, ' ')), '[^\\x00-\\x7F]', '?', 'g') AS x FROM conversations),
+ s AS (SELECT a.conv_id, a.turn AS anchor, b.turn AS positive, 1 - levenshtein(a.x, b.x)::DOUBLE / greatest(len(a.x), len(b.x), 1) AS s FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND a.role = 'user')
+ SELECT conv_id, anchor, positive, round(s, 6)::DOUBLE AS score FROM s WHERE s > 0.8""",
 }
