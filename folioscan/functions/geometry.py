@@ -72,6 +72,11 @@ def to_pixels(b: Column, w: Column, h: Column) -> Column:
     return F.struct(*((b[n] * side).cast("int").alias(n) for n, side in (("x0", w), ("y0", h), ("x1", w), ("y1", h))))
 
 
+def from_pixels(b: Column, w: Column, h: Column) -> Column:
+    """Shares of the page's sides."""
+    return box(b["x0"] / w, b["y0"] / h, b["x1"] / w, b["y1"] / h)
+
+
 def union(boxes: Column) -> Column:
     """The smallest box around all; the whole page for none."""
     at = lambda n, f: f(F.transform(boxes, lambda b: b[n]))

@@ -45,11 +45,12 @@ def generative_confidence(steps: Column) -> Column:
     return F.aggregate(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), F.lit(1.0), lambda s, x: s * x)
 
 
-def extractive_confidence(starts: Column, ends: Column) -> Column:
-    """The chance of the likeliest start times that of the likeliest end; both are scores before their softmax."""
+def likeliest(scores: Column) -> Column:
+    """The largest of the chances that scores before their softmax stand for."""
+    top = F.array_max(scores).cast("double")
+    return 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
 
-    def best(scores: Column) -> Column:
-        top = F.array_max(scores).cast("double")
-        return 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
 
-    return best(starts) * best(ends)
+def extractive_confidence(starts: Column, ends: Column) -> Column:
+    """The chance of the likeliest start times that of the likeliest end; both are scores before their softmax."""
+    return likeliest(starts) * likeliest(ends)

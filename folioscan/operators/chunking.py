@@ -23,23 +23,38 @@ def chunk_ranges(n: Column, rule: ChunkRule = ChunkRule()) -> Column:
     """Array of (start, end, prev): word ranges of the chunks of a unit of n words; none for an empty unit.
 
     Windows of `size` words begin every size - overlap words. One joins the chunk before it if that stays within the
-    tolerance by the fold's own count (prev), which takes overlap words off each window that joins.
+    tolerance by the fold's own count (prev), which takes overlap words off each window that joins. Windows that are full
+    join in groups of equal size, so their chunks follow by arithmetic; only the last group and the few windows that reach
+    over the end are folded, one after the other.
     """
     step = rule.size - rule.overlap
     most = rule.size * (1 + rule.tolerance)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    empty = F.array().cast("array<struct<start:int,end:int,prev:int>>")
-
-    def add(done: Column, s: Column) -> Column:
+    group = 1 + int((most - rule.size) // step)
+    windows, full = F.ceil(n / step).cast("int"), F.when(n >= rule.size, F.floor((n - rule.size) / step).cast("int") + 1).otherwise(0)
+    last = F.floor((full - 1) / group).cast("int")  # the number of the group that is still open; -1 for none
+    kind = "array<struct<start:int,end:int,prev:int>>"
+    none = F.array().cast(kind)
+
+    def closed(g: Column) -> Column:
+        start = (g * (group * step)).cast("int")
+        return F.struct(start.alias("start"), (start + (group - 1) * step + rule.size).alias("end"), F.lit((group - 1) * step + rule.size).alias("prev"))
+
+    left = full - last * group - 1  # windows of the open group beyond its first
+    first = (last * (group * step)).cast("int")
+    open_ = F.struct(first.alias("start"), (first + left * step + rule.size).cast("int").alias("end"), (left * step + rule.size).cast("int").alias("prev"))
+
+    def add(done: Column, i: Column) -> Column:
+        s = (i * step).cast("int")
         length = F.least(F.lit(rule.size), n - s)
-        last = F.element_at(done, -1)
-        grown = last["prev"] + length - rule.overlap
-        fits = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["prev"] + length - rule.overlap <= most)
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s + length).alias("end"), grown.alias("prev"))))
+        before = F.try_element_at(done, F.lit(-1))
+        grown = before["prev"] + length - rule.overlap
+        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(before["start"].alias("start"), F.greatest(before["end"], s + length).alias("end"), grown.alias("prev"))))
         new = F.concat(done, F.array(F.struct(s.alias("start"), (s + length).alias("end"), length.alias("prev"))))
-        return F.when(F.size(done) == 0, new).when(fits, merged).otherwise(new)
+        return F.when((F.size(done) > 0) & (grown <= most), merged).otherwise(new)
 
-    return F.aggregate(starts, empty, add)
+    tail = F.when(windows > full, F.sequence(full, windows - 1)).otherwise(F.array().cast("array<int>"))
+    ended = F.aggregate(tail, F.when(full > 0, F.array(open_)).otherwise(none).cast(kind), lambda done, i: add(done, i).cast(kind))
+    return F.concat(F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), closed)).otherwise(none).cast(kind), ended)
 
 
 def chunks(units: DataFrame, rule: ChunkRule = ChunkRule(), words: str = "words") -> DataFrame:

@@ -22,7 +22,8 @@ def stratified(rows: DataFrame, stratum: str, n: int, order: list[Column]) -> Da
     sizes = {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect()}
     share = quotas(sizes, n)
     quota = F.create_map(*(F.lit(x) for kv in share.items() for x in kv)) if share else F.create_map().cast("map<long,int>")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    # The bound by a number lets Spark keep a few rows of each stratum before they are exchanged.
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).filter(F.col("rank") <= max(share.values(), default=0))
     return ranked.filter(F.col("rank") <= F.coalesce(F.try_element_at(quota, F.col(stratum)), F.lit(0))).drop("rank")
 
 
@@ -57,3 +58,33 @@ def group_rank(rows: DataFrame, by: list[str], bucket: Column, order: list[str])
 def held_out(pool: DataFrame, seeds: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The n first rows, in a fixed order, of the pool's rows whose key isn't among the seeds."""
     return pool.join(seeds.select(key), key, "left_anti").orderBy(*order).limit(n)
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; the comparison reaches the files' statistics."""
+    return rows.filter(F.col(key) == F.lit(value))
+
+
+def subset(ranked: DataFrame, size: float | tuple[int, int], total: int) -> DataFrame:
+    """Rows of a head part (a fraction of total) or of a range of places, by a rank from 1."""
+    first, last = (0, int(size * total)) if isinstance(size, float) else size
+    return ranked.filter((F.col("rank") > first) & (F.col("rank") <= last))
+
+
+def shard(ranked: DataFrame, part: int, parts: int) -> DataFrame:
+    """Every parts-th row from `part` on, by a rank from 1."""
+    return ranked.filter((F.col("rank") - 1) % parts == part)
+
+
+def other_entries(entries: DataFrame, draws: DataFrame, n_docs: int) -> DataFrame:
+    """The columns of draws, other, entry, page_idx: a page of another document for each draw; all three are drawn independently.
+
+    entries: doc (numbered from 0), entry, at (numbered from 0 in its document), n_entries, n_pages. draws: doc and the numbers
+    r_doc, r_entry, r_page, of any size. A draw that comes upon an entry without pages gives none, and with one document none does.
+    """
+    far = (F.col("doc") + 1 + F.pmod("r_doc", F.lit(max(1, n_docs - 1)))) % n_docs
+    sizes = entries.groupBy("doc").agg(F.max("n_entries").alias("n_entries")).withColumnRenamed("doc", "other")
+    drawn = draws.filter(F.lit(n_docs > 1)).withColumn("other", far).join(sizes, "other").withColumn("at", F.pmod("r_entry", F.col("n_entries")))
+    held = entries.select(F.col("doc").alias("other"), "entry", "at", "n_pages")
+    found = drawn.join(held, ["other", "at"]).filter("n_pages > 0")
+    return found.select(*draws.columns, "other", "entry", F.pmod("r_page", F.col("n_pages")).alias("page_idx"))

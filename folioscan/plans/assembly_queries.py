@@ -123,9 +123,9 @@ def noise_pool(spark, sf) -> DataFrame:
 
 
 def answered_questions(spark, sf) -> DataFrame:
-    """Each user turn's first words as a question on its conversation, answered from the page of the largest summed similarity."""
+    """Each user turn as a question on its conversation, answered from the page of the largest summed similarity."""
     rows = pages(spark, sf)
-    asked = rows.filter("role = 'user'").select(F.concat_ws(":", "doc_id", "page_idx").alias("question_id"), "doc_id", F.array_join(F.slice("words", 1, 8), " ").alias("question"))
+    asked = rows.filter("role = 'user'").select(F.concat_ws(":", "doc_id", "page_idx").alias("question_id"), "doc_id", F.array_join("words", " ").alias("question"))
     found = Q.answer_questions(asked, rows.select("doc_id", "page_idx", "words"), "weightmajorpage")
     first = F.try_element_at("answers", F.lit(1))
     return found.select("question_id", first["answer"].alias("answer"), F.round(first["confidence"], 6).alias("confidence"), F.try_element_at("pages", F.lit(1)).alias("page"))

@@ -31,55 +31,55 @@ def _vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def retrieve_pages(spark, sf) -> DataFrame:
-    """Flagship: pages of a conversation are cut in chunks, and the chunks ranked for each user turn's first words.
+    """Flagship: pages of a conversation are cut in chunks, and the chunks ranked for each user turn.
 
     A chunk's similarity is the cosine of hashed term vectors (a lexical stand-in for an embedder); question and chunks
     meet within their document alone. Returns the three best chunks of each question and whether they are of its page.
     """
     rows = pages(spark, sf)
     chunks = C.chunks(rows.select("doc_id", "page_idx", "words")).select("doc_id", "page_idx", "chunk_id", "words")
-    questions = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("gold"), F.slice("words", 1, 8).alias("words"))
+    questions = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("gold"), "words")
     c, q = _vectors(chunks, ["doc_id", "page_idx", "chunk_id"]).alias("c"), _vectors(questions, ["doc_id", "gold"]).alias("q")
     both = q.join(c, (F.col("q.doc_id") == F.col("c.doc_id")) & (F.col("q.term") == F.col("c.term")))
     dots = both.groupBy("q.doc_id", "q.gold", "c.page_idx", "c.chunk_id").agg((F.sum(F.col("q.f") * F.col("c.f")) / (F.first("q.norm") * F.first("c.norm") + 1e-8)).alias("s"))
-    scored = dots.select("doc_id", "gold", "page_idx", "chunk_id", F.round("s", 6).alias("sim"))
-    best = R.top_k(scored, ["doc_id", "gold"], "sim", ["page_idx", "chunk_id"], 3)
-    return best.select("doc_id", "gold", F.col("rank").cast("long").alias("rank"), "page_idx", F.col("chunk_id").cast("long").alias("chunk_id"), "sim", (F.col("page_idx") == F.col("gold")).alias("hit"))
+    best = R.top_k(dots, ["doc_id", "gold"], "s", ["page_idx", "chunk_id"], 3)
+    return best.select("doc_id", "gold", F.col("rank").cast("long").alias("rank"), "page_idx", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("s", 6).alias("sim"), (F.col("page_idx") == F.col("gold")).alias("hit"))
 
 
 def _similarities(spark, sf) -> DataFrame:
-    """Queries (every hundredth vector) against the vectors of their label."""
-    e = table(spark, sf, "embeddings")
+    """Queries (every hundredth vector) against the vectors of their label, a label being a document; each norm is found once."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", V.norm(F.col("embedding")).alias("norm"))
     q, d = e.filter("vec_id % 100 = 0").alias("q"), e.alias("d")
     both = q.join(d, (F.col("q.label") == F.col("d.label")) & (F.col("q.vec_id") != F.col("d.vec_id")))
-    return both.select(F.col("q.vec_id").alias("question"), F.col("d.vec_id").alias("chunk"), F.round(V.cosine(F.col("q.embedding"), F.col("d.embedding")), 6).alias("sim"))
+    sim = V.dot(F.col("q.embedding"), F.col("d.embedding")) / (F.col("q.norm") * F.col("d.norm") + F.lit(1e-8))
+    return both.select(F.col("q.vec_id").alias("question"), F.col("d.vec_id").alias("chunk"), sim.alias("sim"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-SQL_SIM = f"""WITH s AS (SELECT q.vec_id AS question, d.vec_id AS chunk, round({_DOT.format(a='q.embedding', b='d.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='d.embedding', b='d.embedding')}) + 1e-8), 6) AS sim
+SQL_SIM = f"""WITH s AS (SELECT q.vec_id AS question, d.vec_id AS chunk, {_DOT.format(a='q.embedding', b='d.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='d.embedding', b='d.embedding')}) + 1e-8) AS sim
  FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)"""
 
 
 def cosine_topk(spark, sf) -> DataFrame:
     best = R.top_k(_similarities(spark, sf), ["question"], "sim", ["chunk"], 10)
-    return best.select("question", F.col("rank").cast("long").alias("rank"), "chunk", "sim")
+    return best.select("question", F.col("rank").cast("long").alias("rank"), "chunk", F.round("sim", 6).alias("sim"))
 
 
 def rerank_filter(spark, sf) -> DataFrame:
     best = R.top_k(_similarities(spark, sf), ["question"], "sim", ["chunk"], 20)
-    scored = best.withColumn("score", F.round(F.col("sim") + F.col("chunk") % 7 * 0.01, 6))
+    scored = best.withColumn("score", F.col("sim") + F.col("chunk") % 7 * 0.01)
     kept = R.rerank(scored, ["question"], "score", ["chunk"], 0.2, 5, 1)
-    return kept.select("question", "chunk", "score", F.col("new_rank").cast("long").alias("new_rank"))
+    return kept.select("question", "chunk", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
 def _confidences(spark, sf) -> DataFrame:
-    """An answer for each chunk of every conversation's pages, with a made-up confidence."""
+    """An answer for each page of every conversation, its whole text, with a made-up confidence."""
     rows = pages(spark, sf).filter(F.size("words") > 0)
     conf = ((F.col("doc_id") * 13 + F.col("page_idx") * 29) % 100 / 100.0).alias("conf")
-    return rows.select("doc_id", "page_idx", F.lower(F.element_at("words", 1)).alias("answer"), conf)
+    return rows.select("doc_id", "page_idx", F.lower(F.array_join("words", " ")).alias("answer"), conf)
 
 
-SQL_CONF = f"WITH c AS (SELECT conv_id AS doc_id, turn AS page_idx, lower({W}[1]) AS answer, (conv_id * 13 + turn * 29) % 100 / 100.0 AS conf FROM conversations WHERE len({W}) > 0)"
+SQL_CONF = f"WITH c AS (SELECT conv_id AS doc_id, turn AS page_idx, lower(array_to_string({W}, ' ')) AS answer, (conv_id * 13 + turn * 29) % 100 / 100.0 AS conf FROM conversations WHERE len({W}) > 0)"
 
 
 def max_confidence(spark, sf) -> DataFrame:
@@ -188,25 +188,16 @@ def merged_words(spark, sf) -> DataFrame:
 
 
 def chunk_scores(spark, sf) -> DataFrame:
-    """How well the pages of a conversation's other roles hold the first four words of each user turn."""
+    """How well the pages of a conversation's other roles hold an answer: the longest word of each user turn, the first of equal ones."""
     rows = pages(spark, sf)
     text = lambda w: F.array_join(w, " ")
-    asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), text(F.slice("words", 1, 4)).alias("part"))
+    longest = F.aggregate("words", F.lit(""), lambda s, w: F.when(F.length(w) > F.length(s), w).otherwise(s))
+    asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), longest.alias("part"))
     held = rows.filter("role <> 'user'").select("doc_id", text(F.col("words")).alias("chunk"))
     scored = asked.join(held, "doc_id").withColumn("s", window_score(F.col("chunk"), F.col("part")))
     return scored.groupBy("doc_id", "turn").agg(F.round(chunk_score(F.max("s")), 6).alias("chunk_score"))
 
 
-def words_in_layout(spark, sf) -> DataFrame:
-    """Words of documents, each a page, on a grid of ten a line, in the boxes of the page of the same number; labels by last box."""
-    rows = doc_words(spark, sf).select(F.col("doc_id").alias("page"), F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
-    lines = F.ceil(F.col("n") / 10)
-    col, line = F.col("pos") % 10, F.floor(F.col("pos") / 10)
-    words = rows.select("page", "pos", "word", G.box(col / 10, line / lines, (col + 1) / 10, (line + 1) / lines).alias("box"))
-    placed = L.words_in_boxes(words, _boxes(spark, sf))
-    return placed.groupBy("page", "box_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
-
-
 def patch_grid(spark, sf) -> DataFrame:
     sizes = table(spark, sf, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 20 + 100).cast("int").alias("width"), (F.col("p_partkey") % 700 + 60).cast("int").alias("height"))
     return C.patches(sizes, 256).select("image", *(F.col(c).cast("long").alias(c) for c in ("row", "col", "x0", "y0", "x1", "y1")))
@@ -253,7 +244,7 @@ def noise_bins(spark, sf) -> DataFrame:
     return bins.join(found, ["level", "n"], "left").select("level", "n", zero("m").alias("mean"), zero("s").alias("std"))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, words_in_layout, box_clusters, cluster_crops, cluster_parts, merged_words, chunk_scores, patch_grid, stratified, balanced, noise_pages, noise_bins)}
+QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, box_clusters, cluster_crops, cluster_parts, merged_words, chunk_scores, patch_grid, stratified, balanced, noise_pages, noise_bins)}
 
 _VOTE = "v AS (SELECT question, chunk % 5 AS page, {sum} AS votes FROM s WHERE sim > {least} GROUP BY 1, 2) SELECT question, page, {votes} AS votes FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(votes, 6) DESC, page) AS r FROM v) WHERE r = 1"
 _COMPONENTS = SQL_BOXES.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT DISTINCT page, i, j FROM p WHERE touch), r AS (SELECT page, box_id, box_id AS x FROM b UNION SELECT r.page, r.box_id, e.j FROM r JOIN e ON r.page = e.page AND r.x = e.i), k AS (SELECT page, box_id, min(x) AS component FROM r GROUP BY 1, 2)"
@@ -263,16 +254,16 @@ SQL = {
  s AS (SELECT doc_id, page_idx, ws, n, unnest(range(0, n, 50)) AS s FROM n),
  c AS (SELECT doc_id, page_idx, s AS start, ws[s + 1 : CASE WHEN n - (s + 50) <= 22 THEN n ELSE s + 60 END] AS ws FROM s WHERE s = 0 OR n - s > 22),
  ch AS (SELECT doc_id, page_idx, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY start) - 1 AS chunk_id, ws FROM c),
- cw AS (SELECT doc_id, page_idx, chunk_id, unnest(ws) AS w FROM ch), qw AS (SELECT doc_id, page_idx AS gold, unnest(ws[1:8]) AS w FROM p WHERE role = 'user'),
+ cw AS (SELECT doc_id, page_idx, chunk_id, unnest(ws) AS w FROM ch), qw AS (SELECT doc_id, page_idx AS gold, unnest(ws) AS w FROM p WHERE role = 'user'),
  ct AS (SELECT doc_id, page_idx, chunk_id, ('0x' || substr(md5(lower(w)), 1, 2))::INT % 64 AS t, count(*) AS f FROM cw GROUP BY ALL),
  qt AS (SELECT doc_id, gold, ('0x' || substr(md5(lower(w)), 1, 2))::INT % 64 AS t, count(*) AS f FROM qw GROUP BY ALL),
  cn AS (SELECT *, sqrt((sum(f * f) OVER (PARTITION BY doc_id, page_idx, chunk_id))::DOUBLE) AS norm FROM ct), qn AS (SELECT *, sqrt((sum(f * f) OVER (PARTITION BY doc_id, gold))::DOUBLE) AS norm FROM qt),
- d AS (SELECT q.doc_id, q.gold, c.page_idx, c.chunk_id, round(sum(q.f * c.f)::DOUBLE / (any_value(q.norm) * any_value(c.norm) + 1e-8), 6) AS sim FROM qn q JOIN cn c ON q.doc_id = c.doc_id AND q.t = c.t GROUP BY ALL)
- SELECT doc_id, gold, rank, page_idx, chunk_id, sim, page_idx = gold AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gold ORDER BY sim DESC, page_idx, chunk_id) AS rank FROM d) WHERE rank <= 3""",
-    "cosine_topk": SQL_SIM + " SELECT question, rank, chunk, sim FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 10",
-    "rerank_filter": SQL_SIM + """, t AS (SELECT *, round(sim + chunk % 7 * 0.01, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 20),
+ d AS (SELECT q.doc_id, q.gold, c.page_idx, c.chunk_id, sum(q.f * c.f)::DOUBLE / (any_value(q.norm) * any_value(c.norm) + 1e-8) AS s FROM qn q JOIN cn c ON q.doc_id = c.doc_id AND q.t = c.t GROUP BY ALL)
+ SELECT doc_id, gold, rank, page_idx, chunk_id, round(s, 6) AS sim, page_idx = gold AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gold ORDER BY s DESC, page_idx, chunk_id) AS rank FROM d) WHERE rank <= 3""",
+    "cosine_topk": SQL_SIM + " SELECT question, rank, chunk, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 10",
+    "rerank_filter": SQL_SIM + """, t AS (SELECT *, sim + chunk % 7 * 0.01::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 20),
  r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk) AS new_rank, count(*) FILTER (score >= 0.2) OVER (PARTITION BY question) AS n_pass FROM t)
- SELECT question, chunk, score, new_rank FROM r WHERE (n_pass >= 1 AND score >= 0.2 AND new_rank <= 5) OR (n_pass < 1 AND new_rank <= 1)""",
+ SELECT question, chunk, round(score, 6) AS score, new_rank FROM r WHERE (n_pass >= 1 AND score >= 0.2 AND new_rank <= 5) OR (n_pass < 1 AND new_rank <= 1)""",
     "max_confidence": SQL_CONF + " SELECT doc_id, page_idx, answer, round(conf, 6)::DOUBLE AS conf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, page_idx) AS r FROM c) WHERE r = 1",
     "majority_page": SQL_SIM + ", " + _VOTE.format(sum="count(*)", least="0.05", votes="votes"),
     "weighted_page": SQL_SIM + ", " + _VOTE.format(sum="sum(sim)", least="0", votes="round(votes, 4)"),
@@ -283,10 +274,6 @@ SQL = {
     "absorbed_boxes": SQL_BOXES + " SELECT DISTINCT page, i AS box_id FROM p WHERE wi < wj AND CASE WHEN ai <= 0 THEN 0 ELSE inter / ai END >= 0.6",
     "box_components": _COMPONENTS + " SELECT page, box_id, component FROM k",
     "merged_boxes": _COMPONENTS + " SELECT k.page, component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM k JOIN b ON k.page = b.page AND k.box_id = b.box_id GROUP BY 1, 2",
-    "words_in_layout": SQL_BOXES + f""", ws AS (SELECT doc_id AS page, {W} AS ws FROM documents), g AS (SELECT page, len(ws) AS n, unnest(range(0, len(ws))) AS pos FROM ws),
- wb AS (SELECT page, pos, (pos % 10) / 10 AS x0, (pos // 10) / ceil(n / 10) AS y0, (pos % 10 + 1) / 10 AS x1, (pos // 10 + 1) / ceil(n / 10) AS y1 FROM g),
- m AS (SELECT w.page, b.box_id, pos FROM wb w JOIN b ON w.page = b.page WHERE greatest(0, least(w.x1, b.x1) - greatest(w.x0, b.x0)) * greatest(0, least(w.y1, b.y1) - greatest(w.y0, b.y0)) / ((w.x1 - w.x0) * (w.y1 - w.y0)) > 0.5)
- SELECT page, box_id, count(*) AS n, sum(pos)::BIGINT AS places FROM m GROUP BY 1, 2""",
     "cluster_crops": SQL_BOXES + """, f2 AS (SELECT *, box_id % 4 = 0 AS lone, CASE WHEN box_id % 4 = 0 THEN box_id ELSE box_id % 4 - 1 END AS id, (box_id % 3)::BIGINT AS label FROM b),
  l AS (SELECT page, lone, id, label, round(sum((x1 - x0) * (y1 - y0)), 9) AS area, min(box_id) AS seen FROM f2 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY page, lone, id ORDER BY area DESC, seen) AS r FROM l),
  u AS (SELECT page, lone, id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM f2 GROUP BY ALL)
@@ -304,11 +291,17 @@ SQL = {
  r AS (SELECT *, unnest(range(0, nr)) AS row FROM g), c AS (SELECT *, unnest(range(0, nc)) AS col FROM r),
  x AS (SELECT image, w, h, row, col, greatest(0, least(col * 128, w - 256)) AS x0, greatest(0, least(row * 128, h - 256)) AS y0 FROM c)
  SELECT image, row, col, x0::BIGINT AS x0, y0::BIGINT AS y0, least(x0 + 256, w)::BIGINT AS x1, least(y0 + 256, h)::BIGINT AS y1 FROM x""",
+    "stratified": """WITH z AS (SELECT conv_id, count(*) AS n_pages FROM conversations GROUP BY conv_id), k AS (SELECT n_pages, row_number() OVER (ORDER BY n_pages) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT n_pages FROM z)),
+ u AS (SELECT z.*, row_number() OVER (PARTITION BY z.n_pages ORDER BY conv_id * 7919 % 1009, conv_id) AS u, 30 // k + CASE WHEN i < 30 % k THEN 1 ELSE 0 END AS share FROM z JOIN k ON z.n_pages = k.n_pages)
+ SELECT conv_id, n_pages FROM (SELECT *, row_number() OVER (ORDER BY greatest(0, u - share), n_pages, u) AS r FROM u) WHERE r <= 30""",
+    "suppressed_boxes": SQL_BOXES.replace("WITH", "WITH RECURSIVE", 1) + """, z AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, box_id) AS r FROM a),
+ folded AS (SELECT page, r, [box_id] AS kept FROM z WHERE r = 1 UNION ALL SELECT f.page, z.r, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.page = z.page AND p.i = z.box_id AND list_contains(f.kept, p.j) AND inter / (ai + aj - inter + 1e-8) > 0.3) THEN f.kept ELSE list_append(f.kept, z.box_id) END FROM folded f JOIN z ON z.page = f.page AND z.r = f.r + 1)
+ SELECT page, unnest(kept) AS box_id FROM (SELECT page, arg_max(kept, r) AS kept FROM folded GROUP BY page)""",
     "balanced": "WITH n AS (SELECT count(*) AS n FROM labels WHERE toxic = 1) SELECT doc_id, toxic FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id * 7919 % 10007, doc_id) AS r FROM labels WHERE toxic = 0), n WHERE r <= n",
     "noise_pages": """WITH z AS (SELECT conv_id AS d, count(*) AS n FROM conversations GROUP BY 1), o AS (SELECT a.d, a.n, k, b.d AS other, b.n AS m FROM z a, (SELECT unnest([1, 2]) AS k) x, z b WHERE b.d = a.d + k),
  u AS (SELECT conv_id AS d, turn AS place, 1 AS own, 0 AS k, turn AS old FROM conversations UNION ALL SELECT d, (d * 3 + k) % (n + 1), 0, k, (other * 5) % m FROM o)
  SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY place, own, k, old) - 1 AS page_idx, old AS old_page, own = 0 AS was_noise FROM u""",
     "noise_bins": """WITH z AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT conv_id, n, level, rep, (conv_id * 17 + level * 5 + rep * 31) % 101 / 100.0 AS s FROM z, (SELECT unnest([0, 3, 20, 100])::BIGINT AS level), (SELECT unnest([0, 1, 2]) AS rep)),
  e AS (SELECT level, conv_id, n, avg(s) AS m, stddev_pop(s) AS sd FROM r GROUP BY 1, 2, 3), f AS (SELECT level, n, avg(m) AS m, avg(sd) AS sd FROM e GROUP BY 1, 2)
- SELECT b.level, b.n, round(coalesce(m, 0), 6)::DOUBLE AS mean, round(coalesce(sd, 0), 6)::DOUBLE AS std FROM (SELECT * FROM (SELECT unnest([0, 3, 20, 100])::BIGINT AS level), (SELECT unnest(range(1, 11)) AS n)) b LEFT JOIN f ON f.level = b.level AND f.n = b.n""",
+ SELECT b.level, b.n, round(coalesce(m, 0), 6)::DOUBLE AS mean, round(coalesce(sd, 0), 6)::DOUBLE AS std FROM (SELECT * FROM (SELECT unnest([0, 3, 20, 100])::BIGINT AS level), (SELECT unnest(range(1, (SELECT greatest(max(n), 10) + 1 FROM z))) AS n)) b LEFT JOIN f ON f.level = b.level AND f.n = b.n""",
 }
