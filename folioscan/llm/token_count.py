@@ -6,11 +6,13 @@ once, and a parallel prefix scan composes the maps into each chunk's true start
 piece; each transition is annotated with how many more tokens the piece has after the byte than before it. It is
 determinised on demand: its state holds, for each start from which a token may still grow, the node of the token trie, the
 last token before that start, and the token count there. So a text's count is a sum over its transitions.
-A null text counts as empty: no bytes, no tokens.
+A null text counts as empty: no bytes, no tokens. Whole texts are counted, however long. Nothing is drawn or compared, so
+there are no ties; rows that repeat are counted each for itself, an empty table gives no rows, other columns don't matter.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -26,24 +28,39 @@ CHUNK = 256
 #: States that the piece transducer holds before it is compiled afresh.
 STATES = 120_000
 #: A packed transition: the next state, and the gain plus GAIN in the low bits.
-BITS, GAIN = 5, 16
+BITS, GAIN = 10, 512
 
 # Character classes of the piece pattern: the letters of 's 't 're 've 'm 'll 'd stand alone.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, S1, R, V, L, E = range(11)
 CLASSES = 11
 
 
-def character_classes() -> np.ndarray:
-    """The class of every code point."""
-    import regex
+@functools.cache
+def class_ranges(path: str) -> list[tuple[int, int, int]]:
+    """(first, last, class) of all code points, asked from the tokenizer file's own pre-tokenizer.
+
+    It cuts a text of all code points in order wherever their class changes; one character of each piece is then held
+    against a letter, a digit and a sign, and belongs with the one that it isn't cut from.
+    """
+    from tokenizers import Tokenizer
 
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def of(c: str) -> int:
+        return next((kind for kind, known in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(cut(known + c)) == 1), BLANK)
+
+    high = [*range(0x80, 0xD800), *range(0xE000, 0x110000)]
+    out = [(c, c, of(chr(c))) for c in range(0x80)]
+    for _, (a, b) in cut("".join(map(chr, high))):
+        out.append((high[a], high[b - 1], of(chr(high[a]))))
+    return out
+
+
+def character_classes(ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    """The class of every code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for m in regex.finditer(pattern, everything):
-            a, b = ord(m[0][0]), ord(m[0][-1])
-            out[a : b + 1] = kind
-    out[0xD800:0xE000] = OTHER
+    for first, last, kind in ranges:
+        out[first : last + 1] = kind
     for c, kind in ((" ", SPACE), ("'", QUOTE), *((c, S1) for c in "stmd"), ("r", R), ("v", V), ("l", L), ("e", E)):
         out[ord(c)] = kind
     return out
@@ -227,7 +244,8 @@ class PieceCounter:
             if best is None and (t := self.token[child]) >= 0 and (before < 0 or self.compatible(before, t)):
                 best = (t, count + 1)
         last, gain = best
-        assert -GAIN <= gain < (1 << BITS) - GAIN
+        if not -GAIN <= gain < (1 << BITS) - GAIN or len(self.states) >= 1 << (31 - BITS):
+            raise OverflowError(f"a transition's gain of {gain} or state {len(self.states)} exceeds its field")
         key = (*((n, b, c - gain) for n, b, c in grown if self.children[n]), (0, last, 0))
         if (found := self.state_of.get(key)) is None:
             found = self.state_of[key] = len(self.states)
@@ -284,8 +302,8 @@ class PieceCounter:
 
 
 class TokenCounter:
-    def __init__(self, path: str):
-        self.classes, self.scanner, self.pieces = character_classes(), PieceScanner(), PieceCounter(path)
+    def __init__(self, path: str, ranges: list[tuple[int, int, int]]):
+        self.classes, self.scanner, self.pieces = character_classes(ranges), PieceScanner(), PieceCounter(path)
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and tokens of each text. A special token's string counts as one token wherever it stands."""
@@ -318,9 +336,10 @@ class TokenCounter:
 _loaded: dict[str, TokenCounter] = {}
 
 
-def load(path: str) -> TokenCounter:
+def load(path: str, ranges: list[tuple[int, int, int]] | None = None) -> TokenCounter:
+    """One counter for each file and worker. ranges: those of class_ranges, if they are known already."""
     if path not in _loaded:
-        _loaded[path] = TokenCounter(path)
+        _loaded[path] = TokenCounter(path, ranges or class_ranges(path))
     return _loaded[path]
 
 
@@ -330,8 +349,10 @@ def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int =
     Null and empty texts have no bytes and no tokens; repeated rows and null ids stay as they are.
     """
 
+    ranges = class_ranges(vocabulary(file))  # about two thousand; found once, on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load(vocabulary(file))
+        counter = load(vocabulary(file), ranges)
         for part in slices(batches, most=2 << 20):
             size, tokens = counter.count([t or "" for t in part.column("text").to_pylist()])
             yield pa.record_batch([part.column("doc_id"), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
