@@ -3,7 +3,10 @@
 A sentence's chance is logistic in the words it holds; a document's is the noisy-or of its sentences'. Weights are fitted
 to document labels alone, by gradient steps on the noisy-or's likelihood, over the words that tell the two labels apart
 best in a bounded sample (at most EACH documents of a label and SAMPLE_CHARS characters). `offending` locates sentences.
-A null or empty text has no sentence and gets the chance of an empty sentence; equal texts get equal scores.
+A null or empty text has no sentence and gets the chance of an empty sentence; equal texts get equal scores, and a very long
+text is scored whole. Rows that repeat a doc_id are learnt from once (the least text) and scored each for itself. Of words
+that tell the labels apart equally well those of least hash are taken. Without labelled rows of both kinds every text gets
+the same score; empty tables give no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, pick, slices
-from .sample import choose
+from .sample import choose, texts_of
 from .wordmemo import join, keys
 
 EACH = 2000
@@ -142,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Noisy:
             yield pa.record_batch([part.column("doc_id"), part.column("toxic"), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "toxic", "h", "s"])
 
     kind = dict(chosen.dtypes)["toxic"]
-    found = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id long, toxic {kind}, h binary, s binary").limit(40_000).collect()
+    found = texts_of(rows, chosen, "toxic").mapInArrow(run, f"doc_id long, toxic {kind}, h binary, s binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["h"])))
     return train([(np.frombuffer(r["h"], "<u8"), np.frombuffer(r["s"], "<i4")) for r in found], np.array([int(r["toxic"] > 0) for r in found], np.int64))
 
