@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import vectors as V
@@ -12,7 +13,17 @@ from folioscan.operators import chunking as C
 from folioscan.operators import models as M
 from folioscan.operators import ranking as R
 
-MODES = ("oracle", "concat", "maxconf", "anyconf", "maxconfpage", "anyconfpage", "anyconforacle", "majorpage", "weightmajorpage")
+MODES = ("oracle", "concat", "maxconf", "anyconf", "maxconfpage", "anyconfpage", "anyconforacle", "majorpage", "weightmajorpage", "custom", "none", "whole")
+
+
+@dataclass(frozen=True)
+class Rerank:
+    """Retrieved chunks are scored anew with their question; those at or above threshold stay, `most` at the most, `least` at the least."""
+
+    scorer: Callable[[], M.PairScorer] = M.SharedWords
+    threshold: float = 0.4
+    most: int = 5
+    least: int = 1
 
 
 def retrieve(questions: DataFrame, pages: DataFrame, k: int, rule: C.ChunkRule, embedder: Callable[[], M.Embedder], gold: bool = False) -> DataFrame:
@@ -26,16 +37,53 @@ def retrieve(questions: DataFrame, pages: DataFrame, k: int, rule: C.ChunkRule,
     keys = ["doc_id", "page_idx"] if gold else ["doc_id"]
     page = [F.col("gold_page").alias("page_idx")] if gold else []
     asked = questions.select("question_id", "doc_id", *page, "question", M.embedding(F.col("question"), embedder).alias("qv"))
-    scored = asked.join(chunks, keys).withColumn("sim", F.round(V.cosine(F.col("qv"), F.col("cv")), 6)).drop("qv", "cv")
+    scored = asked.join(chunks, keys).withColumn("sim", V.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv")
     return R.top_k(scored, ["question_id"], "sim", ["page_idx", "chunk_id"], k)
 
 
-def answer_questions(questions: DataFrame, pages: DataFrame, mode: str = "concat", k: int = 10, rule: C.ChunkRule = C.ChunkRule(), embedder: Callable[[], M.Embedder] = M.HashedTerms, answerer: Callable[[], M.Answerer] = M.BestSentence) -> DataFrame:
+def reranked(best: DataFrame, how: Rerank) -> DataFrame:
+    """The rows of `retrieve` that a second scorer keeps, ranked by its scores."""
+    scored = best.withColumn("score", M.pair_score(F.col("question"), F.array_join("words", " "), how.scorer))
+    kept = R.rerank(scored, ["question_id"], "score", ["rank"], how.threshold, how.most, how.least)
+    return kept.withColumn("rank", F.col("new_rank")).drop("score", "new_rank", "n_pass")
+
+
+def with_surroundings(best: DataFrame, pages: DataFrame, rule: C.ChunkRule, around: int) -> DataFrame:
+    """The rows of `retrieve` with up to `around` words more on either side, from the list of the page's chunk words.
+
+    A word that a better chunk of the question has taken isn't taken again; a chunk of which nothing is left stays, empty.
+    """
+    chunks = C.chunks(pages.select("doc_id", "page_idx", "words"), rule).withColumn("n", F.size("words"))
+    before = Window.partitionBy("doc_id", "page_idx").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    places = chunks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).select("doc_id", "page_idx", "chunk_id", "first", "n")
+    lists = chunks.groupBy("doc_id", "page_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "words"))), lambda c: c["words"])).alias("every"))
+    kept = best.join(places, ["doc_id", "page_idx", "chunk_id"]).join(lists, ["doc_id", "page_idx"])
+    grown = F.explode(F.sequence(F.greatest(F.lit(0), F.col("first") - around), F.least(F.size("every") - 1, F.col("first") + F.col("n") - 1 + around)))
+    words = kept.select("question_id", "doc_id", "page_idx", "rank", "every", grown.alias("pos")).select("question_id", "doc_id", "page_idx", "rank", "pos", F.get("every", F.col("pos")).alias("word"))
+    taken = words.groupBy("question_id", "doc_id", "page_idx", "pos").agg(F.min("rank").alias("rank"), F.first("word").alias("word"))
+    again = taken.groupBy("question_id", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]).alias("grown"))
+    held = best.drop("words").join(again, ["question_id", "rank"], "left")
+    return held.withColumn("words", F.coalesce("grown", F.array().cast("array<string>"))).drop("grown")
+
+
+def windows(questions: DataFrame, pages: DataFrame, most: int, seed: int = 1) -> DataFrame:
+    """question_id, question, doc_id, page_idx, words: at most `most` pages in a row of each question's document, its gold page among them."""
+    n = pages.groupBy("doc_id").agg(F.max("page_idx").alias("last"))
+    low = F.greatest(F.lit(0), F.col("gold_page") - most + 1)
+    high = F.least(F.col("gold_page"), F.greatest(F.lit(0), F.col("last") + 1 - most))
+    first = low + F.pmod(F.xxhash64(F.lit(seed), "question_id"), F.greatest(F.lit(1), high - low + 1))
+    cut = questions.join(n, "doc_id").withColumn("first", first)
+    return cut.join(pages, "doc_id").filter((F.col("page_idx") >= F.col("first")) & (F.col("page_idx") < F.col("first") + most)).select("question_id", "question", "doc_id", "page_idx", "words")
+
+
+def answer_questions(questions: DataFrame, pages: DataFrame, mode: str = "concat", k: int = 10, rule: C.ChunkRule = C.ChunkRule(), embedder: Callable[[], M.Embedder] = M.HashedTerms, answerer: Callable[[], M.Answerer] = M.BestSentence, rerank: Rerank | None = None, around: int = 0, max_pages: int = 1) -> DataFrame:
     """question_id, answers (array of answer, confidence) and pages (those of its evidence, best first) of every question.
 
-    questions: question_id, doc_id, question, and gold_page for the oracle modes; pages: doc_id, page_idx, words. Only the
-    any modes give more than one answer, one for each chunk or page, best first; a question without evidence gets none.
-    Page modes take each of the retrieved pages once. Nothing but k rows of a question is ever collected in one place.
+    questions: question_id, doc_id, question, and gold_page for the oracle modes and custom; pages: doc_id, page_idx, words.
+    Only the any modes give more than one answer, one for each chunk or page, best first; a question without evidence gets none.
+    Page modes take each of the retrieved pages once. Without retrieval, custom reads a window of max_pages pages around the
+    gold page, none the first page (of documents that have but one), and whole the whole document. Retrieved chunks may be
+    reranked, and grown by `around` words. But for whole, nothing but k rows of a question is collected in one place.
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
@@ -44,8 +92,20 @@ def answer_questions(questions: DataFrame, pages: DataFrame, mode: str = "concat
         own = questions.withColumnRenamed("gold_page", "page_idx").join(whole, ["doc_id", "page_idx"])
         contexts = own.select("question_id", "question", F.lit(1).alias("rank"), "page_idx", "context")
         listed = contexts.select("question_id", F.array("page_idx").alias("pages"))
+    elif mode in ("custom", "none", "whole"):
+        if mode == "custom":
+            read = windows(questions, pages, max_pages)
+        else:
+            read = questions.select("question_id", "question", "doc_id").join(pages.select("doc_id", "page_idx", "words"), "doc_id")
+            read = read.join(pages.groupBy("doc_id").agg(F.min("page_idx").alias("page_idx")), ["doc_id", "page_idx"], "left_semi") if mode == "none" else read
+        held = read.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(F.struct("page_idx", "words"))).alias("p"))
+        context = F.array_join(F.flatten(F.transform("p", lambda x: x["words"])), " ")
+        contexts = held.select("question_id", "question", F.lit(1).alias("rank"), context.alias("context"))
+        listed = held.select("question_id", F.col("p.page_idx").alias("pages"))
     else:
         best = retrieve(questions, pages, k, rule, embedder, mode == "anyconforacle")
+        best = reranked(best, rerank) if rerank else best
+        best = with_surroundings(best, pages, rule, around) if around else best
         listed = best.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page_idx"))).alias("p")).select("question_id", F.array_distinct("p.page_idx").alias("pages"))
         if mode == "concat":
             joined = C.concat_evidence(best, ["question_id"], "rank")

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions import geometry as G
+from folioscan.operators.assembly import words_of_chars
+
 BOXES = "array<array<array<double>>>"
 PAGED = f"question_id string, question string, answers array<string>, answer_page_idx int, image_id string, image_name array<string>, ocr_tokens array<array<string>>, ocr_normalized_boxes {BOXES}"
 INFOGRAPHIC = "data array<struct<questionId:string, question:string, answers:array<string>, ocr_output_file:string, image_local_name:string>>"
@@ -118,3 +121,68 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     page = F.try_to_number(F.nullif(F.regexp_extract("file", r"_p?(\d+)\.[^.]*$", 1), F.lit("")), F.lit("999999999"))
     return rows.select(F.regexp_replace("file", r"(_p?\d+)?\.[^.]*$", "").alias("document"), page.cast("int").alias("page"), F.col("value").alias("text"))
+
+
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; made and written first if it isn't there whole yet."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """name (without its ending), file, length, content of image files; the content is read only where it is used."""
+    rows = spark.read.format("binaryFile").load(path)
+    file = F.element_at(F.split("path", "/"), -1)
+    return rows.select(F.regexp_replace(file, r"\.[^.]*$", "").alias("name"), file.alias("file"), "length", "content")
+
+
+def pages_with_images(questions: DataFrame, pictures: DataFrame) -> DataFrame:
+    """The columns of questions and page_idx, image_name, content of each of its image_name (an array); a missing image is an error of the data and leaves null."""
+    rows = questions.select("*", F.posexplode("image_name").alias("page_idx", "_name")).drop("image_name").withColumnRenamed("_name", "image_name")
+    return rows.join(pictures.select(F.col("name").alias("image_name"), "content"), "image_name", "left")
+
+
+def images_with_ocr(spark: SparkSession, images_path: str, ocr_path: str) -> DataFrame:
+    """name, length, lines, words, boxes of image files and the OCR files of the same name; an image without one has nulls."""
+    ocr = ocr_pages(spark, ocr_path).withColumn("name", F.regexp_replace("file", r"\.[^.]*$", "")).drop("file")
+    return images(spark, images_path).select("name", "length").join(ocr, "name", "left")
+
+
+def ocr_documents(spark: SparkSession, path: str) -> DataFrame:
+    """document, lines of OCR files named <document>_<page>.json or <document>_p<page>.json: the pages' lines in the order of their numbers."""
+    rows = ocr_pages(spark, path).select(F.regexp_replace("file", r"(_p?\d+)?\.[^.]*$", "").alias("document"), F.coalesce(F.nullif(F.regexp_extract("file", r"_p?(\d+)\.[^.]*$", 1), F.lit("")).cast("long"), F.lit(0)).alias("page"), "lines")
+    return rows.groupBy("document").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "lines"))), lambda p: p["lines"])).alias("lines"))
+
+
+def document_words(spark: SparkSession, path: str, parser: Callable[[], Callable[[bytes], Iterator[tuple[int, int, int, str, float, float, float, float, float, float]]]]) -> DataFrame:
+    """document, page, line, first, word, box of each file: words of the characters that a parser finds.
+
+    parser makes, in each task, a function from a file's bytes to (page, line, place, character, left, bottom, right, top, page's
+    width, page's height), with the origin at the lower left, as page description formats have it. Words end at blanks; boxes are
+    shares of the page with the origin at the upper left, cut off at its edges. A document is parsed once, whatever asks for it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = parser()
+        for batch in batches:
+            for path_, content in zip(batch["path"], batch["content"], strict=True):
+                rows = [(path_, *c) for c in read(bytes(content))]
+                for k in range(0, len(rows), 50_000):
+                    yield pd.DataFrame(rows[k : k + 50_000], columns=["path", "page", "line", "pos", "char", "l", "b", "r", "t", "w", "h"])
+
+    chars = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, line int, pos int, char string, l double, b double, r double, t double, w double, h double")
+    box = G.clip(G.box(F.col("l") / F.col("w"), 1 - F.col("t") / F.col("h"), F.col("r") / F.col("w"), 1 - F.col("b") / F.col("h")))
+    placed = chars.select(F.struct(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("document"), "page").alias("page"), "line", "pos", "char", box.alias("box"))
+    return words_of_chars(placed).select("page.document", "page.page", "line", "first", "word", "box")
+
+
+def read_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """image_name, box_id, box, label, cluster as `sinks.write_layouts` wrote them."""
+    return spark.read.parquet(path)
+
+
+def prompt(spark: SparkSession, path: str) -> str:
+    """A small text file, without the white space around it."""
+    return spark.read.text(path, wholetext=True).first()[0].strip()

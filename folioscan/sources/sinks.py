@@ -41,3 +41,24 @@ def write_report(scores: DataFrame, path: str, score: str, classes: dict[str, Co
     rows = report(scores, score, classes)
     line = F.format_string("%s | %s | n = %d | mean = %.4f", "class", F.coalesce("value", F.lit("-")), "n", "mean")
     rows.coalesce(1).sortWithinPartitions("class", "value").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_layouts(boxes: DataFrame, path: str) -> None:
+    """image_name, box_id, box, label, cluster as Parquet; a page's boxes stand together."""
+    kept = boxes.select("image_name", "box_id", "box", "label", "cluster")
+    kept.repartition("image_name").sortWithinPartitions("image_name", "box_id").write.mode("overwrite").parquet(path)
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """All columns as JSON lines, nulls kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def run_summary(scores: DataFrame, measures: list[str], seconds: dict[str, float], **about: str) -> DataFrame:
+    """One row: what the run is about, its samples, the means, the share without a score, and each step's seconds, mean and share."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    means = (F.coalesce(F.avg(F.coalesce(F.col(m).cast("double"), F.lit(0.0))), F.lit(0.0)).alias(m) for m in measures)
+    missing = F.count_if(F.col(measures[0]).isNull()) / n
+    whole = sum(seconds.values()) or 1.0
+    steps = (F.struct(F.lit(float(s)).alias("seconds"), (F.lit(float(s)) / n).alias("mean"), F.lit(s / whole).alias("share")).alias(f"{k}_time") for k, s in seconds.items())
+    return scores.agg(F.count("*").alias("n"), *means, missing.alias("failure_rate"), *steps).select(*(F.lit(v).alias(k) for k, v in about.items()), "*")

@@ -40,6 +40,9 @@ def test_modes(tables, mode):
         if mode in ("oracle", "anyconforacle"):
             own = [(" ".join(w), p) for d, p, w in PAGES if (d, p) == (doc, gold) and (w or mode == "oracle")]
             want = ask(q, [t for t, _ in own]), [p for _, p in own]
+        elif mode in ("custom", "none", "whole"):  # no retrieval: a window of one page around the gold page, the first page, all pages
+            own = [(" ".join(w), p) for d, p, w in PAGES if d == doc and p in {"custom": [gold], "none": [0], "whole": [0, 1, 2]}[mode]]
+            want = ask(q, [" ".join(t for t, _ in own if t)] if own else []), [p for _, p in own]
         elif mode == "concat":
             want = ask(q, [" ".join(texts)] if texts else []), pages
         elif mode.startswith("maxconf"):
