@@ -48,7 +48,7 @@ def test_boxes(spark):
 
 
 def test_answers(spark):
-    cases = [("42", "42", "int", 1.0), ("-5", "-5.9", "int", 1.0), ("42", "43", "int", 0.0), ("3.7", "3.7%", "float", 1.0), ("[b,a]", "a,b", "list", 1.0), ("x", None, "not-answerable", 1.0), ("Abc ", "abc", "string", 1.0), ("none", "None", "string", 1.0), ("a@b.co", "a@b.cx", "string", 0.0), ("4\n2", "4 2", "string", 0.0)]
+    cases = [("42", "42", "int", 1.0), ("-5", "-5.9", "int", 1.0), ("42", "43", "int", 0.0), ("3.7", "3.7%", "float", 1.0), ("[b,a]", "a,b", "list", 1.0), ("x", None, "not-answerable", 1.0), ("Abc ", "abc", "string", 1.0), ("none", "None", "string", 0.0), ("a@b.co", "a@b.cx", "string", 0.0), ("4\n2", "4 2", "string", 0.0)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, gold string, pred string, kind string, want double")
     got = rows.select("i", "want", X.accuracy(F.array("gold"), F.col("pred"), F.col("kind")).alias("a")).collect()
     assert [r.a for r in sorted(got)] == [r.want for r in sorted(got)]

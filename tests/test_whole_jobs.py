@@ -1,13 +1,12 @@
 """Jobs that must not lose rows beyond the sizes of the given tables."""
 
-import random
+import time
 from statistics import mean, pstdev
 
-import corpus_pipeline
+from pyspark.sql import functions as F
 
 from folioscan import catalog
-from folioscan.llm import pii
-from folioscan.llm.sample import choose
+from folioscan.operators import chunking as C
 
 
 def test_noise_bins_of_long_conversations(spark, tmp_path):
@@ -25,41 +24,29 @@ def test_noise_bins_of_long_conversations(spark, tmp_path):
     assert all(abs(a - b) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
-def test_pii_in_long_runs():
-    fill = ",".join(f"field{c}" for c in "abcdefghijklmnop")
-    for text in (f"{fill},lee(at)host.com,212-555-0147,{fill}", f'{{"a":"{fill}","mail":"lee(at)host.com","tel":"212-555-0147"}}', "日本語" * 30 + "lee(at)host.com、" + "日本語" * 5 + "212-555-0147" + "日本語" * 30):
-        masked = text.replace("lee(at)host.com", "<email>").replace("212-555-0147", "<phone>")
-        assert len(max(text.split(), key=len)) > 64 and pii.mask(text) == masked
-    name = "a" * 70
-    assert pii.mask(f"write to {name}(at)host.com or call") == "write to <email> or call"
-    # The address begins in the words kept behind a number.
-    assert pii.mask(f"in 1999 and {name}(at)host.com or call") == "in 1999 and <email> or call"
-    assert pii.mask(f"in 1999 and {'b' * 30} {'a' * 40}(at)host.com or") == f"in 1999 and {'b' * 30} <email> or"
-    for text in ("9," * 50_000, "a1" * 50_000, "x(at)" * 20_000, "1 " * 50_000):
-        assert pii.mask(text) == text
-
+def test_spans_of_short_items(spark, tmp_path):
+    """Items of any length are found where they stand first, in the middle of words too, and copies of one text alike."""
+    items = [(0, "one two three four five six seven"), (1, "lone"), (2, "a b"), (3, ""), (4, "x two three four five six y z")]
+    docs = [(0, "zero one two three four five six seven, lone"), (1, "alone"), (2, "a  b and a b"), (3, ""), (4, None), (5, "prex two three four five six y zed"), (6, "one two  three four five six seven")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["item_id"], r["span_start"], r["span_end"]) for r in catalog.queries()["answer_span"](spark, str(tmp_path)).collect()}
+    want = {}
+    for doc_id, text in docs:
+        hits = [(text.find(t), i, text.find(t) + len(t)) for i, t in items if text and t and t in text]
+        want[doc_id] = (lambda h: (h[1], h[0], h[2]))(min(hits)) if hits else (-1, 0, 0)
+    assert got == want
 
-def test_sample_goes_on_behind_long_rows(spark):
-    def chosen(long, chars=1000, count=100):
-        rows = [(i, "ab"[i % 2], long.get(i, 10)) for i in range(count)]
-        got = choose(spark.createDataFrame(rows, "doc_id long, label string, n long"), "label", count, chars=chars)
-        return sorted(r["doc_id"] for r in got.collect())
 
-    assert chosen({}) == list(range(100))
-    for n in (990, 5000):  # too long beside the others, or by itself, whatever its rank is
-        for i in (0, 1, 50, 77):
-            assert chosen({i: n}) == [x for x in range(100) if x != i]
-    assert chosen({3: 20}, chars=2000) == list(range(100))
-    assert chosen({0: 7000, 1: 6000}, count=2) == [1]
+def test_pairs_of_near_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "what is the red house made of"), (1, 1, "assistant", "What is the red house made of?"), (1, 2, "user", "what is the red house made for"), (1, 3, "system", "something else"), (2, 0, "user", "what is the red house made of")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["anchor"], r["positive"]) for r in catalog.queries()["contrastive_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 1), (1, 0, 2), (1, 2, 0), (1, 2, 1)}
 
 
-def test_near_duplicates_of_repeated_ids(spark):
-    rng = random.Random(5)
-    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(6)]
-    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[5]), (None, texts[3]), (4, texts[0])]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
-    assert kept.columns == docs.columns
-    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert sorted(i for i, _ in got if i is not None) == [1, 2, 3]
-    assert sorted(t for i, t in got if i is None) == sorted([texts[4], texts[5]])
+def test_a_long_document_is_chunked_in_seconds(spark):
+    words = spark.range(1).select(F.lit(1).alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: i.cast("string")).alias("words"))
+    began = time.time()
+    row = C.chunks(words).agg(F.count("*").alias("n"), F.max("end").alias("last"), F.sum(F.size("words")).alias("held")).first()
+    assert (row["n"], row["last"]) == (20_000, 1_000_000) and row["held"] >= 1_000_000 and time.time() - began < 60
