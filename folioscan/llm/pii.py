@@ -3,8 +3,11 @@
 The field is trained in numpy on a small labelled table (`labelled`) and decoded by Viterbi in padded batches. A span holds
 a digit, an at sign or a spelt-out one; so only windows are decoded, of words that hold one of these and GAP words on
 either side. A run of more than 64 characters without blanks is split into words at punctuation that no span holds and at
-characters of scripts without blanks. The field's spans are kept where they don't touch a span of the patterns: those stay.
-A null or empty text has no spans. Spans are in code points, ends exclusive.
+characters of scripts without blanks. The field alone decides on its spans, by features that tell among others whether a
+run of numbers passes Luhn's rule; they are kept where they don't touch a span of the patterns, which stay.
+A null or empty text has no spans, a very long one is read whole. Of equally likely tags the first in order of TAGS is taken.
+Spans are in code points, ends exclusive. Rows that repeat are read each for itself, an empty table gives no rows, and other
+columns, also with clashing names, stay as they are in `redact` and don't matter else.
 """
 
 from __future__ import annotations
@@ -93,17 +96,52 @@ def shape(word: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 17)}", core)
 
 
+#: Words of digits and what stands between them in numbers; an address; the end of a host; a number with its area first.
+NUMERIC = re.compile(r"[0-9().+/-]*[0-9][0-9().+/-]*")
+FOUR = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+HOST = re.compile(r"\.[A-Za-z]{2}|[\[(]dot[\])]")
+AREA = re.compile(r"\+|\(?[0-9]{3}[)\s.-]")
+AT = re.compile(r"[\[(]at[\])]")
+EDGES = ".,;:!?|\"'"
+
+
 def features(words: list[str]) -> list[list[str]]:
-    shapes = [shape(w.strip(".,;:!?|\"'")) if w.strip(".,;:!?|\"'") else w[:4] for w in words]
+    """What the field sees of each word: its shape and its neighbours', and what the run of numbers that it stands in makes."""
+    cores = [w.strip(EDGES) for w in words]
+    shapes = [shape(c) if c else w[:4] for c, w in zip(cores, words, strict=True)]
     padded = ["<", *shapes, ">"]
     plain = [("a" if s in ("a", "a-a") else s) for s in padded]
+    at_sign = [bool(AT.search(w)) or "@" in w for w in words]
     out = []
     for i, s in enumerate(shapes):
-        found = [f"s={s}", f"s={s}&p={plain[i]}", f"s={s}&n={plain[i + 2]}"]
+        found = [f"s={s}", f"s={s}&p={plain[i]}", f"s={s}&n={plain[i + 2]}", f"at={any(at_sign[max(0, i - 4) : i + 5])}"]
+        if any(c.isalpha() for c in cores[i]) and any(c.isdigit() for c in cores[i]):
+            found.append("mixed")
         found += [x for x in ("@", "(at)", "[at]", "+", "(", "/", "=") if x in s]
         found.append(f"digits={min(20, sum(c.isdigit() for c in words[i][:64]))}")
         found.append(f"dots={min(4, s.count('.'))}")
+        if FOUR.fullmatch(cores[i]):
+            found.append(f"ip={all(len(p.lstrip('0')) <= 3 and int(p.lstrip('0') or 0) <= 255 for p in cores[i].split('.'))}")
+        if AT.search(words[i]):
+            found.append(f"host={bool(HOST.search(' '.join(words[i : i + 4])))}")
         out.append(found)
+    i = 0
+    while i < len(words):  # runs of numbers: what they make together
+        j = i
+        while j < len(words) and NUMERIC.fullmatch(cores[j]):
+            j += 1
+        if j > i:
+            run = " ".join(cores[i:j])
+            digits = re.sub("[^0-9]", "", run)
+            told = [f"run={min(20, len(digits))}", f"area={bool(AREA.match(run)) and len(digits) in (10, 11)}"]
+            if 14 <= len(digits) <= 19:
+                told.append(f"luhn={luhn(digits)}")
+            for k in range(i, j):
+                out[k] += told
+                own = re.sub("[^0-9]", "", cores[k])
+                if 14 <= len(own) <= 19:
+                    out[k].append(f"own_luhn={luhn(own)}")
+        i = max(j, i + 1)
     return out
 
 
@@ -115,7 +153,7 @@ def labelled() -> list[tuple[list[str], list[str]]]:
         "card": ["4111111111111111", "5500 0000 0000 0004", "4012-8888-8888-1881"],
         "phone": ["+1 (974) 555-3436", "+44 20 7946 0958", "(212) 555-0147", "212-555-0147", "415.555.0132", "+4930901820"],
     }
-    others = ["token = \"a9f3c21b77\"", "in 1999 and", "page 12 of 340", "version 2.10.3 is", "costs 14.50 now", "item #553 |", "at 10:45 on 2024-05-06", "ISBN 978-3-16-148410-0", "1,234,567 words", "the 2024/25 year", "code 55501 holds", "sum 12345678901234 of", "id=20240506112233 ok", "look at this dot", "meet @ noon", "3-4 days", "555 words", "(see 12)", "12-14-16 and"]
+    others = ["token = \"a9f3c21b77\"", "in 1999 and", "page 12 of 340", "version 2.10.3 is", "costs 14.50 now", "item #553 |", "at 10:45 on 2024-05-06", "ISBN 978-3-16-148410-0", "1,234,567 words", "the 2024/25 year", "code 55501 holds", "sum 12345678901234 of", "id=20240506112233 ok", "look at this dot", "meet @ noon", "3-4 days", "555 words", "(see 12)", "12-14-16 and", "9807915762804490 is", "4111 1111 1111 1112 of", "1219538112535716", "1.2.3.400 is", "300.1.2.3 and", "look (at) that word", "meet [at] ten", "call 5551234 now", "123-45-678 of", "id 20240506112233 4455", "order 0007687199101951 of", "sum 1234567890123456789 is", "a 12 34 56 78", "tel 4930901820 or", "cat1 dog2 hill3", "covid19 and b2b", "x86 h2o mp3 is", "rev2a of 4th", "top10 in 90s", "a1b2c3d4 0x1f of", "no.5 v1.2 is", "2x4 of 3d", "€12.50 or $3", "50% of 7pm", "3 14 159 2653 58979 323846 2643383 27950288", "100 200 300 400 500 600", "1 2 3 4 5 6 7 8 9 10 11 12", "5700636579 865832808 9650 200037491772 20 210104923", "8449 7602 1234 99 12 4401 22", "2024 2023 2022 2021 2020 2019", "0.5 1.25 3.75 10.0 22.4", "7 4268865143 988 9754365732 711999 871392635 9474662", "12 345 6789 01234 567890 1234567 89012345 678901234 5678901234"]
     around = [("", ""), ("write to", "or call"), ("the word", "and others."), ("|", "|"), ("from", "")]
     rows = []
     for before, after in around:
@@ -245,17 +283,6 @@ def field() -> Field:
     return _field[0]
 
 
-def plausible(kind: int, text: str) -> bool:
-    """What a span of the field must hold to be kept."""
-    digits = sum(c.isdigit() for c in text)
-    if kind == 0:
-        return bool(re.search(r"[\[(]at[\])]", text)) and "@" not in text and bool(re.search(r"\.[A-Za-z]{2}|[\[(]dot[\])]", text))
-    if kind == 3:
-        return 10 <= digits <= 11 and bool(re.match(r"\+|\(?[0-9]{3}[)\s.-]", text))
-    whole = base_spans(text)  # an address or card that the patterns miss for the digits beside it
-    return any(k == kind and (a, b) == (0, len(text)) for a, k, b in whole)
-
-
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """The words around those that may be in a span, as spans of words."""
     out: list[list[tuple[int, int]]] = []
@@ -300,9 +327,9 @@ def spans(texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
             elif tag:
                 held.append([a, KINDS.index(TAGS[tag][2:]), b])
         for a, k, b in held:
-            while b > a and texts[i][b - 1] in ".,;:!?|\"'":
+            while b > a and texts[i][b - 1] in EDGES:
                 b -= 1
-            if plausible(k, texts[i][a:b]) and not any(a < y and x < b for x, _, y, _ in out[i]):
+            if b > a and not any(a < y and x < b for x, _, y, _ in out[i]):
                 out[i].append((a, k, b, False))
     return [sorted(x) for x in out]
 
