@@ -3,8 +3,10 @@
 Counts come from one pass over the texts. The label model then needs only how often each pattern of votes occurs: at most
 3 ** rules patterns, however many rows there are. A rule's accuracy is how often it casts each
 vote among good and among bad rows; the posterior chance that a row is good decides, instead of a demand that every rule
-passes.
-A null or empty text has no words, so it fails the base rule; equal texts get equal verdicts.
+passes. Only a prior worth PRIOR rows says what the votes mean; all else is estimated.
+A null or empty text has no words, so it fails the base rule; a very long one is counted whole; equal texts get equal
+verdicts. A chance of exactly one half is kept. Rows that repeat count and are judged each for itself; an empty table gives
+no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, documents, pick, slices
 from .wordmemo import _BLANK, texts_as_bytes, word_ids, words
 
+#: Rows that the prior counts for, and the chances that it starts from of each vote among bad (0) and good (1) rows.
+PRIOR = 50.0
+START = {("-", 0): 0.3, ("0", 0): 0.2, ("+", 0): 0.5, ("-", 1): 0.01, ("0", 1): 0.19, ("+", 1): 0.8}
+GOOD = 0.9
 #: Names of the counts, in the order of the columns.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_short")
 
@@ -94,30 +100,24 @@ def votes(counts: DataFrame) -> DataFrame:
     return counts.withColumn("pattern", F.concat(*cast))
 
 
-def fit(patterns: dict[str, int], steps: int = 50) -> tuple[dict[str, float], dict[str, np.ndarray], float]:
-    """Posterior chance of good for each pattern, the chances of each rule's votes in bad and good rows, and the share of good.
-
-    A rule's chances stay within bounds that say what a vote means: a bad vote is rare among good rows and not among bad
-    ones; a good vote is common among good rows, and says less, since a bad row breaks one rule and keeps the others.
-    """
+def fit(patterns: dict[str, int], steps: int = 100) -> tuple[dict[str, float], dict[tuple[str, int], np.ndarray], float]:
+    """Posterior chance of good for each pattern, the chances of each rule's votes in bad and good rows, and the share of good."""
     if not patterns:
-        return {}, {}, 0.9
-    names = list(patterns)
+        return {}, {}, GOOD
+    names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], float)
     cast = {v: np.array([[c == v for c in p] for p in names], float) for v in "-0+"}
-    bounds = {("-", 0): (0.1, 0.95), ("-", 1): (0.0005, 0.05), ("+", 0): (0.3, 0.9), ("+", 1): (0.3, 0.97)}
-    rate = {("-", 0): 0.3, ("-", 1): 0.01, ("+", 0): 0.5, ("+", 1): 0.7}
-    rate = {k: np.full(cast["0"].shape[1], v) for k, v in rate.items()}
-    good = 0.9
+    rate = {k: np.full(cast["0"].shape[1], x) for k, x in START.items()}
+    good = GOOD
     for _ in range(steps):
-        logs = [np.log(1 - good if k == 0 else good) + cast["-"] @ np.log(rate["-", k]) + cast["+"] @ np.log(rate["+", k]) + cast["0"] @ np.log(np.maximum(1 - rate["-", k] - rate["+", k], 0.02)) for k in (0, 1)]
+        logs = [np.log(good if k else 1 - good) + sum(cast[v] @ np.log(rate[v, k]) for v in "-0+") for k in (0, 1)]
         chance = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         for k, share in ((0, 1 - chance), (1, chance)):
             held = weight * share
-            for v in "-+":
-                rate[v, k] = np.clip((held @ cast[v] + 0.1) / (held.sum() + 1), *bounds[v, k])
-        good = float(np.clip((weight * chance).sum() / weight.sum(), 0.5, 0.98))
-    return dict(zip(names, chance.tolist(), strict=True)), {f"{v}{k}": x for (v, k), x in rate.items()}, good
+            for v in "-0+":
+                rate[v, k] = (held @ cast[v] + PRIOR * START[v, k]) / (held.sum() + PRIOR)
+        good = float((weight @ chance + PRIOR * GOOD) / (weight.sum() + PRIOR))
+    return dict(zip(names, chance.tolist(), strict=True)), rate, good
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
