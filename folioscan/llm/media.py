@@ -2,8 +2,10 @@
 
 `store` keeps bytes losslessly as 8-bit mono WAV; `audio_features` reads the stored bytes back, resamples them with a
 polyphase filter, takes overlapped log-mel frames, cuts these in tensors of one shape, and marks the loud stretches with
-two thresholds (hysteresis). All of it is per row and map-only, so equal rows get equal values.
-A null or empty text is stored as its padding alone; null media gives null features.
+two thresholds (hysteresis). All of it is per row and map-only, so equal rows get equal values; `write` keeps it as a table.
+A null or empty text is stored as its padding alone; null media gives null features. A very long text is read in steps, so a
+row takes little more than its media and tensors. A frame exactly at a threshold is loud at ON and not yet quiet at OFF. Rows
+that repeat stay, an empty table gives no rows, and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ BLOCK = 64
 #: dB above the median energy at which a stretch begins, and below which it ends.
 ON, OFF = 3.0, 1.0
 UNIT = 192
-#: Samples that one step resamples.
-STEP = 1 << 18
+#: Frames that one step makes.
+STEP = 1024
 
 
 def wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -88,26 +90,36 @@ _FILTERS, _MEL = _filters(), _mel()
 _WINDOW = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase: every DOWN input samples give UP output samples, each phase with its own filter."""
-    wide = np.concatenate([np.zeros(TAPS // 2 - 1, np.float32), x, np.zeros(TAPS + DOWN, np.float32)])
-    groups = -(-len(x) // DOWN)
-    frames = np.lib.stride_tricks.as_strided(wide, (groups, TAPS), (4 * DOWN, 4))
-    out = np.concatenate([frames[k : k + STEP // DOWN] @ _FILTERS for k in range(0, groups, STEP // DOWN)])
-    return out.ravel()[: len(x) * UP // DOWN]
+def resample(x: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Polyphase: every DOWN input samples give UP output samples, each phase with its own filter; silence beyond the end.
+
+    x: float32, or unsigned bytes, of which only the stretch that is needed becomes numbers. lo, hi: the output samples wanted.
+    """
+    total = len(x) * UP // DOWN
+    hi = total if hi is None else hi
+    first, last = lo // UP, -(-hi // UP)  # groups of UP output samples
+    begin, end = first * DOWN - (TAPS // 2 - 1), last * DOWN + TAPS
+    part = x[max(0, begin) : max(0, min(len(x), end))]
+    wide = np.zeros(end - begin, np.float32)
+    wide[max(0, -begin) : max(0, -begin) + len(part)] = (part.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else part
+    frames = np.lib.stride_tricks.as_strided(wide, (last - first, TAPS), (4 * DOWN, 4))
+    out = (frames @ _FILTERS).ravel()[lo - first * UP : hi - first * UP]
+    out[max(0, total - lo) :] = 0
+    return out
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """dB in each band of each overlapped frame; the last frame is filled up with silence."""
-    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
-    wide = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + FRAME - len(x)), np.float32)])
-    frames = np.lib.stride_tricks.as_strided(wide, (n, FRAME), (4 * HOP, 4))
+    """dB in each band of each overlapped frame of the resampled sound, STEP frames at a time; the last one ends in silence."""
+    n = 1 + max(0, -(-(len(x) * UP // DOWN - FRAME) // HOP))
     parts = []
-    for k in range(0, n, 2048):
-        spectrum = np.fft.rfft(frames[k : k + 2048] * _WINDOW, axis=1)
+    for k in range(0, n, STEP):
+        m = min(STEP, n - k)
+        wide = resample(x, k * HOP, (k + m - 1) * HOP + FRAME)
+        frames = np.lib.stride_tricks.as_strided(wide, (m, FRAME), (4 * HOP, 4))
+        spectrum = np.fft.rfft(frames * _WINDOW, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        parts.append(10 * np.log10(power @ _MEL + np.float32(1e-6)))
-    return np.round(np.concatenate(parts), 2).astype(np.float32)
+        parts.append(np.round(10 * np.log10(power @ _MEL + np.float32(1e-6)), 2).astype(np.float32))
+    return np.concatenate(parts)
 
 
 def stretches(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -147,8 +159,8 @@ def read_tensors(data: bytes) -> pa.Table:
 
 def features(samples: bytes) -> tuple[bytes, list[tuple[float, float]]]:
     """The tensors, and the loud stretches in seconds."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x)) if len(x) else np.zeros((0, MELS), np.float32)
+    x = np.frombuffer(samples, np.uint8)
+    mel = log_mel(x) if len(x) else np.zeros((0, MELS), np.float32)
     second = HOP * DOWN / (RATE * UP)
     loud = stretches(mel.mean(1)) if len(mel) else []
     return tensors(mel), [(round(a * second, 6), round(b * second, 6)) for a, b in loud]
@@ -182,8 +194,15 @@ def audio_features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, samples binary, tensors binary, loud array<struct<start_s:double,end_s:double>>")
 
 
+def write(docs: DataFrame, path: str) -> None:
+    """A Parquet table of doc_id, n_bytes, media, tensors and loud of every row."""
+    audio_features(store(docs)).drop("samples").write.parquet(path)
+
+
 def op2_audio_features(spark, sf_dir: str) -> DataFrame:
+    """The contract's digests; with them the loud stretches themselves, and the number of tensors."""
     rows = audio_features(store(documents(spark, sf_dir)))
     size = lambda c: F.length(c).cast("long")
     feature = F.concat_ws(":", F.size("loud"), F.sha2(F.to_json("loud").cast("binary"), 256).substr(1, 16), F.sha2("tensors", 256))
-    return rows.select("doc_id", "n_bytes", size("samples").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -16)")).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    frames = F.greatest(F.lit(1), F.ceil((F.floor(size("samples") * UP / DOWN) - FRAME) / HOP) + 1)
+    return rows.select("doc_id", "n_bytes", size("samples").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -16)")).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "loud", F.ceil(frames / BLOCK).cast("long").alias("n_tensors"))
