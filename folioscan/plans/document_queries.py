@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.functions import vectors as V
+from folioscan.functions.text import bind
 from folioscan.operators import assembly as A
 from folioscan.operators import inputs as I
 from folioscan.operators import layout as L
@@ -176,9 +177,12 @@ def flattened_patches(spark, sf) -> DataFrame:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """words of rows as structs of word, pos and box, on a grid of ten a line."""
-    lines = F.ceil(F.size("words") / 10)
-    at = lambda w, i: F.struct(w.alias("word"), i.alias("pos"), G.box(i % 10 / 10, F.floor(i / 10) / lines, (i % 10 + 1) / 10, (F.floor(i / 10) + 1) / lines).alias("box"))
-    return rows.withColumn("words", F.transform("words", at))
+
+    def grid(ws, lines):
+        return F.transform(ws, lambda w, i: F.struct(w.alias("word"), i.alias("pos"), G.box(i % 10 / 10, F.floor(i / 10) / lines, (i % 10 + 1) / 10, (F.floor(i / 10) + 1) / lines).alias("box")))
+
+    # The number of lines is bound, or it would be found, from the whole text, for every word anew.
+    return rows.withColumn("words", bind(F.col("words"), lambda ws: bind(F.ceil(F.size(ws) / 10), lambda lines: grid(ws, lines))))
 
 
 def page_tokens(spark, sf) -> DataFrame:
@@ -216,8 +220,8 @@ SQL_PLACED = f"""w AS (SELECT doc_id, doc_id % 100 AS page, {W} AS ws, len({W})
 
 def words_in_layout(spark, sf) -> DataFrame:
     """The words of every document in the boxes of its page."""
-    held = L.words_of_boxes(_word_pages(spark, sf), _boxes(spark, sf)).filter(F.size("words") > 0)
-    return held.select("doc_id", "box_id", F.size("words").cast("long").alias("n"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["pos"]).alias("places"))
+    held = L.words_of_boxes(_word_pages(spark, sf), _boxes(spark, sf))
+    return held.groupBy("doc_id", "box_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
 
 
 def _labelled_boxes(spark, sf) -> DataFrame:
@@ -226,8 +230,7 @@ def _labelled_boxes(spark, sf) -> DataFrame:
 
 def word_labels(spark, sf) -> DataFrame:
     """How many words of every document have which label: that of the last box they lie in."""
-    rows = L.label_words(_word_pages(spark, sf), _labelled_boxes(spark, sf)).select("doc_id", F.explode("labels").alias("label"))
-    return rows.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    return L.label_words(_word_pages(spark, sf), _labelled_boxes(spark, sf)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
 def layout_chunks(spark, sf) -> DataFrame:
