@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.functions import vectors as V
+from folioscan.functions.text import bind
 from folioscan.operators import assembly as A
 from folioscan.operators import chunking as C
 from folioscan.operators import layout as L
@@ -31,9 +32,13 @@ def labelled_words(spark, sf) -> DataFrame:
 
 def compact_chunks(spark, sf) -> DataFrame:
     """Text and box of the chunks of every turn; its words stand on a grid of ten a line."""
-    lines = F.ceil(F.size("words") / 10)
-    place = lambda w, i: F.struct(w.alias("word"), G.box(i % 10 / 10, F.floor(i / 10) / lines, (i % 10 + 1) / 10, (F.floor(i / 10) + 1) / lines).alias("box"))
-    chunks = C.chunks(pages(spark, sf).select("doc_id", "page_idx", F.transform("words", place).alias("words")))
+
+    def grid(ws, lines):
+        return F.transform(ws, lambda w, i: F.struct(w.alias("word"), G.box(i % 10 / 10, F.floor(i / 10) / lines, (i % 10 + 1) / 10, (F.floor(i / 10) + 1) / lines).alias("box")))
+
+    # The number of lines is bound, or it would be found, from the whole text, for every word anew.
+    words = bind(F.col("words"), lambda ws: bind(F.ceil(F.size(ws) / 10), lambda lines: grid(ws, lines)))
+    chunks = C.chunks(pages(spark, sf).select("doc_id", "page_idx", words.alias("words")))
     found = chunks.select("doc_id", "page_idx", "start", A.compact(F.col("words.word"), F.col("words.box")).alias("c"))
     sides = (F.round(F.col(f"c.box.{n}"), 6).alias(n) for n in ("x0", "y0", "x1", "y1"))
     return found.select("doc_id", "page_idx", F.col("start").cast("long").alias("start"), F.md5(F.col("c.text").cast("binary")).alias("text_md5"), *sides)

@@ -132,14 +132,20 @@ def token_budget(spark, sf) -> DataFrame:
 
 
 def surrounding_words(spark, sf) -> DataFrame:
-    """The three longest chunks of each document with 15 places on either side; places count overlap words twice."""
-    rows = C.chunks(doc_words(spark, sf)).withColumn("n", F.size("words"))
-    run = Window.partitionBy("doc_id").orderBy("chunk_id")
-    placed = rows.withColumn("last", F.sum("n").over(run) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    kept = R.top_k(placed, ["doc_id"], "n", ["chunk_id"], 3).select("doc_id", F.lit(0).alias("page_idx"), "rank", "first", "last")
-    positions = rows.groupBy("doc_id").agg(F.sum("n").alias("n_places")).select("doc_id", F.lit(0).alias("page_idx"), "n_places")
-    out = C.surroundings(kept, positions, 15).groupBy("doc_id", "rank")
-    return out.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n")).select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
+    """The three longest chunks of each document with 15 places on either side; places count overlap words twice.
+
+    Chunks are known by their ranges alone, and a place by the arrays of the three, so no word and no place becomes a row.
+    """
+    sizes = doc_words(spark, sf).select("doc_id", F.posexplode_outer(C.chunk_ranges(F.size("words"))).alias("chunk_id", "r")).filter(F.col("chunk_id").isNotNull())
+    rows = sizes.select("doc_id", "chunk_id", (F.col("r.end") - F.col("r.start")).alias("n"))
+    doc = Window.partitionBy("doc_id")
+    placed = rows.withColumns({"last": F.sum("n").over(doc.orderBy("chunk_id")) - 1, "n_places": F.sum("n").over(doc)}).withColumn("first", F.col("last") - F.col("n") + 1)
+    best = R.top_k(placed, ["doc_id"], "n", ["chunk_id"], 3)
+    held = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "first", "last", "n_places"))).alias("k"))
+    grown = held.withColumn("places", F.transform("k", lambda c: F.sequence(F.greatest(F.lit(0), c["first"] - 15), F.least(c["n_places"] - 1, c["last"] + 15))))
+    own = F.transform("places", lambda p, i: F.array_except(p, F.flatten(F.slice("places", 1, i))))  # a better chunk's places stay its own
+    out = grown.select("doc_id", F.posexplode(own).alias("at", "p")).filter(F.size("p") > 0)
+    return out.select("doc_id", (F.col("at") + 1).cast("long").alias("rank"), F.array_min("p").alias("first"), F.array_max("p").alias("last"), F.size("p").cast("long").alias("n"))
 
 
 def _answers(spark, sf) -> DataFrame:
