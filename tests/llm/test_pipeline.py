@@ -1,4 +1,4 @@
-"""Each stage of the pipeline against brute force or a library, on odd rows: nulls, repeats, clashing names, a very long text."""
+"""Each stage of the pipeline against brute force or a library, on odd rows: nulls, repeats, clashing names, a long text."""
 
 import hashlib
 import re
@@ -14,7 +14,7 @@ from folioscan.llm import bpe, simhash
 WORDS = "the cat and the dog are here to see what stands in all of these lines that we read today while it rains on the hill".split()
 ENGLISH = " ".join(WORDS * 3)
 GERMAN = "der hund und die katze sind heute hier um zu sehen was in all diesen zeilen steht die wir lesen während es regnet " * 3
-LONG = " ".join(f"{WORDS[i % len(WORDS)]}{i % 101}" for i in range(1_700_000))  # about 10 MB
+LONG = " ".join(f"{WORDS[i % len(WORDS)]}{i % 101}" for i in range(400_000))  # about 2.5 MB
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `Text` string"
 ROWS = [
     (3, ENGLISH, "en", "a", 1, "x"), (5, GERMAN, "de", "b", 1, "x"), (5, ENGLISH, "en", "a", 1, "x"), (5, GERMAN, "de", "b", 1, "x"), (5, GERMAN, "de", "b", 1, "x"),
