@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, documents, pick, slices
 from .wordmemo import _BLANK, texts_as_bytes, word_ids, words
 
-#: Rows that the prior counts for, and the chances that it starts from of each vote among bad (0) and good (1) rows.
+#: Rows that the prior counts for, and the chances that it starts from of each vote among bad (0) and good (1) rows: a bad row
+#: breaks a rule or two and keeps the others.
 PRIOR = 50.0
-START = {("-", 0): 0.3, ("0", 0): 0.2, ("+", 0): 0.5, ("-", 1): 0.01, ("0", 1): 0.19, ("+", 1): 0.8}
+START = {("-", 0): 0.2, ("0", 0): 0.1, ("+", 0): 0.7, ("-", 1): 0.01, ("0", 1): 0.19, ("+", 1): 0.8}
 GOOD = 0.9
 #: Names of the counts, in the order of the columns.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_short")
