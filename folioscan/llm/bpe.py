@@ -22,8 +22,8 @@ from .common import documents, pick, slices
 NONE = np.int32(0x7FFFFFFF)
 #: Pieces of more bytes are merged with a heap instead of a matrix row.
 WIDEST = 256
-#: Entries that a worker's memo of chunks holds before it starts afresh.
-MEMO = 200_000
+#: Entries that a worker's memo of chunks holds at most, and characters of a chunk that is kept.
+MEMO, KEPT = 200_000, 32
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Cuts where the piece pattern always cuts too: each chunk holds whole pieces.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -171,16 +171,20 @@ class RankBPE:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         chunks = [CHUNK.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
+        memo, rare = self.memo, {}
         if missing := list({c for found in chunks for c in found if c not in memo}):
             cuts = [self.pattern.findall(c) for c in missing]
             pieces = list({p for found in cuts for p in found})
             ids = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True))
             for c, found in zip(missing, cuts, strict=True):
-                memo[c] = ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found])
-        return [b"".join([memo[c] for c in found]) for found in chunks]
+                rare[c] = ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found])
+        out = [b"".join([memo[c] if c in memo else rare[c] for c in found]) for found in chunks]
+        if len(memo) + len(rare) > MEMO:
+            memo.clear()
+        for c, x in zip(rare, rare.values(), strict=True):
+            if len(c) <= KEPT and len(memo) < MEMO:
+                memo[c] = x
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
