@@ -6,11 +6,9 @@ import json
 import re
 from typing import Any
 
-# The ways to choose evidence, those that hierarchical models have, and these models' names.
+# The ways to choose evidence, and those that hierarchical models have.
 RETRIEVAL = ("oracle", "concat", "logits", "maxconf", "anyconf", "maxconfpage", "anyconfpage", "majorpage", "weightmajorpage", "anyconforacle", "custom", "none")
 HIERARCHICAL = ("oracle", "custom")
-HIERARCHICAL_MODELS = ("hi-layoutlmv3", "hi-lt5", "hi-vt5", "hivt5")
-SINGLE_PAGE = ("SP-DocVQA",)
 SEED = 42
 
 
@@ -23,18 +21,18 @@ def merge(*layers: dict[str, Any]) -> dict[str, Any]:
 
 
 def check(config: dict[str, Any]) -> list[str]:
-    """Warnings about a configuration; raises where it can't run."""
-    mode, model = str(config.get("page_retrieval", "none")).lower(), str(config["model_name"]).lower()
+    """Warnings about a configuration; raises where it can't run. `hierarchical` says so of its model, `single_page` of its dataset."""
+    mode, hierarchical = str(config.get("page_retrieval", "none")).lower(), bool(config.get("hierarchical"))
     if mode not in RETRIEVAL:
         raise ValueError(f"no such retrieval: {mode}")
-    if mode == "custom" and model not in HIERARCHICAL_MODELS:
+    if mode == "custom" and not hierarchical:
         raise ValueError("custom retrieval is for hierarchical models")
-    if model in HIERARCHICAL_MODELS and mode not in (*HIERARCHICAL, "none"):
+    if hierarchical and mode not in (*HIERARCHICAL, "none"):
         raise ValueError(f"a hierarchical model can't run with {mode} retrieval")
     said = []
     if mode not in (*HIERARCHICAL, "none") and config.get("max_pages") is not None:
         said.append(f"max_pages is ignored with {mode} retrieval")
-    if mode == "none" and config.get("dataset_name") not in SINGLE_PAGE:
+    if mode == "none" and not config.get("single_page"):
         said.append("retrieval none is for datasets of single pages")
     return said
 

@@ -20,9 +20,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors can't i
 def test_configuration():
     merged = C.merge({"a": 1, "page_retrieval": None}, {"a": None, "b": 2}, {"b": 3})
     assert merged == {"a": 1, "b": 3, "seed": 42, "page_retrieval": "concat"}
-    assert C.check({"model_name": "VT5", "page_retrieval": "concat", "max_pages": 3}) == ["max_pages is ignored with concat retrieval"]
-    assert len(C.check({"model_name": "VT5", "page_retrieval": "none", "dataset_name": "other"})) == 1
-    for bad in ({"model_name": "VT5", "page_retrieval": "custom"}, {"model_name": "HiVT5", "page_retrieval": "concat"}, {"model_name": "VT5", "page_retrieval": "no"}):
+    assert C.check({"page_retrieval": "concat", "max_pages": 3}) == ["max_pages is ignored with concat retrieval"]
+    assert len(C.check({"page_retrieval": "none"})) == 1 and C.check({"page_retrieval": "none", "single_page": True}) == [] == C.check({"page_retrieval": "custom", "hierarchical": True})
+    for bad in ({"page_retrieval": "custom"}, {"page_retrieval": "concat", "hierarchical": True}, {"page_retrieval": "no"}):
         with pytest.raises(ValueError):
             C.check(bad)
     assert C.overridden({"a": 1}, ["a=2", "b=True", "c=x=y", "d"]) == {"a": 2, "b": True, "c": "x=y"}
