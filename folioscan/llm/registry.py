@@ -16,11 +16,13 @@ from .pii import op5_pii
 from .quality import op9_quality_rules
 from .simhash import op4_simhash
 from .token_count import op7_token_counts
+from .spelling import op11_spelling
 from .toxicity import op8_toxicity
+from .warc import op12_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_audio_features, op3_mixing, op4_simhash, op5_pii, op6_language_id, op7_token_counts, op8_toxicity, op9_quality_rules, op10_token_files, op13_merkle)
+    found = (op1_byte_bpe, op2_audio_features, op3_mixing, op4_simhash, op5_pii, op6_language_id, op7_token_counts, op8_toxicity, op9_quality_rules, op10_token_files, op11_spelling, op12_warc, op13_merkle)
     return {f.__name__: f for f in found}
 
 
