@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as X
 from folioscan.operators import chunking as C
+from folioscan.operators import matching as M
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
 from folioscan.sources.tables import pages, table, words
@@ -32,25 +33,20 @@ def normal_answers(spark, sf) -> DataFrame:
 def answer_span(spark, sf) -> DataFrame:
     """Where each document holds a whole item of benchmark for the first time; item -1 and (0, 0) for documents that hold none.
 
-    Of several items the one that stands first in the text counts, then the one of least number. Items are looked for by their
-    second to sixth words, which stand in a text as words of their own wherever the item does: documents' runs of five words
-    are joined to them, so no document meets every item. An item of fewer than seven words has no such run; these few are
-    held against every text.
+    Of several items the one that stands first in the text counts, then the one of least number.
     """
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"), words(F.col("text")).alias("w")).filter(F.length("gold") > 0)
-    run = lambda i: F.array_join(F.slice("w", i, 5), " ")
-    long = items.filter(F.size("w") >= 7).select("item_id", "gold", run(2).alias("key"))
-    runs = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), run))).alias("key"))
-    met = runs.join(long, "key").select("doc_id", "item_id", "gold").join(docs, "doc_id")
-    short = items.filter(F.size("w") < 7).select("item_id", "gold").join(docs, F.contains("text", "gold"))
-    both = met.select("doc_id", "item_id", "gold", "text").unionByName(short.select("doc_id", "item_id", "gold", "text"))
-    at = both.select("doc_id", "item_id", (F.expr("locate(gold, text)") - 1).alias("start"), F.length("gold").alias("n")).filter("start >= 0")
-    first = at.groupBy("doc_id").agg(F.min(F.struct("start", "item_id", "n")).alias("f"))
-    found = docs.select("doc_id").join(first, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return found.select("doc_id", F.coalesce("f.item_id", F.lit(-1)).cast("long").alias("item_id"), zero(F.col("f.start")).alias("span_start"), zero(F.col("f.start") + F.col("f.n")).alias("span_end"))
+    found = M.one_span(docs, M.first_spans(docs, table(spark, sf, "benchmark")))
+    return found.select("doc_id", "item_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+
+
+def answer_choice(spark, sf) -> DataFrame:
+    """The same with a drawn one of a document's items, and how many it holds: as golds of a question, of which one is trained on."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    spans = M.first_spans(docs, table(spark, sf, "benchmark"))
+    found = M.one_span(docs, spans, "(doc_id * 7 + 3) % n")
+    n = spans.groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    return found.join(n, "doc_id", "left").select("doc_id", "item_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
 
 
 def _gold(rows: DataFrame) -> DataFrame:
@@ -273,7 +269,7 @@ def contrastive_pairs(spark, sf) -> DataFrame:
     return scored.filter(F.col("s") > PAIR).select("conv_id", "anchor", "positive", F.round("s", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (page_context, normal_answers, answer_span, oracle_page, size_subset, page_window, chunk_words, chunk_histogram, histogram_summary, histogram_extremes, concat_context, token_budget, surrounding_words, typed_accuracy, typed_anls, any_of_anls, report_score, accuracy_f1, report_by_type, report_by_source, dataset_means, label_means, timing_shares, best_so_far, contrastive_pairs)}
+QUERIES = {f.__name__: f for f in (page_context, normal_answers, answer_span, answer_choice, oracle_page, size_subset, page_window, chunk_words, chunk_histogram, histogram_summary, histogram_extremes, concat_context, token_budget, surrounding_words, typed_accuracy, typed_anls, any_of_anls, report_score, accuracy_f1, report_by_type, report_by_source, dataset_means, label_means, timing_shares, best_so_far, contrastive_pairs)}
 
 SQL_GOLD = "g AS (SELECT conv_id, max(turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id)"
 
@@ -281,6 +277,7 @@ SQL = {
     "page_context": f"SELECT conv_id AS doc_id, turn AS page_idx, list_aggregate(list_transform({W}, lambda w: lower(w)), 'string_agg', ' ') AS context FROM conversations WHERE len({W}) > 0 UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE len({W}) = 0",
     "normal_answers": "SELECT conv_id, string_agg(r, ',' ORDER BY r) AS answers FROM (SELECT DISTINCT conv_id, lower(role) AS r FROM conversations) GROUP BY conv_id",
     "answer_span": "WITH m AS (SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS s, length(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, item_id) AS r FROM m) SELECT d.doc_id, coalesce(item_id, -1) AS item_id, coalesce(s, 0) AS span_start, coalesce(s + n, 0) AS span_end FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id AND r = 1",
+    "answer_choice": "WITH m AS (SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS s, length(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_id) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM m) SELECT d.doc_id, coalesce(item_id, -1) AS item_id, coalesce(s, 0) AS span_start, coalesce(s + n, 0) AS span_end, coalesce(c, 0) AS n_items FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id AND r = (f.doc_id * 7 + 3) % c",
     "oracle_page": f"WITH {SQL_GOLD} SELECT c.conv_id AS doc_id, turn AS page_idx, len({W}) AS n_words FROM conversations c JOIN g ON c.conv_id = g.conv_id WHERE turn = gold",
     "size_subset": "SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE rank <= floor(c * 0.3)",
     "page_window": f"""WITH {SQL_GOLD}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
