@@ -13,6 +13,7 @@ from folioscan.operators import clustering as K
 from folioscan.operators import layout as L
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
+from folioscan.operators import search as N
 from folioscan.plans.text_queries import SQL_WORDS, doc_words
 from folioscan.sources.tables import pages, table
 
@@ -46,28 +47,25 @@ def retrieve_pages(spark, sf) -> DataFrame:
     return best.select("doc_id", "gold", F.col("rank").cast("long").alias("rank"), "page_idx", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("s", 6).alias("sim"), (F.col("page_idx") == F.col("gold")).alias("hit"))
 
 
-def _similarities(spark, sf) -> DataFrame:
-    """Queries (every hundredth vector) against the vectors of their label, a label being a document; each norm is found once."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", V.norm(F.col("embedding")).alias("norm"))
-    q, d = e.filter("vec_id % 100 = 0").alias("q"), e.alias("d")
-    both = q.join(d, (F.col("q.label") == F.col("d.label")) & (F.col("q.vec_id") != F.col("d.vec_id")))
-    sim = V.dot(F.col("q.embedding"), F.col("d.embedding")) / (F.col("q.norm") * F.col("d.norm") + F.lit(1e-8))
-    return both.select(F.col("q.vec_id").alias("question"), F.col("d.vec_id").alias("chunk"), sim.alias("sim"))
+def _nearest(spark, sf, k: int) -> DataFrame:
+    """Queries (every hundredth vector) against all others: the k most similar of each."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return N.nearest(e.filter("id % 100 = 0"), e, k)
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-SQL_SIM = f"""WITH s AS (SELECT q.vec_id AS question, d.vec_id AS chunk, {_DOT.format(a='q.embedding', b='d.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='d.embedding', b='d.embedding')}) + 1e-8) AS sim
- FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)"""
+_SQL_SIM = f"{_DOT.format(a='q.embedding', b='d.embedding')} / (q.norm * d.norm + 1e-8)"
+_SQL_NORMS = f"nv AS (SELECT *, sqrt({_DOT.format(a='embedding', b='embedding')}) AS norm FROM embeddings)"
+SQL_SIM = f"""WITH {_SQL_NORMS}, sims AS (SELECT q.vec_id AS question, d.vec_id AS chunk, round({_SQL_SIM}, 9) AS sim FROM nv q JOIN nv d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM sims) WHERE rank <= {{k}})"""
 
 
 def cosine_topk(spark, sf) -> DataFrame:
-    best = R.top_k(_similarities(spark, sf), ["question"], "sim", ["chunk"], 10)
-    return best.select("question", F.col("rank").cast("long").alias("rank"), "chunk", F.round("sim", 6).alias("sim"))
+    return _nearest(spark, sf, 10).select("question", F.col("rank").cast("long").alias("rank"), "chunk", F.round("sim", 6).alias("sim"))
 
 
 def rerank_filter(spark, sf) -> DataFrame:
-    best = R.top_k(_similarities(spark, sf), ["question"], "sim", ["chunk"], 20)
-    scored = best.withColumn("score", F.col("sim") + F.col("chunk") % 7 * 0.01)
+    scored = _nearest(spark, sf, 20).withColumn("score", F.col("sim") + F.col("chunk") % 7 * 0.01)
     kept = R.rerank(scored, ["question"], "score", ["chunk"], 0.2, 5, 1)
     return kept.select("question", "chunk", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
 
@@ -87,20 +85,20 @@ def max_confidence(spark, sf) -> DataFrame:
 
 
 def majority_page(spark, sf) -> DataFrame:
-    rows = _similarities(spark, sf).filter("sim > 0.05")
-    rows = rows.withColumn("page", F.col("chunk") % 5)
+    """The page that most of a question's 50 best chunks are of."""
+    rows = _nearest(spark, sf, 50).filter("sim > 0.05").withColumn("page", F.col("chunk") % 5)
     return R.page_vote(rows, ["question"], "page", F.lit(1)).select("question", "page", F.col("votes").cast("long").alias("votes"))
 
 
 def weighted_page(spark, sf) -> DataFrame:
-    rows = _similarities(spark, sf).filter("sim > 0").withColumn("page", F.col("chunk") % 5)
+    rows = _nearest(spark, sf, 50).filter("sim > 0").withColumn("page", F.col("chunk") % 5)
     return R.page_vote(rows, ["question"], "page", F.col("sim")).select("question", "page", F.round("votes", 4).alias("votes"))
 
 
 def reorder_chunks(spark, sf) -> DataFrame:
     """The best chunks of a question in reading order: page, then upper and left edge."""
     b = _boxes(spark, sf).select(F.col("box_id").alias("chunk"), "page", "box")
-    best = R.top_k(_similarities(spark, sf), ["question"], "sim", ["chunk"], 5).join(b, "chunk")
+    best = _nearest(spark, sf, 5).join(b, "chunk")
     order = Window.partitionBy("question").orderBy("page", "box.y0", "box.x0", "chunk")
     return best.select("question", "chunk", F.row_number().over(order).cast("long").alias("place"))
 
@@ -114,11 +112,13 @@ def mean_pool(spark, sf) -> DataFrame:
 
 
 def late_interaction(spark, sf) -> DataFrame:
-    """The vectors of a label divisible by 100 are a query's tokens, its others the patches; the best patch of each token, summed."""
-    e = table(spark, sf, "embeddings").select("label", "vec_id", V.unit(F.col("embedding")).alias("u"))
-    q, p = e.filter("vec_id % 100 = 0").alias("q"), e.filter("vec_id % 100 <> 0").alias("p")
-    best = q.join(p, F.col("q.label") == F.col("p.label")).groupBy("q.label", "q.vec_id").agg(F.max(V.dot(F.col("q.u"), F.col("p.u"))).alias("m"))
-    return best.groupBy("label").agg(F.round(F.sum("m"), 5).alias("score"))
+    """Questions against pages: the best patch of each token, summed. The vectors of a label that are divisible by 100 are a
+    question's tokens; a label's others are a page's patches."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("part"), F.col("embedding").alias("vector"))
+    tokens = e.filter("id % 100 = 0")
+    best = N.best_of_parts(tokens.select("id", "vector"), e.filter("id % 100 <> 0"))
+    of = tokens.select(F.col("id").alias("question"), F.col("part").alias("label"))
+    return best.join(of, "question").groupBy("label", F.col("part").alias("page")).agg(F.round(F.sum("sim"), 5).alias("score"))
 
 
 def _boxes(spark, sf) -> DataFrame:
@@ -260,16 +260,16 @@ SQL = {
  cn AS (SELECT *, sqrt((sum(f * f) OVER (PARTITION BY doc_id, page_idx, chunk_id))::DOUBLE) AS norm FROM ct), qn AS (SELECT *, sqrt((sum(f * f) OVER (PARTITION BY doc_id, gold))::DOUBLE) AS norm FROM qt),
  d AS (SELECT q.doc_id, q.gold, c.page_idx, c.chunk_id, sum(q.f * c.f)::DOUBLE / (any_value(q.norm) * any_value(c.norm) + 1e-8) AS s FROM qn q JOIN cn c ON q.doc_id = c.doc_id AND q.t = c.t GROUP BY ALL)
  SELECT doc_id, gold, rank, page_idx, chunk_id, round(s, 6) AS sim, page_idx = gold AS hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gold ORDER BY s DESC, page_idx, chunk_id) AS rank FROM d) WHERE rank <= 3""",
-    "cosine_topk": SQL_SIM + " SELECT question, rank, chunk, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 10",
-    "rerank_filter": SQL_SIM + """, t AS (SELECT *, sim + chunk % 7 * 0.01::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 20),
+    "cosine_topk": SQL_SIM.format(k=10) + " SELECT question, rank, chunk, round(sim, 6) AS sim FROM s",
+    "rerank_filter": SQL_SIM.format(k=20) + """, t AS (SELECT *, sim + chunk % 7 * 0.01::DOUBLE AS score FROM s),
  r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk) AS new_rank, count(*) FILTER (score >= 0.2) OVER (PARTITION BY question) AS n_pass FROM t)
  SELECT question, chunk, round(score, 6) AS score, new_rank FROM r WHERE (n_pass >= 1 AND score >= 0.2 AND new_rank <= 5) OR (n_pass < 1 AND new_rank <= 1)""",
     "max_confidence": SQL_CONF + " SELECT doc_id, page_idx, answer, round(conf, 6)::DOUBLE AS conf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, page_idx) AS r FROM c) WHERE r = 1",
-    "majority_page": SQL_SIM + ", " + _VOTE.format(sum="count(*)", least="0.05", votes="votes"),
-    "weighted_page": SQL_SIM + ", " + _VOTE.format(sum="sum(sim)", least="0", votes="round(votes, 4)"),
-    "reorder_chunks": SQL_SIM.replace("WITH s", SQL_BOXES + ", s") + ", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, chunk) AS rank FROM s) WHERE rank <= 5) SELECT question, chunk, row_number() OVER (PARTITION BY question ORDER BY page, y0, x0, chunk) AS place FROM t JOIN b ON chunk = box_id",
+    "majority_page": SQL_SIM.format(k=50) + ", " + _VOTE.format(sum="count(*)", least="0.05", votes="votes"),
+    "weighted_page": SQL_SIM.format(k=50) + ", " + _VOTE.format(sum="sum(sim)", least="0", votes="round(votes, 4)"),
+    "reorder_chunks": SQL_SIM.format(k=5).replace("WITH nv", SQL_BOXES + ", nv") + " SELECT question, chunk, row_number() OVER (PARTITION BY question ORDER BY page, y0, x0, chunk) AS place FROM s JOIN b ON chunk = box_id",
     "mean_pool": "WITH v AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings) SELECT label, dim, round(sum(CASE WHEN vec_id % 3 = 0 THEN 0 ELSE x END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS value FROM v GROUP BY label, dim",
-    "late_interaction": f"WITH s AS (SELECT q.label, q.vec_id, max({_DOT.format(a='q.embedding', b='d.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='d.embedding', b='d.embedding')}))) AS m FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 100 = 0 AND d.vec_id % 100 <> 0 GROUP BY 1, 2) SELECT label, round(sum(m), 5) AS score FROM s GROUP BY label",
+    "late_interaction": f"WITH {_SQL_NORMS}, s AS (SELECT q.label::BIGINT AS label, d.label::BIGINT AS page, q.vec_id, max(round({_SQL_SIM}, 9)) AS m FROM nv q JOIN nv d ON q.vec_id % 100 = 0 AND d.vec_id % 100 <> 0 GROUP BY 1, 2, 3) SELECT label, page, round(sum(m), 5) AS score FROM s GROUP BY 1, 2",
     "box_pairs": SQL_BOXES + " SELECT page, i AS a, j AS b, round(inter / (ai + aj - inter + 1e-8), 6) AS iou, round(CASE WHEN ai <= 0 THEN 0 ELSE inter / ai END, 6) AS inside FROM p WHERE touch AND i < j",
     "absorbed_boxes": SQL_BOXES + " SELECT DISTINCT page, i AS box_id FROM p WHERE wi < wj AND CASE WHEN ai <= 0 THEN 0 ELSE inter / ai END >= 0.6",
     "box_components": _COMPONENTS + " SELECT page, box_id, component FROM k",
