@@ -3,39 +3,191 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Parts of this length or more are matched by the letters that make up at most a hundredth of a stretch: the measure's rule.
+LONG = 200
+#: Stretches whose letters promise most, which are scored before the others; comparisons that are held at a time; windows of a step.
+FIRST, CELLS, STEP = 32, 1_000_000, 4_000
 
-def window_ratio(text: str, part: str) -> float:
-    """The best matching-blocks ratio of `part` with any stretch of `text` of its length; 0 if the text is shorter.
 
-    A stretch is compared only if the letters that it shares with `part`, in any order, could beat the best one so far.
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Windows:
+    """The stretches text[w : w + n] of one text, to be compared with a part of n code points by matching blocks.
+
+    The longest block of a stretch is taken first (of equal ones the first in the part, then in the text), then the longest
+    ones to its left and to its right, and so on. Blocks of all stretches are parts of the same few runs of equal code points,
+    so the runs are listed once, and each round finds the longest piece of a run in every open rectangle of every stretch. A
+    stretch is given up when what it has and what its open rectangles could add don't exceed the best one so far.
     """
+
+    def __init__(self, part: np.ndarray, text: np.ndarray):
+        self.part, self.text, self.n = part, text, len(part)
+        letters, self.a = np.unique(part, return_inverse=True)
+        place = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+        self.t = np.where(letters[place] == text, place, -1)
+        self.k = len(letters)
+        windows = len(text) - self.n + 1
+        held = np.zeros((self.k, len(text) + 1), np.int32)
+        held[self.t[self.t >= 0], np.flatnonzero(self.t >= 0) + 1] = 1
+        held = held.cumsum(1, dtype=np.int32)
+        counts = held[:, self.n :] - held[:, :windows]
+        #: The letters that each stretch shares with the part: what blocks can make at most.
+        self.bound = np.minimum(counts, np.bincount(self.a, minlength=self.k)[:, None]).sum(0)
+        if self.n >= LONG:
+            self.rare = (counts <= self.n // 100 + 1).T
+        else:  # the next place of each letter, for blocks of one
+            self.next = np.full((self.k, len(text) + 1), len(text), np.int32)
+            for c in range(self.k):
+                at = np.flatnonzero(self.t == c)
+                self.next[c, : at[-1] + 1 if len(at) else 0] = np.repeat(at, np.diff(at, prepend=-1))
+        self._cells()
+
+    def _cells(self) -> None:
+        """Places (i of the part, j of the text) of equal code points, by diagonal, with the run that each stands in."""
+        keep = self.rare.any(0) if self.n >= LONG else np.ones(self.k, bool)
+        at = [(np.flatnonzero(self.a == c), np.flatnonzero(self.t == c)) for c in np.flatnonzero(keep)]
+        none = [np.zeros(0, np.int64)]
+        i = np.concatenate([np.repeat(x, len(y)) for x, y in at] or none)
+        j = np.concatenate([np.tile(y, len(x)) for x, y in at] or none)
+        order = np.lexsort((i, j - i))
+        self.i, self.j = i[order], j[order]
+        if self.n < LONG:
+            return
+        # How far equal code points, frequent ones too, go on before and behind.
+        self.first, self.last = self.i.copy(), self.i + 1
+        for step, edge in ((-1, self.first), (1, self.last)):
+            live = np.arange(len(self.i))
+            while len(live):
+                x = edge[live] - (step < 0)
+                y = x + (self.j - self.i)[live]
+                inside = (x >= 0) & (x < self.n) & (y >= 0) & (y < len(self.t))
+                live, x, y = live[inside], x[inside], y[inside]
+                live = live[self.a[x] == self.t[y]]
+                edge[live] += step
+
+    def _runs(self, rare: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """i, j, length, and where the equal code points around begin and end, of runs of letters that count."""
+        keep = np.arange(len(self.i)) if rare is None else np.flatnonzero(rare[self.a[self.i]])
+        i, j = self.i[keep], self.j[keep]
+        new = np.ones(len(i), bool)
+        new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(i)))
+        if rare is None:
+            long = size > 1
+            i, j, size = i[starts][long], j[starts][long], size[long]
+            return i, j, size, i, i + size
+        return i[starts], j[starts], size, self.first[keep][starts], self.last[keep][starts]
+
+    def _single(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        """Blocks of one letter in rectangles that hold no longer ones: each letter of the part takes the next one of the text."""
+        out, at, live = np.zeros(len(alo), np.int64), blo.copy(), np.arange(len(alo))
+        step = 0
+        while len(live):
+            hit = self.next[self.a[alo[live] + step], at[live]]
+            yes = hit < bhi[live]
+            out[live[yes]] += 1
+            at[live[yes]] = hit[yes] + 1
+            step += 1
+            live = live[(alo[live] + step < ahi[live]) & (at[live] < bhi[live])]
+        return out
+
+    def _start(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> np.ndarray:
+        """What is equal at the very start of rectangles in which no run begins: the measure counts it too."""
+        out, live = np.zeros(len(alo), np.int64), np.arange(len(alo))
+        while len(live):
+            live = live[(alo[live] + out[live] < ahi[live]) & (blo[live] + out[live] < bhi[live])]
+            live = live[self.a[alo[live] + out[live]] == self.t[blo[live] + out[live]]]
+            out[live] += 1
+        return out
+
+    def score(self, windows: np.ndarray, best: int) -> int:
+        """The most code points that blocks make in one of the stretches, or `best` if none has more."""
+        long = self.n >= LONG
+        if long:
+            kinds, kind = np.unique(self.rare[windows], axis=0, return_inverse=True)
+            runs = [self._runs(k) for k in kinds]
+        else:
+            kind, runs = np.zeros(len(windows), np.int64), [self._runs(None)]
+        runs = [tuple(x[order] for x in r) for r in runs for order in (np.argsort(r[1], kind="stable"),)]
+        place = np.concatenate([(np.int64(k) << 32) + r[1] for k, r in enumerate(runs)])
+        runs = [np.concatenate(x) for x in zip(*runs, strict=True)]
+        longest = int(runs[2].max(initial=1))
+        win, found = np.arange(len(windows)), np.zeros(len(windows), np.int64)
+        alo, ahi = np.zeros(len(windows), np.int64), np.full(len(windows), self.n)
+        blo, bhi = windows.copy(), windows + self.n
+        while len(win):
+            # Only runs that reach into a rectangle's stretch of the text are looked at.
+            start = np.searchsorted(place, (kind[win] << 32) + np.maximum(blo - longest + 1, 0))
+            count = np.searchsorted(place, (kind[win] << 32) + bhi) - start
+            total, lo, got = np.cumsum(count), 0, []
+            while lo < len(win):
+                up = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CELLS, side="right")))
+                got.append(self._longest(np.arange(lo, up), start[lo:up], count[lo:up], alo, ahi, blo, bhi, runs, 1 if long else 2))
+                lo = up
+            hit, hi, hj, hl = (np.concatenate(x) for x in zip(*got, strict=True))
+            np.add.at(found, win[hit], hl)
+            rest = np.ones(len(win), bool)
+            rest[hit] = False
+            small = (self._start if long else self._single)(alo[rest], ahi[rest], blo[rest], bhi[rest])
+            np.add.at(found, win[rest], small)
+            parts = [np.concatenate(x) for x in ((win[hit], win[hit]), (alo[hit], hi + hl), (hi, ahi[hit]), (blo[hit], hj + hl), (hj, bhi[hit]))]
+            least = np.minimum(parts[2] - parts[1], parts[4] - parts[3])
+            could = found + np.bincount(parts[0], np.maximum(least, 0), len(found)).astype(np.int64)
+            open_ = (least > 0) & (could > best)[parts[0]]
+            win, alo, ahi, blo, bhi = (x[open_] for x in parts)
+        return max(best, int(found.max(initial=0)))
+
+    def _longest(self, item, start, n, alo, ahi, blo, bhi, runs, least):
+        """The rectangles that hold a run, and the block that is taken there."""
+        item, start, n = item[n > 0], start[n > 0], n[n > 0]
+        if not len(item):
+            return (np.zeros(0, np.int64),) * 4
+        ri, rj, rl, rf, re = runs
+        starts = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(item)), n)
+        run = np.arange(len(owner)) - np.repeat(starts - start, n)
+        own = item[owner]
+        i, j = ri[run], rj[run]
+        cut = np.maximum(np.maximum(alo[own] - i, blo[own] - j), 0)
+        size = np.minimum(np.minimum(ahi[own] - i, bhi[own] - j), rl[run]) - cut
+        order = np.where(size >= least, (size << 42) | ((1 << 21) - 1 - i - cut << 21) | ((1 << 21) - 1 - j - cut), 0)
+        best = np.maximum.reduceat(order, starts)
+        at = np.flatnonzero((order == best[owner]) & (order > 0))
+        own, run = own[at], run[at]
+        shift = rj[run] - ri[run]
+        # A run goes on by equal code points around it that don't count by themselves.
+        first = np.maximum(np.maximum(alo[own], blo[own] - shift), rf[run])
+        last = np.minimum(np.minimum(ahi[own], bhi[own] - shift), re[run])
+        return own, first, first + shift, last - first
+
+
+def window_ratio(text: str, part: str) -> float:
+    """The best matching-blocks ratio of `part` with any stretch of `text` of its length; 0 if the text is shorter."""
     n = len(part)
     if n > len(text):
         return 0.0
     if part in text:
         return 1.0
-    spare = Counter(part)
-    spare.subtract(text[:n])
-    short = sum(v for v in spare.values() if v > 0)  # letters of part that the stretch lacks
-    best = 0.0
-    for at in range(len(text) - n + 1):
-        if at:
-            gone, new = text[at - 1], text[at + n - 1]
-            spare[gone] += 1
-            short += spare[gone] > 0
-            short -= spare[new] > 0
-            spare[new] -= 1
-        if (n - short) / n > best:
-            best = max(best, SequenceMatcher(None, part, text[at : at + n]).ratio())
-    return best
+    a, t = _codes(part), _codes(text)
+    best = 0
+    for at in range(0, len(t) - n + 1, STEP):
+        found = Windows(a, t[at : at + STEP + n - 1])
+        order = np.argsort(-found.bound, kind="stable")
+        for windows in (order[:FIRST], order[FIRST:]):
+            windows = windows[found.bound[windows] > best]
+            if len(windows):
+                best = found.score(windows, best)
+    return best / n
 
 
 @F.pandas_udf(DoubleType())

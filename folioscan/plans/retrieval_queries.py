@@ -188,13 +188,13 @@ def merged_words(spark, sf) -> DataFrame:
 
 
 def chunk_scores(spark, sf) -> DataFrame:
-    """How well the pages of a conversation's other roles hold an answer: the longest word of each user turn, the first of equal ones."""
-    rows = pages(spark, sf)
-    text = lambda w: F.array_join(w, " ")
-    longest = F.aggregate("words", F.lit(""), lambda s, w: F.when(F.length(w) > F.length(s), w).otherwise(s))
-    asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), longest.alias("part"))
-    held = rows.filter("role <> 'user'").select("doc_id", text(F.col("words")).alias("chunk"))
-    scored = asked.join(held, "doc_id").withColumn("s", window_score(F.col("chunk"), F.col("part")))
+    """How well the pages of a conversation's other roles hold each user turn, which is the answer that is looked for."""
+    rows = pages(spark, sf).select("doc_id", "page_idx", "role", F.array_join("words", " ").alias("text"))
+    asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), F.col("text").alias("part"))
+    held = rows.filter("role <> 'user'").select("doc_id", F.col("text").alias("chunk"))
+    # A pair takes long for its few bytes, so pairs are dealt out by their number, a long conversation's too.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    scored = asked.join(held, "doc_id").repartition(tasks).withColumn("s", window_score(F.col("chunk"), F.col("part")))
     return scored.groupBy("doc_id", "turn").agg(F.round(chunk_score(F.max("s")), 6).alias("chunk_score"))
 
 

@@ -9,6 +9,7 @@ import pytest
 from compare import TESTDATA
 from pyspark.sql import functions as F
 
+from folioscan.functions import similarity
 from folioscan.functions.similarity import window_ratio, window_score
 from folioscan.operators import clustering as K
 from folioscan.operators import sampling as S
@@ -27,6 +28,19 @@ def test_window_ratio():
         assert math.isclose(window_ratio(text, part), plain_ratio(text, part)) or not part, (text, part)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_window_ratio_of_long_parts(monkeypatch, seed):
+    """Below and above the length from which frequent letters don't begin a block; near copies; windows in steps."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(similarity, "STEP", [4000, 7][seed % 2])
+    monkeypatch.setattr(similarity, "CELLS", [1_000_000, 40][seed // 2])
+    for letters in ("ab", "abcde ", "etaoin shrdlu", "etaoinshrdlcumwfgypbvk  zqjx0123456789é𝒳"):
+        for n in (1, 30, 199, 200, 260):
+            part = "".join(rng.choice(letters) for _ in range(n))
+            text = part[: n // 2] + "".join(rng.choice(letters) for _ in range(rng.randrange(2, n + 12))) + part[n // 2 + 1 :]
+            assert window_ratio(text, part) == pytest.approx(plain_ratio(text, part)), (text, part)
+
+
 def test_window_score(spark):
     rows = spark.createDataFrame([("Some Long text", "LONG"), ("some lung text", "long"), ("a", "abc"), (None, "x"), ("x", None)], "t string, p string")
     got = [r.s for r in rows.select(window_score(F.col("t"), F.col("p")).alias("s")).collect()]
@@ -45,7 +59,7 @@ def test_chunk_scores(spark):
         for turn, role, words in rows:
             others = [" ".join(w).lower() for _, o, w in rows if o != "user"]
             if role == "user" and others:
-                part = max(words, key=len, default="").lower()  # the first of the longest words
+                part = " ".join(words).lower()
                 want[conv, turn] = round(math.log2(1 + max(math.log2(1 + plain_ratio(o, part)) for o in others)), 6)
     assert {(r.doc_id, r.turn): r.chunk_score for r in chunk_scores(spark, sf).collect()} == pytest.approx(want, abs=2e-6)
 
