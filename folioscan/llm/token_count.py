@@ -25,8 +25,9 @@ from .common import documents, pick, slices
 
 #: Characters in one chunk of the scan.
 CHUNK = 256
-#: States that the piece transducer holds before it is compiled afresh.
-STATES = 120_000
+#: States that the piece transducer holds before it is compiled afresh, in the middle of a piece too, and pieces that are read
+#: in step: each may add a state before the next look, so a worker never holds more than both together.
+STATES, LANES = 120_000, 20_000
 #: A packed transition: the next state, and the gain plus GAIN in the low bits.
 BITS, GAIN = 10, 512
 
@@ -210,6 +211,23 @@ class PieceCounter:
         self.columns = 0
         self.table = np.full((1024, 32), -1, np.int32)
 
+    def add(self, key: tuple) -> int:
+        """The number of a state."""
+        if (found := self.state_of.get(key)) is None:
+            found = self.state_of[key] = len(self.states)
+            self.states.append(key)
+            if found >= len(self.table):
+                self.table = np.concatenate([self.table, np.full((len(self.table) // 4, self.table.shape[1]), -1, np.int32)])
+        return found
+
+    def forget(self, live: np.ndarray) -> np.ndarray:
+        """Drops all states but those that pieces stand in; gives their new numbers."""
+        kept, back = np.unique(live, return_inverse=True)
+        keys = [self.states[s] for s in kept.tolist()]
+        self.state_of, self.states = {((0, -1, 0),): 0}, [((0, -1, 0),)]
+        self.table = np.full((1024, self.table.shape[1]), -1, np.int32)
+        return np.array([self.add(k) for k in keys], np.int32)[back]
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether the tokens stay apart: the merges of their bytes, taken together, never cross the border."""
         if (known := self.fits.get((a, b))) is None:
@@ -247,12 +265,7 @@ class PieceCounter:
         if not -GAIN <= gain < (1 << BITS) - GAIN or len(self.states) >= 1 << (31 - BITS):
             raise OverflowError(f"a transition's gain of {gain} or state {len(self.states)} exceeds its field")
         key = (*((n, b, c - gain) for n, b, c in grown if self.children[n]), (0, last, 0))
-        if (found := self.state_of.get(key)) is None:
-            found = self.state_of[key] = len(self.states)
-            self.states.append(key)
-            if found >= len(self.table):
-                self.table = np.concatenate([self.table, np.full((len(self.table) // 4, self.table.shape[1]), -1, np.int32)])
-        self.table[state, self.column[byte]] = found << BITS | gain + GAIN
+        self.table[state, self.column[byte]] = self.add(key) << BITS | gain + GAIN
 
     def open_columns(self, used: np.ndarray) -> None:
         for byte in used[self.column[used] < 0].tolist():
@@ -267,16 +280,26 @@ class PieceCounter:
             self.reset()
         self.open_columns(np.unique(data))
         order = np.argsort(-length, kind="stable")
-        at, left = start[order], length[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int64)
+        out = np.empty(len(order), np.int64)
+        for k in range(0, len(order), LANES):
+            part = order[k : k + LANES]
+            out[part] = self._gains(data, start[part], length[part])
+        return out
+
+    def _gains(self, data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The same of some pieces, the longest first."""
+        state, total = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
         longest = int(left[0]) if len(left) else 0
         active = np.searchsorted(-left, -np.arange(longest), "left")  # lanes with a byte at each step
         for k in range(longest):
             m = int(active[k])
             if m <= 4:  # a few very long pieces: one byte after the other
+                keys = [self.states[x] for x in state[:m].tolist()]
                 for i in range(m):
-                    total[i] += self._walk(int(state[i]), data[at[i] + k : at[i] + left[i]])
+                    total[i] += self._walk(self.add(keys[i]), data[at[i] + k : at[i] + left[i]])
                 break
+            if len(self.states) > STATES:
+                state[:m] = self.forget(state[:m])
             byte, s = data[at[:m] + k], state[:m]
             column = self.column[byte]
             move = self.table[s, column]
@@ -286,14 +309,14 @@ class PieceCounter:
                 move = self.table[s, column]
             total[:m] += (move & (1 << BITS) - 1) - GAIN
             state[:m] = move >> BITS
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+        return total
 
     def _walk(self, state: int, data: np.ndarray) -> int:
         total = 0
         for byte in data.tolist():
             if (move := int(self.table[state, self.column[byte]])) < 0:
+                if len(self.states) > STATES:
+                    state = int(self.forget(np.array([state]))[0])
                 self.compile(state, byte)
                 move = int(self.table[state, self.column[byte]])
             total += (move & (1 << BITS) - 1) - GAIN
