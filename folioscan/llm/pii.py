@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
-The field is trained in numpy on a small labelled table (`labelled`) and decoded by Viterbi in padded batches. A span holds
-a digit, an at sign or a spelt-out one; so only windows are decoded, of words that hold one of these and GAP words on
-either side. A run of more than 64 characters without blanks is split into words at punctuation that no span holds and at
+The field is trained in numpy on a small labelled table of made-up data (`labelled`) and decoded by Viterbi in padded batches.
+A span holds a digit, an at sign or a spelt-out one; so only windows are decoded, of words that hold one of these and GAP
+words on either side, however long they are. A run of more than 64 characters without blanks is split into words at punctuation that no span holds and at
 characters of scripts without blanks. The field alone decides on its spans, by features that tell among others whether a
 run of numbers passes Luhn's rule; they are kept where they don't touch a span of the patterns, which stay.
 A null or empty text has no spans, a very long one is read whole. Of equally likely tags the first in order of TAGS is taken.
@@ -12,6 +12,7 @@ columns, also with clashing names, stay as they are in `redact` and don't matter
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -145,33 +146,86 @@ def features(words: list[str]) -> list[list[str]]:
     return out
 
 
-def labelled() -> list[tuple[list[str], list[str]]]:
-    """The small labelled table: words and tags, made from a few forms of each kind and of what isn't personal data."""
-    forms = {
-        "email": ["ann@mail.example.com", "bo.li@host.org", "x_y@a-b.co.uk", "ann (at) host (dot) org", "bo [at] mail [dot] com", "lee(at)host.com"],
-        "ip": ["10.1.22.133", "203.0.113.9", "8.8.4.4"],
-        "card": ["4111111111111111", "5500 0000 0000 0004", "4012-8888-8888-1881"],
-        "phone": ["+1 (974) 555-3436", "+44 20 7946 0958", "(212) 555-0147", "212-555-0147", "415.555.0132", "+4930901820"],
-    }
-    others = ["token = \"a9f3c21b77\"", "in 1999 and", "page 12 of 340", "version 2.10.3 is", "costs 14.50 now", "item #553 |", "at 10:45 on 2024-05-06", "ISBN 978-3-16-148410-0", "1,234,567 words", "the 2024/25 year", "code 55501 holds", "sum 12345678901234 of", "id=20240506112233 ok", "look at this dot", "meet @ noon", "3-4 days", "555 words", "(see 12)", "12-14-16 and", "9807915762804490 is", "4111 1111 1111 1112 of", "1219538112535716", "1.2.3.400 is", "300.1.2.3 and", "look (at) that word", "meet [at] ten", "call 5551234 now", "123-45-678 of", "id 20240506112233 4455", "order 0007687199101951 of", "sum 1234567890123456789 is", "a 12 34 56 78", "tel 4930901820 or", "cat1 dog2 hill3", "covid19 and b2b", "x86 h2o mp3 is", "rev2a of 4th", "top10 in 90s", "a1b2c3d4 0x1f of", "no.5 v1.2 is", "2x4 of 3d", "€12.50 or $3", "50% of 7pm", "3 14 159 2653 58979 323846 2643383 27950288", "100 200 300 400 500 600", "1 2 3 4 5 6 7 8 9 10 11 12", "5700636579 865832808 9650 200037491772 20 210104923", "8449 7602 1234 99 12 4401 22", "2024 2023 2022 2021 2020 2019", "0.5 1.25 3.75 10.0 22.4", "7 4268865143 988 9754365732 711999 871392635 9474662", "12 345 6789 01234 567890 1234567 89012345 678901234 5678901234"]
-    around = [("", ""), ("write to", "or call"), ("the word", "and others."), ("|", "|"), ("from", "")]
-    rows = []
-    for before, after in around:
-        for kind, texts in forms.items():
-            for t in texts:
-                own = t.split()
-                tags = [f"{'I' if i else 'B'}-{kind}" for i in range(len(own))]
-                rows.append(([*before.split(), *own, *after.split()], ["O"] * len(before.split()) + tags + ["O"] * len(after.split())))
-        for t in others:
-            words = [*before.split(), *t.split(), *after.split()]
-            rows.append((words, ["O"] * len(words)))
-    kinds = list(forms)
-    for a in kinds:  # a span right behind another
-        for b in kinds:
-            own = [(k, forms[k][i].split()) for k, i in ((a, 0), (b, -1))]
-            rows.append((["of", *own[0][1], *own[1][1], "is"], ["O", *(f"{'I' if i else 'B'}-{k}" for k, w in own for i in range(len(w))), "O"]))
-            rows.append(([*forms[a][-1].split(), *forms[b][0].split()], [f"{'I' if i else 'B'}-{k}" for k, j in ((a, -1), (b, 0)) for i in range(len(forms[k][j].split()))]))
-    return rows
+class Maker:
+    """Personal data, and what only looks like it, made up from letters and digits that are drawn."""
+
+    def __init__(self, seed: int):
+        self.draw = random.Random(seed)
+
+    def letters(self, least: int, most: int) -> str:
+        return "".join(self.draw.choices("abcdefghijklmnopqrstuvwxyz", k=self.draw.randint(least, most)))
+
+    def digits(self, n: int) -> str:
+        return "".join(self.draw.choices("0123456789", k=n))
+
+    def parted(self, digits: str, sizes: list[int], gap: str) -> str:
+        cuts = np.cumsum([0, *sizes])
+        return gap.join(digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def local(self) -> str:
+        name = self.letters(1, 9)
+        return self.draw.choice([name, name, f"{name}.{self.letters(1, 8)}", f"{name}_{self.letters(1, 5)}", f"{name}{self.digits(2)}", self.letters(30, 300)])
+
+    def host(self) -> str:
+        return self.draw.choice([self.letters(2, 10), self.letters(2, 10), f"{self.letters(1, 5)}-{self.letters(1, 5)}", f"{self.letters(2, 5)}{self.digits(1)}", self.letters(30, 300)])
+
+    def email(self) -> str:
+        at, dot = self.draw.choice([("(at)", "(dot)"), ("[at]", "[dot]")])
+        a, b, c = self.local(), self.host(), self.draw.choice(["com", "org", "net", "de", "io"])
+        return self.draw.choice([f"{a}@{b}.{c}", f"{a} {at} {b} {dot} {c}", f"{a} {at} {b}.{c}", f"{a}{at}{b}.{c}", f"{a}{at}{b}{dot}{c}"])
+
+    def ip(self) -> str:
+        return ".".join(str(self.draw.randrange(256)) for _ in range(4))
+
+    def card(self) -> str:
+        body = self.draw.choice("3456") + self.digits(14)
+        number = next(body + d for d in "0123456789" if luhn(body + d))
+        return self.draw.choice([number, self.parted(number, [4] * 4, " "), self.parted(number, [4] * 4, "-")])
+
+    def phone(self) -> str:
+        a, b, c = self.draw.choice("23456789") + self.digits(2), self.draw.choice("23456789") + self.digits(2), self.digits(4)
+        return self.draw.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+44 {self.digits(2)} {self.digits(4)} {self.digits(4)}", f"+{self.draw.choice(['49', '33'])}{self.digits(9)}"])
+
+    def card_like(self) -> str:
+        body = self.digits(15)
+        number = next(body + d for d in self.draw.sample("0123456789", 10) if not luhn(body + d))
+        return self.draw.choice([number, self.parted(number, [4] * 4, " ")])
+
+    def other(self) -> str:
+        """What holds digits or signs of an address, and is no personal data."""
+        d, n = self.digits, self.draw.randint
+        far = [str(self.draw.randrange(256)) for _ in range(3)] + [str(n(256, 999))]
+        self.draw.shuffle(far)
+        row = " ".join(d(self.draw.choice([1, 2, 4, 5, 6, 9])) for _ in range(n(2, 12)))
+        return self.draw.choice([
+            f"{self.letters(3, 8)} = \"{self.letters(1, 3)}{d(2)}{self.letters(1, 3)}{d(3)}\"", f"in {n(1900, 2030)} and", f"page {n(1, 99)} of {n(100, 999)}", f"version {n(0, 9)}.{n(0, 30)}.{n(0, 9)} is", f"costs {n(1, 99)}.{d(2)} now", f"item #{d(3)} |",
+            f"at {n(10, 23)}:{n(10, 59)} on 20{d(2)}-0{n(1, 9)}-{n(10, 28)}", f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{n(1, 9)},{d(3)},{d(3)} words", f"the 20{d(2)}/{d(2)} year", f"code {d(5)} holds", f"sum {d(self.draw.choice([11, 12, 13]))} of", f"id=20{d(12)} ok",
+            "look at this dot", f"meet @ {self.letters(3, 6)}", f"{n(1, 9)}-{n(10, 99)} days", f"(see {d(2)})", f"{d(2)}-{d(2)}-{d(2)} and", f"{self.card_like()} is", f"{'.'.join(far)} is", f"look (at) {self.letters(3, 6)} word", f"meet [at] {self.letters(3, 6)}", f"call {d(7)} now", f"{d(3)}-{d(2)}-{d(3)} of",
+            f"id 20{d(12)} {d(4)}", f"sum {d(self.draw.choice([20, 21, 25]))} is", f"tel {d(10)} or", f"{self.letters(2, 6)}{d(1)} {self.letters(2, 6)}{d(2)}", f"{self.letters(1, 3)}{d(1)}{self.letters(1, 2)}{d(1)} 0x{d(1)}f of", f"no.{d(1)} v{d(1)}.{d(1)} is", f"€{d(2)}.{d(2)} or ${d(1)}", f"{d(2)}% of {d(1)}pm", row, f"{row} and", f"{self.local()}@{self.letters(3, 30)} or",
+        ])
+
+
+def sentence(made: Maker, kinds: list[str | None]) -> tuple[list[str], list[str]]:
+    """Words and tags: things of the kinds (None: of no kind) one behind the other, with words around or without."""
+    words, tags = [], []
+    for k, kind in enumerate(kinds):
+        if made.draw.random() < (0.6 if not k else 0.3):
+            before = made.draw.choice(["write to", "the word", "|", "from", "at home, call", "see"]).split()
+            words, tags = [*words, *before], [*tags, *["O"] * len(before)]
+        own = (made.other() if kind is None else getattr(made, kind)()).split()
+        words += own
+        tags += ["O"] * len(own) if kind is None else [f"{'I' if i else 'B'}-{kind}" for i in range(len(own))]
+    if made.draw.random() < 0.6:
+        after = made.draw.choice(["or call", "and others.", "|", "is right", "again"]).split()
+        words, tags = [*words, *after], [*tags, *["O"] * len(after)]
+    return words, tags
+
+
+def labelled(seed: int = 1, n: int = 900) -> list[tuple[list[str], list[str]]]:
+    """The small labelled table, all of it made up: half personal data, half what only looks like it, some side by side."""
+    made = Maker(seed)
+    ends = [*KINDS, None, None, None]
+    return [sentence(made, [made.draw.choice(ends) for _ in range(made.draw.choice([1, 1, 1, 2]))]) for _ in range(n)]
 
 
 class Field:
@@ -283,6 +337,17 @@ def field() -> Field:
     return _field[0]
 
 
+def some_words(text: str, lo: int, hi: int, last: bool) -> list[re.Match]:
+    """The first, or last, GAP words of text[lo:hi], however long they are; both ends are ends of words or blanks."""
+    size = 64
+    while True:
+        a, b = (max(lo, hi - size), hi) if last else (lo, min(hi, lo + size))
+        found = list(WORD.finditer(text, a, b))
+        if len(found) > GAP or b - a == hi - lo:  # one more than GAP: so these aren't cut
+            return found[-GAP:] if last else found[:GAP]
+        size *= 4
+
+
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """The words around those that may be in a span, as spans of words."""
     out: list[list[tuple[int, int]]] = []
@@ -297,27 +362,25 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             left = text[done : m.start()]
         begin = m.start() - (len(left.split()[-1]) if left and not left[-1].isspace() else 0)
         done = TAIL.match(text, m.end()).end()
-        while out and out[-1][-1][0] >= begin:  # a word that the window before ends in, perhaps cut
+        while out and out[-1] and out[-1][-1][0] >= begin:  # the word that the window before ends in
             out[-1].pop()
-        if out and (begin < out[-1][-1][1] or len(text[out[-1][-1][1] : begin].split()) <= GAP):
-            start = out[-1][-1][1]
-        else:
-            left = text[max(0, begin - 64) : begin]
-            found = list(WORD.finditer(left))[-GAP:]
-            start = begin - len(left) + (found[0].start() if found else len(left))
-            if out:
-                start = max(start, out[-1][-1][1])
+        if out and not out[-1]:
+            out.pop()
+        behind = out[-1][-1][1] if out else 0
+        before = some_words(text, behind, begin, True)
+        if not out or WORD.search(text, behind, before[0].start() if before else behind):
             out.append([])
-        right = [x.end() for x in WORD.finditer(text, done, min(len(text), done + 64))][:GAP]
-        out[-1] += [x.span() for x in WORD.finditer(text, start, right[-1] if right else done)]
+        out[-1] += [x.span() for x in before]
+        out[-1] += [x.span() for x in WORD.finditer(text, begin, done)]
+        out[-1] += [x.span() for x in some_words(text, done, len(text), False)]
     return out
 
 
-def spans(texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
+def spans(texts: list[str], trained: Field | None = None) -> list[list[tuple[int, int, int, bool]]]:
     """(start, kind, end, whether a pattern found it) of each text, in order."""
     base = [base_spans(t) for t in texts]
     cut = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
-    tagged = field().decode([[texts[i][a:b] for a, b in w] for i, w in cut])
+    tagged = (trained or field()).decode([[texts[i][a:b] for a, b in w] for i, w in cut])
     out = [[(a, k, b, True) for a, k, b in found] for found in base]
     for (i, w), tags in zip(cut, tagged, strict=True):
         held: list[list[int]] = []
@@ -338,21 +401,22 @@ SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (kind, start, end, base) of the whole text of every row; map-only."""
+    """doc_id and spans (kind, start, end, base) of the whole text of every row; map-only. The driver trains the field."""
+    trained = field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for part in slices(batches):
-            rows = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in x] for x in spans([t or "" for t in part.column("text").to_pylist()])]
+            rows = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in x] for x in spans([t or "" for t in part.column("text").to_pylist()], trained)]
             yield pa.record_batch([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
-def mask(text: str) -> str:
+def mask(text: str, trained: Field | None = None) -> str:
     """The text with every span replaced by its kind in angle brackets; of spans that touch the first one counts."""
     out, at = [], 0
-    for a, k, b, _ in spans([text])[0]:
+    for a, k, b, _ in spans([text], trained)[0]:
         if a >= at:
             out += [text[at:a], f"<{KINDS[k]}>"]
         at = max(at, b)
@@ -361,11 +425,11 @@ def mask(text: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same columns with every span masked in `text`; nulls and rows without spans stay as they are."""
-    at = docs.columns.index(text)
+    at, trained = docs.columns.index(text), field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, f"c{at}"):
-            masked = pa.array([t and mask(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
+            masked = pa.array([t and mask(t, trained) for t in part.column(at).to_pylist()], part.schema.field(at).type)
             yield pa.record_batch([masked if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
 
     return map_rows(docs, run)
