@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.functions import geometry as G
 from folioscan.functions import vectors as V
@@ -15,6 +20,7 @@ from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
 from folioscan.plans.retrieval_queries import _DOT, SQL_BOXES, _boxes
 from folioscan.plans.text_queries import SQL_SCORED, SQL_WORDS, _scored
+from folioscan.sources import pdf, records
 from folioscan.sources.tables import pages, table, words
 
 W = SQL_WORDS.format("text")
@@ -338,7 +344,36 @@ def zipped_labels(spark, sf) -> DataFrame:
     return held.select("page", F.explode(F.arrays_zip("nodes", labels.alias("labels"))).alias("z")).select("page", F.col("z.nodes").alias("box_id"), F.col("z.labels").cast("long").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (ltwh_boxes, polygon_boxes, portrait_boxes, pixel_boxes, remapped_labels, reading_places, node_edges, token_max_sim, token_mean, generated_confidence, layout_of_pages, documents_of_questions, ocr_of_questions, one_sample, exploded_questions, evidence_report, prompt_texts, resize_rules, image_tiles, pasted_patches, flattened_patches, page_tokens, truncated_words, flattened_chunks, words_in_layout, word_labels, layout_chunks, region_labels, failures, retrieved_labels, page_distribution, distinct_documents, topk_patches, numbered_pages, page_precision, document_ids, normalised_images, indexed_noise, strided_shard, range_subset, zipped_labels)}
+def _pdf(words: list[str]) -> bytes:
+    """A PDF file of one page, with ten words on a line."""
+    lines = [" ".join(words[i : i + 10]).replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") for i in range(0, len(words), 10)]
+    drawn = zlib.compress(("BT /F1 10 Tf 20 780 Td 12 TL " + " ".join(f"({x}) Tj T*" for x in lines) + " ET").encode("cp1252", "replace"))
+    size = 12 * len(lines) + 20
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 %d 2000 800] /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>" % (780 - size), b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(drawn), drawn), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    out, at = b"%PDF-1.4\n", []
+    for n, body in enumerate(parts):
+        at.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n + 1, body)
+    table = b"".join(b"%010d 00000 n \n" % x for x in at)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(at) + 1, table, len(at) + 1, len(out))
+
+
+@F.pandas_udf(T.BinaryType())
+def _pdfs(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _pdf([w for w in re.split("[ \\t\\n\\r]+", t or "") if w]))
+
+
+def pdf_words(spark, sf) -> DataFrame:
+    """The words of every turn, read back from a PDF file that it is made into: how many on each line, and which."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^\\x20-\\x7E\\t\\n\\r]", "?").alias("text"))
+    files = rows.select(F.concat_ws("_", "conv_id", "turn").alias("path"), _pdfs(F.col("text")).alias("content"))
+    found = records.words_of_files(files, pdf.parser)
+    told = found.groupBy("document", "line").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("first", "word"))).alias("w"))
+    part = lambda i: F.split("document", "_")[i].cast("long")
+    return told.select(part(0).alias("conv_id"), part(1).alias("turn"), F.col("line").cast("long").alias("line"), "n", F.md5(F.array_join("w.word", " ").cast("binary")).alias("words_md5"))
+
+
+QUERIES = {f.__name__: f for f in (ltwh_boxes, polygon_boxes, portrait_boxes, pixel_boxes, remapped_labels, reading_places, node_edges, token_max_sim, token_mean, generated_confidence, layout_of_pages, documents_of_questions, ocr_of_questions, one_sample, exploded_questions, evidence_report, prompt_texts, resize_rules, image_tiles, pasted_patches, flattened_patches, page_tokens, truncated_words, flattened_chunks, words_in_layout, word_labels, layout_chunks, region_labels, failures, retrieved_labels, page_distribution, distinct_documents, topk_patches, numbered_pages, page_precision, document_ids, normalised_images, indexed_noise, strided_shard, range_subset, zipped_labels, pdf_words)}
 
 _CLIP = "greatest(0.0, least(1.0, {0}))"
 _PARTS = "p AS (SELECT vec_id, unnest(range(0, 8)) AS k, embedding FROM embeddings), v AS (SELECT vec_id, k, list_transform(embedding[8 * k + 1 : 8 * k + 8], lambda x: x::DOUBLE) AS x FROM p)"
@@ -388,6 +423,8 @@ SQL = {
     "truncated_words": f"WITH c AS (SELECT conv_id AS doc_id, turn AS page_idx, list_append({W}[1:42], '</s>') AS ws FROM conversations) SELECT doc_id, page_idx, len(ws) AS n, md5(array_to_string(ws, ' ')) AS words_md5 FROM c",
     "flattened_chunks": f"""WITH c AS (SELECT conv_id, turn, {W} AS ws FROM conversations), f AS (SELECT conv_id, flatten(list(CASE WHEN turn > 0 AND len(ws) > 0 THEN list_prepend('[SEP]', ws) ELSE ws END ORDER BY turn)) AS ws, sum(len(ws) * (turn + 1))::BIGINT AS labels, count(*) FILTER (turn > 0 AND len(ws) > 0) AS separators FROM c GROUP BY conv_id)
  SELECT conv_id AS doc_id, len(ws) AS n, md5(array_to_string(ws, ' ')) AS words_md5, labels, separators FROM f""",
+    "pdf_words": f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x20-\\x7E\\t\\n\\r]', '?', 'g') AS text FROM conversations), w AS (SELECT conv_id, turn, {W} AS ws FROM t),
+ l AS (SELECT conv_id, turn, unnest(range(0, (len(ws) + 9) // 10)) AS line, ws FROM w) SELECT conv_id, turn, line, len(ws[line * 10 + 1 : line * 10 + 10]) AS n, md5(array_to_string(ws[line * 10 + 1 : line * 10 + 10], ' ')) AS words_md5 FROM l""",
     "words_in_layout": SQL_BOXES + ", " + SQL_PLACED + " SELECT doc_id, box_id, count(*) AS n, sum(pos)::BIGINT AS places FROM m GROUP BY 1, 2",
     "word_labels": SQL_BOXES + ", " + SQL_PLACED + ", l AS (SELECT doc_id, pos, arg_max(label, place) AS label FROM m GROUP BY 1, 2), every AS (SELECT g.doc_id, coalesce(label, 'text') AS label FROM g LEFT JOIN l ON g.doc_id = l.doc_id AND g.pos = l.pos) SELECT doc_id, label, count(*) AS n FROM every GROUP BY 1, 2",
     "layout_chunks": SQL_BOXES + ", " + SQL_PLACED + """, d AS (SELECT w.doc_id, o.page, box_id, place, label, CASE WHEN cluster < 0 THEN 'box' || box_id ELSE 'cluster' || cluster END AS unit FROM w JOIN o ON w.page = o.page),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import sqlite3
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.operators.assembly import words_of_chars
+from folioscan.sources import pdf
 
 BOXES = "array<array<array<double>>>"
 PAGED = f"question_id string, question string, answers array<string>, answer_page_idx int, image_id string, image_name array<string>, ocr_tokens array<array<string>>, ocr_normalized_boxes {BOXES}"
@@ -156,26 +158,62 @@ def ocr_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("document").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "lines"))), lambda p: p["lines"])).alias("lines"))
 
 
-def document_words(spark: SparkSession, path: str, parser: Callable[[], Callable[[bytes], Iterator[tuple[int, int, int, str, float, float, float, float, float, float]]]]) -> DataFrame:
+Parser = Callable[[], Callable[[bytes], Iterator[tuple[int, int, int, str, float, float, float, float, float, float]]]]
+
+
+def document_words(spark: SparkSession, path: str, parser: Parser, errors: bool = False) -> DataFrame:
     """document, page, line, first, word, box of each file: words of the characters that a parser finds.
 
     parser makes, in each task, a function from a file's bytes to (page, line, place, character, left, bottom, right, top, page's
     width, page's height), with the origin at the lower left, as page description formats have it. Words end at blanks; boxes are
     shares of the page with the origin at the upper left, cut off at its edges. A document is parsed once, whatever asks for it.
+    With `errors`, a file that can't be parsed to its end gives what was found and a row with a message in `error`; without, it
+    ends the job.
     """
+    return words_of_files(spark.read.format("binaryFile").load(path).select("path", "content"), parser, errors)
+
+
+def pdf_words(spark: SparkSession, path: str) -> DataFrame:
+    """document, page, line, first, word, box, error of PDF files; a broken file has a row with an error."""
+    return document_words(spark, path, pdf.parser, errors=True)
+
+
+def words_of_files(files: DataFrame, parser: Parser, errors: bool = False) -> DataFrame:
+    """The same of the rows of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = parser()
+        read, names = parser(), ["path", "page", "line", "pos", "char", "l", "b", "r", "t", "w", "h"]
         for batch in batches:
             for path_, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path_, *c) for c in read(bytes(content))]
-                for k in range(0, len(rows), 50_000):
-                    yield pd.DataFrame(rows[k : k + 50_000], columns=["path", "page", "line", "pos", "char", "l", "b", "r", "t", "w", "h"])
-
-    chars = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, line int, pos int, char string, l double, b double, r double, t double, w double, h double")
+                found, error = read(bytes(content)), None
+                while True:
+                    rows = []
+                    try:
+                        rows += ((path_, *c) for c in islice(found, 50_000))
+                    except Exception as e:  # whatever a file holds, the others are read
+                        if not errors:
+                            raise
+                        error = f"{type(e).__name__}: {e}"
+                    if rows:
+                        yield pd.DataFrame(rows, columns=names).assign(error=None)
+                    if len(rows) < 50_000 or error:
+                        break
+                if error:
+                    yield pd.DataFrame([(path_, *[None] * 10, error)], columns=[*names, "error"])
+
+    schema = "path string, page int, line int, pos int, char string, l double, b double, r double, t double, w double, h double, error string"
+    chars = files.select("path", "content").mapInPandas(run, schema)
     box = G.clip(G.box(F.col("l") / F.col("w"), 1 - F.col("t") / F.col("h"), F.col("r") / F.col("w"), 1 - F.col("b") / F.col("h")))
-    placed = chars.select(F.struct(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("document"), "page").alias("page"), "line", "pos", "char", box.alias("box"))
-    return words_of_chars(placed).select("page.document", "page.page", "line", "first", "word", "box")
+    document = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("document")
+    if not errors:
+        placed = chars.select(F.struct(document, "page").alias("page"), "line", "pos", "char", box.alias("box"))
+        return words_of_chars(placed).select("page.document", "page.page", "line", "first", "word", "box")
+    # An error travels as a character of its own line, so a file is parsed once.
+    sign = F.when(F.col("error").isNotNull(), "!").otherwise(F.col("char"))
+    placed = chars.select(F.struct(document, "page", "error").alias("page"), "line", "pos", sign.alias("char"), box.alias("box"))
+    found = words_of_chars(placed)
+    failed = F.col("page.error").isNotNull()
+    return found.select("page.document", "page.page", "line", "first", F.when(~failed, F.col("word")).alias("word"), F.when(~failed, F.col("box")).alias("box"), "page.error")
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
