@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.operators.masks import regions
+
 WORD = re.compile(r"\w+")
 
 
@@ -217,24 +219,7 @@ def extracted(question: Column, output: Column, make: Callable[[], Callable[[str
 
 def mask_boxes(mask: np.ndarray, least: int = 4) -> list[tuple[int, int, int, int]]:
     """x0, y0, x1, y1 around each region of touching true pixels (corners touch too) of at least `least` pixels, from the top."""
-    held = np.zeros(mask.shape, bool)
-    out = []
-    for y, x in np.argwhere(mask):
-        if held[y, x]:
-            continue
-        held[y, x], stack, seen = True, [(y, x)], []
-        while stack:
-            a, b = stack.pop()
-            seen.append((a, b))
-            for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
-                for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
-                    if mask[c, d] and not held[c, d]:
-                        held[c, d] = True
-                        stack.append((c, d))
-        if len(seen) >= least:
-            ys, xs = zip(*seen, strict=True)
-            out.append((int(min(xs)), int(min(ys)), int(max(xs)) + 1, int(max(ys)) + 1))
-    return out
+    return [tuple(r[:4]) for r in regions(mask, least).tolist()]
 
 
 def fit_unanswerable(rows: DataFrame, hidden: int = 16, seed: int = 1) -> Callable[[DataFrame], DataFrame]:

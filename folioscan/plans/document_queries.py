@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import pandas as pd
@@ -16,6 +17,8 @@ from folioscan.functions.text import bind
 from folioscan.operators import assembly as A
 from folioscan.operators import inputs as I
 from folioscan.operators import layout as L
+from folioscan.operators import masks as K
+from folioscan.operators import pixels as P
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
 from folioscan.plans.retrieval_queries import _DOT, SQL_BOXES, _boxes
@@ -373,7 +376,39 @@ def pdf_words(spark, sf) -> DataFrame:
     return told.select(part(0).alias("conv_id"), part(1).alias("turn"), F.col("line").cast("long").alias("line"), "n", F.md5(F.array_join("w.word", " ").cast("binary")).alias("words_md5"))
 
 
-QUERIES = {f.__name__: f for f in (ltwh_boxes, polygon_boxes, portrait_boxes, pixel_boxes, remapped_labels, reading_places, node_edges, token_max_sim, token_mean, generated_confidence, layout_of_pages, documents_of_questions, ocr_of_questions, one_sample, exploded_questions, evidence_report, prompt_texts, resize_rules, image_tiles, pasted_patches, flattened_patches, page_tokens, truncated_words, flattened_chunks, words_in_layout, word_labels, layout_chunks, region_labels, failures, retrieved_labels, page_distribution, distinct_documents, topk_patches, numbered_pages, page_precision, document_ids, normalised_images, indexed_noise, strided_shard, range_subset, zipped_labels, pdf_words)}
+def _html(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("bytes"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _bitmaps(contents: pd.Series) -> pd.Series:
+    """BMP files of 32 pixels across, whose channels are the bytes."""
+
+    def one(data: bytes) -> bytes:
+        height = max(1, -(-len(data) // 96))
+        head = struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 54, 40, 32, -height, 1, 24, 0, 0, 0, 0, 0, 0)
+        return b"BM" + head + data + bytes(96 * height - len(data))
+
+    return contents.map(one)
+
+
+def image_patches(spark, sf) -> DataFrame:
+    """Every page's bytes as an image, normalised, resampled and cut into 64 patches of 8 by 8."""
+    images = _html(spark, sf).select("page_id", _bitmaps(F.col("bytes")).alias("content"))
+    found = P.image_patches(images, 64, 8, normal=True)
+    total = F.aggregate("patches", F.lit(0.0), lambda s, p: s + F.aggregate(F.slice(p, 3, 192), F.lit(0.0), lambda t, x: t + F.abs(x.cast("double"))))
+    return found.select("page_id", *_long("height", "width", "rows", "columns"), F.size("patches").cast("long").alias("n"), F.round(total, 2).alias("total"))
+
+
+def mask_regions(spark, sf) -> DataFrame:
+    """Regions of touching capitals, digits and signs in every page's bytes, set in lines of 40."""
+    rows = _html(spark, sf)
+    seen = F.translate(F.col("bytes").cast("string"), "abcdefghijklmnopqrstuvwxyz \t\n", "\0" * 29)
+    masks = rows.select("page_id", F.lit(40).alias("width"), seen.cast("binary").alias("mask"))
+    return K.mask_regions(masks, "page_id")
+
+
+QUERIES = {f.__name__: f for f in (ltwh_boxes, polygon_boxes, portrait_boxes, pixel_boxes, remapped_labels, reading_places, node_edges, token_max_sim, token_mean, generated_confidence, layout_of_pages, documents_of_questions, ocr_of_questions, one_sample, exploded_questions, evidence_report, prompt_texts, resize_rules, image_tiles, pasted_patches, flattened_patches, page_tokens, truncated_words, flattened_chunks, words_in_layout, word_labels, layout_chunks, region_labels, failures, retrieved_labels, page_distribution, distinct_documents, topk_patches, numbered_pages, page_precision, document_ids, normalised_images, indexed_noise, strided_shard, range_subset, zipped_labels, pdf_words, image_patches, mask_regions)}
 
 _CLIP = "greatest(0.0, least(1.0, {0}))"
 _PARTS = "p AS (SELECT vec_id, unnest(range(0, 8)) AS k, embedding FROM embeddings), v AS (SELECT vec_id, k, list_transform(embedding[8 * k + 1 : 8 * k + 8], lambda x: x::DOUBLE) AS x FROM p)"
