@@ -49,10 +49,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longest.cast("double")))
 
 
-def anls_strict(gold: Column, pred: Column) -> Column:
-    """The similarity, 0 unless above 0.5."""
-    s = similarity(gold, pred)
-    return F.when(s > 0.5, s).otherwise(0.0)
+def anls_strict(gold: Column, pred: Column, least: float = 0.5) -> Column:
+    """The similarity, 0 unless above `least`; edits are counted only as far as that allows."""
+    longest = F.greatest(F.length(gold), F.length(pred))
+    edits = F.call_function("levenshtein", gold, pred, F.floor(longest * (1 - least) + 1e-9).cast("int"))
+    s = F.when(longest == 0, 1.0).when(edits < 0, 0.0).otherwise(1 - F.try_divide(edits.cast("double"), longest.cast("double")))
+    return bind(s, lambda s: F.when(s > least, s).otherwise(0.0))
 
 
 #: What Python's int() and float() read, without the surrounding white space.
@@ -194,7 +196,7 @@ def eval_score(gold: Column, pred: Column, kind: Column) -> Column:
     def as_list(g: Column, p: Column) -> Column:
         first = lambda a: F.try_element_at(a, F.lit(1))
         exact = lambda a: bind(first(a), lambda x: number(x).isNotNull() | is_exact(x))
-        held = lambda a, b: F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).when(exact(a), (F.array_join(a, "-") == F.array_join(b, "-")).cast("double")).otherwise(F.array_min(F.zip_with(a, b, anls_strict)))
+        held = lambda a, b: F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), 0.0).when(exact(a), (F.array_join(a, "-") == F.array_join(b, "-")).cast("double")).otherwise(F.array_min(F.zip_with(a, b, lambda x, y: anls_strict(x, y))))
         each = lambda x: F.array_sort(F.transform(items(x), clean))
         return bind(each(g), lambda a: bind(each(p), lambda b: held(a, b)))
 

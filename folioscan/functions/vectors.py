@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscan.functions.text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,15 +22,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, F.try_divide(x.cast("double"), n)).otherwise(0.0))
+    return bind(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, F.try_divide(x.cast("double"), n)).otherwise(0.0)))
 
 
 def max_sim(query: Column, patches: Column) -> Column:
     """Late interaction: for each query vector the largest cosine over the patches, summed."""
-    units = F.transform(patches, unit)
-    best = F.transform(query, lambda q: F.array_max(F.transform(units, lambda p: dot(unit(q), p))))
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+    def best(units: Column) -> Column:
+        return F.transform(F.transform(query, unit), lambda q: F.array_max(F.transform(units, lambda p: dot(q, p))))
+
+    return F.aggregate(bind(F.transform(patches, unit), best), F.lit(0.0), lambda s, x: s + x)
 
 
 def mean_pool(vectors: Column, mask: Column) -> Column:
@@ -47,8 +49,7 @@ def generative_confidence(steps: Column) -> Column:
 
 def likeliest(scores: Column) -> Column:
     """The largest of the chances that scores before their softmax stand for."""
-    top = F.array_max(scores).cast("double")
-    return 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return bind(F.array_max(scores).cast("double"), lambda top: 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)))
 
 
 def extractive_confidence(starts: Column, ends: Column) -> Column:

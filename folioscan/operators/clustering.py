@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +99,29 @@ def clusters(boxes: DataFrame, vector: str | None = None, most: int = 10) -> Dat
 
 
 def split_by_budget(rows: DataFrame, by: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """by, order, part: members in order, a new part (from 0) before one that would take its part over the budget."""
-    state = "struct<at:array<int>,part:int,used:bigint>"
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("used")).cast(state)
-
-    def add(s: Column, m: Column) -> Column:
-        n = F.coalesce(m["n"].cast("bigint"), F.lit(0).cast("bigint"))
-        over = (s["used"] > 0) & (s["used"] + n > budget)
-        part = s["part"] + over.cast("int")
-        return F.struct(F.concat(s["at"], F.array(part)).alias("at"), part.alias("part"), (F.when(over, F.lit(0).cast("bigint")).otherwise(s["used"]) + n).alias("used")).cast(state)
-
-    members = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("n")))).alias("m"))
-    parts = F.aggregate("m", start, add, lambda s: s["at"])
-    both = members.select(*by, F.explode(F.arrays_zip(F.col("m"), parts.alias("p"))).alias("z"))
-    return both.select(*by, F.col("z.m.o").alias(order), F.col("z.p").alias("part"))
+    """by, order, part: members in order, a new part (from 0) before one that would take its part over the budget.
+
+    Members stream through their task in order; only the open part is carried from one to the next.
+    """
+    kept = rows.select(*by, order, tokens)
+    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, order]) + ", part int"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, part, used = None, 0, 0
+        for batch in batches:
+            parts = []
+            for *key, n in zip(*(batch.column(c).to_pylist() for c in [*by, tokens]), strict=True):
+                n = n or 0
+                if key != group:
+                    group, part, used = key, 0, 0
+                if used > 0 and used + n > budget:
+                    part, used = part + 1, 0
+                used += n
+                parts.append(part)
+            yield pa.record_batch([*(batch.column(c) for c in [*by, order]), pa.array(parts, pa.int32())], [*by, order, "part"])
+
+    return kept.repartition(*by).sortWithinPartitions(*by, order, tokens).mapInArrow(split, schema)
 
 
 def _unit() -> Column:

@@ -119,10 +119,12 @@ def documents_of_questions(spark, sf) -> DataFrame:
 
 
 def ocr_of_questions(spark, sf) -> DataFrame:
-    """Every user turn with the words of the file that it names."""
-    asked = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.format_string("f%d.json", F.col("conv_id") % 50).alias("file"))
-    files = table(spark, sf, "documents").select(F.format_string("f%d.json", "doc_id").alias("file"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return asked.join(files, "file").select("conv_id", "turn", "file", "n_words")
+    """Every user turn with the words of each file that its conversation names: the documents are dealt to the conversations in turn."""
+    rows = table(spark, sf, "conversations")
+    n = rows.agg(F.max("conv_id") + 1).first()[0] or 1
+    asked = rows.filter("role = 'user'").select("conv_id", "turn")
+    files = table(spark, sf, "documents").select((F.col("doc_id") % n).alias("conv_id"), F.format_string("f%d.json", "doc_id").alias("file"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return asked.join(files, "conv_id").select("conv_id", "turn", "file", "n_words")
 
 
 def one_sample(spark, sf) -> DataFrame:
@@ -317,8 +319,11 @@ def normalised_images(spark, sf) -> DataFrame:
 
 
 def indexed_noise(spark, sf) -> DataFrame:
-    """Two pages of other documents for every conversation: document, entry and page are drawn apart from each other by arithmetic."""
-    sizes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_pages")).withColumn("name", F.col("conv_id") % 50)
+    """Two pages of other documents for every conversation: document, entry and page are drawn apart from each other by arithmetic.
+
+    Four conversations in turn are the entries of a document.
+    """
+    sizes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_pages")).withColumn("name", F.floor(F.col("conv_id") / 4))
     names = S.group_rank(sizes.select("name").distinct().withColumn("all", F.lit(0)), ["all"], F.floor(F.col("name") / 4096), ["name"])
     docs = names.select("name", (F.col("rank") - 1).alias("doc"))
     by_doc = Window.partitionBy("doc")
@@ -330,7 +335,7 @@ def indexed_noise(spark, sf) -> DataFrame:
 
 
 def strided_shard(spark, sf) -> DataFrame:
-    """The second of three shards of the documents of each source, and the places 5 to 20 of them."""
+    """The second of three shards of the documents of each source."""
     ranked = S.group_rank(table(spark, sf, "documents").select("doc_id", "source"), ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"])
     return S.shard(ranked, 1, 3).select("doc_id", "source")
 
@@ -403,7 +408,7 @@ def image_patches(spark, sf) -> DataFrame:
 def mask_regions(spark, sf) -> DataFrame:
     """Regions of touching capitals, digits and signs in every page's bytes, set in lines of 40."""
     rows = _html(spark, sf)
-    seen = F.translate(F.col("bytes").cast("string"), "abcdefghijklmnopqrstuvwxyz \t\n", "\0" * 29)
+    seen = F.regexp_replace(F.col("bytes").cast("string"), "[a-z \\t\\n]", "\0")
     masks = rows.select("page_id", F.lit(40).alias("width"), seen.cast("binary").alias("mask"))
     return K.mask_regions(masks, "page_id")
 
@@ -429,7 +434,7 @@ SQL = {
     "generated_confidence": f"WITH {_PARTS}, c AS (SELECT vec_id, k, 1 / list_sum(list_transform(x, lambda y: exp(y - list_max(x)))) AS c FROM v) SELECT vec_id, round(product(c) FILTER (k < 7), 9) AS product, round(max(c) FILTER (k = 0), 9) AS first FROM c GROUP BY vec_id",
     "layout_of_pages": SQL_BOXES + " SELECT page_id, 'img' || (page_id % 120) AS image_name, box_id FROM pages JOIN b ON 'img' || (page_id % 120) = 'img' || page",
     "documents_of_questions": "SELECT l.doc_id, quality, lang, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
-    "ocr_of_questions": f"SELECT conv_id, turn, 'f' || (conv_id % 50) || '.json' AS file, n_words FROM conversations JOIN (SELECT doc_id, len({W}) AS n_words FROM documents) ON conv_id % 50 = doc_id WHERE role = 'user'",
+    "ocr_of_questions": f"SELECT conv_id, turn, 'f' || doc_id || '.json' AS file, n_words FROM conversations JOIN (SELECT doc_id, len({W}) AS n_words FROM documents) ON conv_id = doc_id % (SELECT max(conv_id) + 1 FROM conversations) WHERE role = 'user'",
     "one_sample": "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents WHERE doc_id = 7",
     "exploded_questions": """WITH a AS (SELECT conv_id, list(role || ':' || turn ORDER BY turn) AS a FROM conversations WHERE role <> 'user' GROUP BY conv_id),
  q AS (SELECT c.conv_id, c.conv_id || '-' || turn AS question_id, 'turn ' || turn AS question, CASE turn % 2 WHEN 0 THEN 'extractive' ELSE 'abstractive' END AS answer_type, a FROM conversations c LEFT JOIN a ON a.conv_id = c.conv_id WHERE role = 'user')
@@ -481,7 +486,7 @@ SQL = {
     "page_precision": "SELECT conv_id, turn, (turn = conv_id % 3)::BIGINT AS one, (turn IN (conv_id % 3, conv_id % 5, turn % 4))::BIGINT AS any FROM conversations WHERE role = 'user'",
     "document_ids": f"SELECT conv_id AS doc_id, turn AS page_idx, CASE turn % 2 WHEN 0 THEN 'q' || conv_id ELSE md5(array_to_string({W}[1:5], ' ')) END AS id FROM conversations",
     "normalised_images": "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding, lambda x: 0.25::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS v FROM embeddings), x AS (SELECT vec_id, unnest(v) AS x FROM v), m AS (SELECT vec_id, avg(x) AS m, greatest(stddev_pop(x), 1 / sqrt(count(*))) AS d FROM x GROUP BY 1) SELECT x.vec_id, round(min((x - m) / d), 5) AS least, round(max((x - m) / d), 5) AS most, round(sum(abs((x - m) / d)), 4) AS total FROM x JOIN m ON x.vec_id = m.vec_id GROUP BY 1",
-    "indexed_noise": """WITH z AS (SELECT conv_id AS entry, count(*) AS n_pages, conv_id % 50 AS name FROM conversations GROUP BY conv_id), d AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS doc, count(*) OVER () AS n FROM (SELECT DISTINCT name FROM z)),
+    "indexed_noise": """WITH z AS (SELECT conv_id AS entry, count(*) AS n_pages, conv_id // 4 AS name FROM conversations GROUP BY conv_id), d AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS doc, count(*) OVER () AS n FROM (SELECT DISTINCT name FROM z)),
  e AS (SELECT entry, n_pages, doc, n, row_number() OVER (PARTITION BY doc ORDER BY entry) - 1 AS at, count(*) OVER (PARTITION BY doc) AS n_entries FROM z JOIN d ON z.name = d.name),
  r AS (SELECT entry AS conv_id, k, (doc + 1 + (entry * 31 + k * 17) % (n - 1)) % n AS other FROM e, (SELECT unnest([1, 2]) AS k))
  SELECT conv_id, k::BIGINT AS k, other, entry, (conv_id * 13 + k * 5) % n_pages AS page_idx FROM r JOIN e ON e.doc = r.other AND e.at = (conv_id * 7 + k) % e.n_entries""",

@@ -265,7 +265,7 @@ def contrastive_pairs(spark, sf) -> DataFrame:
     a, b = t.filter("role = 'user'").alias("a"), t.alias("b")
     one, two = F.length("a.said"), F.length("b.said")
     both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") != F.col("b.turn")) & (F.least(one, two) > PAIR * F.greatest(one, two) - 1e-9))
-    scored = both.select("a.conv_id", F.col("a.turn").alias("anchor"), F.col("b.turn").alias("positive"), X.anls_strict(F.col("a.said"), F.col("b.said")).alias("s"))
+    scored = both.select("a.conv_id", F.col("a.turn").alias("anchor"), F.col("b.turn").alias("positive"), X.anls_strict(F.col("a.said"), F.col("b.said"), PAIR).alias("s"))
     return scored.filter(F.col("s") > PAIR).select("conv_id", "anchor", "positive", F.round("s", 6).alias("score"))
 
 
