@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,30 @@ def shard(ranked: DataFrame, part: int, parts: int) -> DataFrame:
     return ranked.filter((F.col("rank") - 1) % parts == part)
 
 
+def strides(n: int, most: int = 16) -> list[int]:
+    """Up to `most` steps below 200 that go round all of n places before they come back."""
+    return [x for x in range(1, 200) if math.gcd(x, n) == 1][:most]
+
+
+def noise_draws(docs: DataFrame, n_docs: int, k: int, seed: int = 0) -> DataFrame:
+    """doc_id, k, other, page_idx: k pages of other documents for each document, from 0 to k - 1.
+
+    docs: doc_id, at (numbered from 0), n_pages. The others are taken in an order of the document's own: from a place and by a
+    step that its number and the seed say, round all other documents, so none comes twice before each has come. No pairs of
+    documents are made but those drawn. With one document there are none, and a document without pages gives none.
+    """
+    if n_docs < 2:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("k"), F.col("doc_id").alias("other"), F.col("n_pages").alias("page_idx")).limit(0)
+    by = F.array(*map(F.lit, strides(n_docs - 1)))
+    drawn = docs.select("doc_id", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("k"))
+    step = F.get(by, F.pmod(F.col("at") + seed, F.size(by)).cast("int"))
+    place = F.pmod(F.col("at") * 31 + seed * 17 + F.col("k") * step, F.lit(n_docs - 1))
+    drawn = drawn.withColumn("to", (F.col("at") + 1 + place) % n_docs)
+    held = docs.filter("n_pages > 0").select(F.col("at").alias("to"), F.col("doc_id").alias("other"), "n_pages")
+    page = F.pmod(F.col("at") * 5 + F.col("to") * 3 + F.col("k") * 7 + seed, F.col("n_pages"))
+    return drawn.join(held, "to").select("doc_id", "k", "other", page.cast("long").alias("page_idx"))
+
+
 def other_entries(entries: DataFrame, draws: DataFrame, n_docs: int) -> DataFrame:
     """The columns of draws, other, entry, page_idx: a page of another document for each draw; all three are drawn independently.
 

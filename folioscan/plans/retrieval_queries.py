@@ -219,11 +219,11 @@ def balanced(spark, sf) -> DataFrame:
 
 
 def noise_pages(spark, sf) -> DataFrame:
-    """Two pages of the next conversations are mixed into every conversation, and its pages numbered anew."""
+    """Two pages of other conversations, drawn from all of them, are mixed into every conversation, and its pages numbered anew."""
     rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_idx"))
-    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    others = sizes.select("doc_id", "n", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).join(sizes.select(F.col("doc_id").alias("other"), F.col("n").alias("m")), F.col("other") == F.col("doc_id") + F.col("k"))
-    noise = others.select("doc_id", "k", ((F.col("other") * 5) % F.col("m")).alias("page_idx"), "n")
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n_pages")).withColumn("all", F.lit(0))
+    docs = S.group_rank(sizes, ["all"], F.floor(F.col("doc_id") / 4096), ["doc_id"]).select("doc_id", "n_pages", (F.col("rank") - 1).alias("at"))
+    noise = S.noise_draws(docs, sizes.count(), 2).join(docs.select("doc_id", F.col("n_pages").alias("n")), "doc_id")
     place = (F.col("doc_id") * 3 + F.col("k")) % (F.col("n") + 1)
     return S.mix_pages(rows, noise, place).select("doc_id", F.col("page_idx").cast("long").alias("page_idx"), "old_page", "was_noise")
 
@@ -298,8 +298,10 @@ SQL = {
  folded AS (SELECT page, r, [box_id] AS kept FROM z WHERE r = 1 UNION ALL SELECT f.page, z.r, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.page = z.page AND p.i = z.box_id AND list_contains(f.kept, p.j) AND inter / (ai + aj - inter + 1e-8) > 0.3) THEN f.kept ELSE list_append(f.kept, z.box_id) END FROM folded f JOIN z ON z.page = f.page AND z.r = f.r + 1)
  SELECT page, unnest(kept) AS box_id FROM (SELECT page, arg_max(kept, r) AS kept FROM folded GROUP BY page)""",
     "balanced": "WITH n AS (SELECT count(*) AS n FROM labels WHERE toxic = 1) SELECT doc_id, toxic FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id * 7919 % 10007, doc_id) AS r FROM labels WHERE toxic = 0), n WHERE r <= n",
-    "noise_pages": """WITH z AS (SELECT conv_id AS d, count(*) AS n FROM conversations GROUP BY 1), o AS (SELECT a.d, a.n, k, b.d AS other, b.n AS m FROM z a, (SELECT unnest([1, 2]) AS k) x, z b WHERE b.d = a.d + k),
- u AS (SELECT conv_id AS d, turn AS place, 1 AS own, 0 AS k, turn AS old FROM conversations UNION ALL SELECT d, (d * 3 + k) % (n + 1), 0, k, (other * 5) % m FROM o)
+    "noise_pages": """WITH z AS (SELECT conv_id AS d, count(*) AS n FROM conversations GROUP BY 1), i AS (SELECT d, n, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS c FROM z),
+ s AS (SELECT list_filter(range(1, 200), lambda x: gcd(x, m) = 1)[1:16] AS s FROM (SELECT count(*) - 1 AS m FROM z)),
+ r AS (SELECT d, n, i, k, (i + 1 + (i * 31 + k * s[i % len(s) + 1]) % (c - 1)) % c AS o FROM i, s, (SELECT unnest([0, 1]) AS k) WHERE c > 1),
+ u AS (SELECT conv_id AS d, turn AS place, 1 AS own, 0 AS k, turn AS old FROM conversations UNION ALL SELECT r.d, (r.d * 3 + k) % (r.n + 1), 0, k, (r.i * 5 + o * 3 + k * 7) % i.n FROM r JOIN i ON i.i = r.o)
  SELECT d AS doc_id, row_number() OVER (PARTITION BY d ORDER BY place, own, k, old) - 1 AS page_idx, old AS old_page, own = 0 AS was_noise FROM u""",
     "noise_bins": """WITH z AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT conv_id, n, level, rep, (conv_id * 17 + level * 5 + rep * 31) % 101 / 100.0 AS s FROM z, (SELECT unnest([0, 3, 20, 100])::BIGINT AS level), (SELECT unnest([0, 1, 2]) AS rep)),
  e AS (SELECT level, conv_id, n, avg(s) AS m, stddev_pop(s) AS sd FROM r GROUP BY 1, 2, 3), f AS (SELECT level, n, avg(m) AS m, avg(sd) AS sd FROM e GROUP BY 1, 2)
