@@ -1,7 +1,9 @@
 """Byte-level BPE by rank: pieces of equal length class are merged together as padded numpy matrices.
 
-`encode_documents` and `decode_documents` are map-only; a document with null or empty text has no ids.
-Repeated rows are encoded like any other, and ties in rank go to the leftmost pair.
+`encode_documents` and `decode_documents` are map-only; a document with null or empty text has no ids. Very long texts are
+encoded whole; a piece of more than WIDEST bytes (few texts have one) is merged with a heap, since a matrix row takes a round
+for each of its merges and each round its whole width. Repeated rows are encoded like any other, and ties in rank go to the
+leftmost pair. An empty table gives no rows; other columns, also with clashing names, don't matter.
 """
 
 from __future__ import annotations
