@@ -10,6 +10,7 @@ from folioscan.functions import vectors as V
 from folioscan.functions.similarity import chunk_score, window_score
 from folioscan.operators import chunking as C
 from folioscan.operators import clustering as K
+from folioscan.operators import histograms as H
 from folioscan.operators import layout as L
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
@@ -244,7 +245,20 @@ def noise_bins(spark, sf) -> DataFrame:
     return bins.join(found, ["level", "n"], "left").select("level", "n", zero("m").alias("mean"), zero("s").alias("std"))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, box_clusters, cluster_crops, cluster_parts, merged_words, chunk_scores, patch_grid, stratified, balanced, noise_pages, noise_bins)}
+def layout_histograms(spark, sf) -> DataFrame:
+    """Widths and heights of boxes in twentieths of a page, their labels, and boxes per page."""
+    box = F.col("box")
+    sizes = {"width": F.floor((box["x1"] - box["x0"]) * 20), "height": F.floor((box["y1"] - box["y0"]) * 20), "label": F.col("box_id") % 3}
+    return H.histograms(_boxes(spark, sf), sizes, {"boxes_per_page": F.col("page")})
+
+
+def chunk_counts(spark, sf) -> DataFrame:
+    """Sizes of the chunks of all pages, chunks per page and per document."""
+    found = C.chunks(pages(spark, sf).select("doc_id", "page_idx", "words"))
+    return H.histograms(found, {"size": F.size("words")}, {"chunks_per_page": F.struct("doc_id", "page_idx"), "chunks_per_document": F.col("doc_id")})
+
+
+QUERIES = {f.__name__: f for f in (retrieve_pages, cosine_topk, rerank_filter, max_confidence, majority_page, weighted_page, reorder_chunks, mean_pool, late_interaction, box_pairs, absorbed_boxes, suppressed_boxes, box_components, merged_boxes, box_clusters, cluster_crops, cluster_parts, merged_words, chunk_scores, patch_grid, stratified, balanced, noise_pages, noise_bins, layout_histograms, chunk_counts)}
 
 _VOTE = "v AS (SELECT question, chunk % 5 AS page, {sum} AS votes FROM s WHERE sim > {least} GROUP BY 1, 2) SELECT question, page, {votes} AS votes FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(votes, 6) DESC, page) AS r FROM v) WHERE r = 1"
 _COMPONENTS = SQL_BOXES.replace("WITH", "WITH RECURSIVE", 1) + ", e AS (SELECT DISTINCT page, i, j FROM p WHERE touch), r AS (SELECT page, box_id, box_id AS x FROM b UNION SELECT r.page, r.box_id, e.j FROM r JOIN e ON r.page = e.page AND r.x = e.i), k AS (SELECT page, box_id, min(x) AS component FROM r GROUP BY 1, 2)"
@@ -264,6 +278,12 @@ SQL = {
     "rerank_filter": SQL_SIM.format(k=20) + """, t AS (SELECT *, sim + chunk % 7 * 0.01::DOUBLE AS score FROM s),
  r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk) AS new_rank, count(*) FILTER (score >= 0.2) OVER (PARTITION BY question) AS n_pass FROM t)
  SELECT question, chunk, round(score, 6) AS score, new_rank FROM r WHERE (n_pass >= 1 AND score >= 0.2 AND new_rank <= 5) OR (n_pass < 1 AND new_rank <= 1)""",
+    "layout_histograms": SQL_BOXES + """, k AS (SELECT unnest([{'kind': 'width', 'value': floor((x1 - x0) * 20)}, {'kind': 'height', 'value': floor((y1 - y0) * 20)}, {'kind': 'label', 'value': (box_id % 3)::DOUBLE}], recursive := true) FROM b),
+ u AS (SELECT count(*)::DOUBLE AS value FROM b GROUP BY page) SELECT kind, value, count(*) AS n FROM k GROUP BY 1, 2 UNION ALL SELECT 'boxes_per_page', value, count(*) FROM u GROUP BY 2""",
+    "chunk_counts": f"""WITH p AS (SELECT conv_id AS d, turn AS p, len({W}) AS n FROM conversations), s AS (SELECT d, p, n, unnest(range(0, n, 50)) AS s FROM p),
+ c AS (SELECT d, p, CASE WHEN n - (s + 50) <= 22 THEN n ELSE s + 60 END - s AS size FROM s WHERE s = 0 OR n - s > 22)
+ SELECT 'size' AS kind, size::DOUBLE AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'chunks_per_page', k, count(*) FROM (SELECT count(*)::DOUBLE AS k FROM c GROUP BY d, p) GROUP BY 2
+ UNION ALL SELECT 'chunks_per_document', k, count(*) FROM (SELECT count(*)::DOUBLE AS k FROM c GROUP BY d) GROUP BY 2""",
     "max_confidence": SQL_CONF + " SELECT doc_id, page_idx, answer, round(conf, 6)::DOUBLE AS conf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, page_idx) AS r FROM c) WHERE r = 1",
     "majority_page": SQL_SIM.format(k=50) + ", " + _VOTE.format(sum="count(*)", least="0.05", votes="votes"),
     "weighted_page": SQL_SIM.format(k=50) + ", " + _VOTE.format(sum="sum(sim)", least="0", votes="round(votes, 4)"),
