@@ -64,23 +64,27 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
 
 
-def group_boxes(boxes: np.ndarray, vectors: np.ndarray | None = None, most: int = 10) -> np.ndarray:
+def group_boxes(boxes: np.ndarray, vectors: np.ndarray | None = None, most: int = 10, how: str = "best") -> np.ndarray:
     """A group for each box, numbered as first seen; -1 for all if there are fewer than three boxes, which have no silhouette.
 
     Of 2 to `most` groups, the number with the best silhouette over the first `most` eigenvectors is taken, which may well
-    be larger than the number of visible clumps.
+    be larger than the number of visible clumps. best: groups by as many eigenvectors as there are groups are tried for every
+    number. heuristic: groups by all `most` eigenvectors are tried, and the number found is then used as under best.
     """
+    if how not in ("best", "heuristic"):
+        raise ValueError(f"no such way: {how}")
     n = len(boxes)
     if n < 3:
         return np.full(n, -1)
     points = spectrum(affinity(boxes, vectors), most)
-    tried = [k_means(points[:, :k], k) for k in range(2, min(most, n - 1) + 1)]
-    best = max(tried, key=lambda labels: round(silhouette(points, labels), 9))  # the smallest k of equal ones
+    tried = {k: k_means(points[:, :k] if how == "best" else points, k) for k in range(2, min(most, n - 1) + 1)}
+    k = max(tried, key=lambda k: round(silhouette(points, tried[k]), 9))  # the smallest k of equal ones
+    best = tried[k] if how == "best" else k_means(points[:, :k], k)
     order: dict[int, int] = {}
     return np.array([order.setdefault(int(x), len(order)) for x in best])
 
 
-def clusters(boxes: DataFrame, vector: str | None = None, most: int = 10) -> DataFrame:
+def clusters(boxes: DataFrame, vector: str | None = None, most: int = 10, how: str = "best") -> DataFrame:
     """page, box_id, cluster. boxes: page, box_id, box, and with `vector` an array column; boxes without one get -1.
 
     The spectrum needs a page's boxes in one place; a page has as many as a layout model finds on it.
@@ -91,7 +95,7 @@ def clusters(boxes: DataFrame, vector: str | None = None, most: int = 10) -> Dat
         used = np.ones(len(rows), bool) if vector is None else rows["v"].notna().to_numpy()
         vectors = None if vector is None or not used.any() else np.stack([np.asarray(v, float) for v in rows["v"][used]])
         found = np.full(len(rows), -1)
-        found[used] = group_boxes(rows[["x0", "y0", "x1", "y1"]].to_numpy(float)[used], vectors, most)
+        found[used] = group_boxes(rows[["x0", "y0", "x1", "y1"]].to_numpy(float)[used], vectors, most, how)
         return pd.DataFrame({"page": rows["page"], "box_id": rows["box_id"], "cluster": found.astype("int64")})
 
     flat = boxes.select("page", "box_id", "box.*", *([] if vector is None else [F.col(vector).alias("v")]))

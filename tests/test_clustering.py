@@ -79,6 +79,21 @@ def test_clusters(spark):
     assert K.clusters(table.limit(0)).count() == 0
 
 
+def test_ways_to_count_groups():
+    rng = np.random.default_rng(3)
+    centres = rng.random((3, 2)) * 20
+    at = np.concatenate([c + rng.random((6, 2)) / 10 for c in centres])
+    boxes = np.concatenate([at, at + 0.1], 1)
+    points = K.spectrum(K.affinity(boxes), 6)
+    for how, tried in (("best", lambda k: K.k_means(points[:, :k], k)), ("heuristic", lambda k: K.k_means(points, k))):
+        scores = {k: round(K.silhouette(points, tried(k)), 9) for k in range(2, 7)}
+        k = max(scores, key=scores.get)
+        got, want = K.group_boxes(boxes, most=6, how=how), K.k_means(points[:, :k], k)
+        assert len(set(got)) == k and len(set(zip(got.tolist(), want.tolist(), strict=True))) == k
+    with pytest.raises(ValueError):
+        K.group_boxes(boxes, how="other")
+
+
 def test_silhouette_of_equal_points():
     same = np.zeros((5, 2))
     assert K.silhouette(same, np.zeros(5, int)) == -1.0
