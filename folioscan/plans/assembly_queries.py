@@ -14,6 +14,7 @@ from folioscan.operators import layout as L
 from folioscan.operators import sampling as S
 from folioscan.plans import answering as Q
 from folioscan.plans import experiment as E
+from folioscan.plans import mining as N
 from folioscan.plans.retrieval_queries import SQL_BOXES, SQL_CONF, _boxes, _confidences
 from folioscan.plans.text_queries import SQL_WORDS
 from folioscan.sources.tables import pages, table
@@ -137,17 +138,28 @@ def answered_questions(spark, sf) -> DataFrame:
     return found.select("question_id", first["answer"].alias("answer"), F.round(first["confidence"], 6).alias("confidence"), F.try_element_at("pages", F.lit(1)).alias("page"))
 
 
-def noise_experiment(spark, sf) -> DataFrame:
-    """Each user turn as a question on its conversation, its first sentence the answer, with 0, 2 and 8 pages of others, two times."""
-    rows = pages(spark, sf)
+def _asked(rows: DataFrame) -> DataFrame:
+    """Each user turn as a question on its conversation, its first sentence the answer."""
     said = F.array_join("words", " ")
     first = F.split(said, r"(?<=[.!?])\s")[0]
-    asked = rows.filter("role = 'user'").select(F.concat_ws(":", "doc_id", "page_idx").alias("question_id"), "doc_id", said.alias("question"), F.col("page_idx").alias("gold_page"), F.array(first).alias("golds"))
-    found = E.by_pages(E.noise_experiment(asked, rows.select("doc_id", "page_idx", "words"), (0, 2, 8), 2, mode="maxconf", k=5))
+    return rows.filter("role = 'user'").select(F.concat_ws(":", "doc_id", "page_idx").alias("question_id"), "doc_id", said.alias("question"), F.col("page_idx").alias("gold_page"), F.array(first).alias("golds"))
+
+
+def noise_experiment(spark, sf) -> DataFrame:
+    """Questions on conversations with 0, 2 and 8 pages of others, two times."""
+    rows = pages(spark, sf)
+    found = E.by_pages(E.noise_experiment(_asked(rows), rows.select("doc_id", "page_idx", "words"), (0, 2, 8), 2, mode="maxconf", k=5))
     return found.select(F.col("level").cast("long").alias("level"), "n_pages", "samples", *(F.round(c, 6).alias(c) for c in found.columns[3:]))
 
 
-QUERIES = {f.__name__: f for f in (padded_pages, labelled_words, compact_chunks, aligned_spans, resized_images, divided_regions, patch_surroundings, page_grid, char_words, filtered_boxes, example_ids, extractive_confidences, overridden_answers, result_rows, clock_times, noise_pool, answered_questions, noise_experiment)}
+def mined_pairs(spark, sf) -> DataFrame:
+    """The chunks of its conversation from which a question is answered right."""
+    rows = pages(spark, sf)
+    found = N.mined_pairs(_asked(rows), rows.select("doc_id", "page_idx", "words"))
+    return found.select("question_id", "page_idx", F.col("chunk_id").cast("long").alias("chunk_id"), F.md5(F.col("positive").cast("binary")).alias("positive_md5"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (padded_pages, labelled_words, compact_chunks, aligned_spans, resized_images, divided_regions, patch_surroundings, page_grid, char_words, filtered_boxes, example_ids, extractive_confidences, overridden_answers, result_rows, clock_times, noise_pool, answered_questions, noise_experiment, mined_pairs)}
 
 _SIZES = "i AS (SELECT p_partkey AS image, p_partkey * 37 % 1900 + 10 AS w, p_partkey * 53 % 1300 + 10 AS h, p_size % 3 AS label FROM part)"
 _CONF_HALF = "1 / list_sum(list_transform({0}, lambda x: exp(x::DOUBLE - list_max({0})::DOUBLE)))"

@@ -63,3 +63,28 @@ def test_experiment(spark):
         mean = lambda f: round(statistics.mean(f(x) for x in names), 6)  # noqa: B023, E731
         assert told[0] == len(names)
         assert np.allclose(told[1:], (mean(lambda x: statistics.mean(of(x, 4))), mean(lambda x: statistics.pstdev(of(x, 4))), mean(lambda x: statistics.mean(of(x, 6)))), atol=2e-6)  # noqa: B023
+
+
+def test_mined_pairs(spark, tmp_path):
+    from folioscan import catalog
+    from folioscan.plans import mining as N
+
+    pages = spark.createDataFrame(PAGES, "doc_id long, page_idx long, words array<string>").repartition(3)
+    asked = spark.createDataFrame(ASKED, "question_id string, doc_id long, question string, gold_page long, golds array<string>")
+    for k, least in ((1, 0.8), (3, 0.8), (3, 0.5)):
+        want = set()
+        for name, d, question, _, golds in ASKED:
+            own = [(p, " ".join(w)) for x, p, w in PAGES if x == d]
+            v = np.asarray(M.HashedTerms().embed([question, *(t for _, t in own)]), float)
+            sims = [float(v[0] @ x / (np.linalg.norm(v[0]) * np.linalg.norm(x) + 1e-8)) for x in v[1:]]
+            for i in sorted(range(len(own)), key=lambda i: (-round(sims[i], 9), i))[:k]:
+                pred = M.BestSentence().answer([question], [own[i][1]])[0][0].lower()
+                score = max(1 - lev(g.lower(), pred) / max(len(g), len(pred)) for g in golds)
+                if score > least:
+                    want.add((name, own[i][0], 0, question, own[i][1], round(score, 6)))
+        got = {(*tuple(r)[:5], round(r["score"], 6)) for r in N.mined_pairs(asked, pages, k, least).collect()}
+        assert got == want and got
+    turns = [(1, 0, "user", "Where is the mill? I look for it."), (1, 1, "assistant", "By the river. It grinds corn."), (1, 2, "assistant", None), (2, 0, "user", "Thanks.")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = catalog.queries()["mined_pairs"](spark, str(tmp_path)).collect()
+    assert {(r["question_id"], r["page_idx"]) for r in rows} == {("1:0", 0), ("2:0", 0)}
