@@ -21,7 +21,7 @@ from folioscan.operators import masks as K
 from folioscan.operators import pixels as P
 from folioscan.operators import ranking as R
 from folioscan.operators import sampling as S
-from folioscan.plans.retrieval_queries import _DOT, SQL_BOXES, _boxes
+from folioscan.plans.retrieval_queries import _DOT, SQL_BOXES, SQL_SIM, _boxes, _nearest
 from folioscan.plans.text_queries import SQL_SCORED, SQL_WORDS, _scored
 from folioscan.sources import pdf, records
 from folioscan.sources.tables import pages, table, words
@@ -267,10 +267,8 @@ def failures(spark, sf) -> DataFrame:
 
 
 def retrieved_labels(spark, sf) -> DataFrame:
-    """How often each layout label is among a question's ten best chunks."""
-    e = table(spark, sf, "embeddings").withColumn("score", F.element_at("embedding", 1))
-    best = R.top_k(e, ["label"], "score", ["vec_id"], 10)
-    return best.groupBy((F.col("vec_id") % 4).alias("layout")).agg(F.count("*").alias("n"))
+    """How often each layout label is among the ten best chunks of the questions, which are every hundredth vector."""
+    return _nearest(spark, sf, 10).groupBy((F.col("chunk") % 4).alias("layout")).agg(F.count("*").alias("n"))
 
 
 def page_distribution(spark, sf) -> DataFrame:
@@ -477,7 +475,7 @@ SQL = {
  l AS (SELECT page, box_id, (x * 7 + y * 3 + page) % 5 % 4 AS label, count(*) AS n FROM q JOIN xy ON x >= a0 AND x < a1 AND y >= b0 AND y < b1 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page, box_id ORDER BY n DESC, label) AS r FROM l WHERE label <> 0)
  SELECT q.page, q.box_id, coalesce(label, 0)::BIGINT AS label FROM q LEFT JOIN r ON r.page = q.page AND r.box_id = q.box_id AND r = 1""",
     "failures": "SELECT count(*) AS n, count(*) FILTER (quality IS NULL) AS failed, round(avg((quality IS NULL)::INT), 6) AS rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "retrieved_labels": "SELECT vec_id % 4 AS layout, count(*) AS n FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings) WHERE r <= 10 GROUP BY 1",
+    "retrieved_labels": SQL_SIM.format(k=10) + " SELECT chunk % 4 AS layout, count(*) AS n FROM s GROUP BY 1",
     "page_distribution": "SELECT pages, count(*) AS samples FROM (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1) GROUP BY 1",
     "distinct_documents": "SELECT DISTINCT conv_id % 37 AS document FROM conversations",
     "topk_patches": f"""WITH f AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY label), s AS (SELECT e.label, e.vec_id % 5 AS page, e.vec_id // 5 AS row, {_DOT.format(a='q.embedding', b='e.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='e.embedding', b='e.embedding')})) AS sim FROM embeddings e JOIN f ON e.label = f.label AND e.vec_id <> f.id JOIN embeddings q ON q.vec_id = f.id)
