@@ -60,9 +60,14 @@ def surroundings(centres: DataFrame, grow: int | tuple[int, int]) -> DataFrame:
         full, step = divmod(grow, 3)
         reach = range(-full - 1, full + 2)
         near = [(r, c) for r in reach for c in reach if max(abs(r), abs(c)) <= full or (step and abs(r) <= full) or (step == 2 and abs(c) <= full)]
-    offset = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in near))).alias("o")
-    at = centres.select("grid", "row", "col", "rows", "cols", offset).select("grid", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "rows", "cols")
-    return at.filter("row >= 0 AND row < rows AND col >= 0 AND col < cols").select("grid", "row", "col").distinct()
+    # A grid's centres come together before they are grown: what they grow to is made distinct grid by grid, not in one table.
+    offsets = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in near))
+    held = centres.groupBy("grid").agg(F.collect_set(F.struct("row", "col", "rows", "cols")).alias("c"))
+    patch = lambda c, o: F.struct((c["row"] + o["r"]).alias("row"), (c["col"] + o["c"]).alias("col"), c["rows"].alias("rows"), c["cols"].alias("cols"))
+    inside = lambda p: (p["row"] >= 0) & (p["row"] < p["rows"]) & (p["col"] >= 0) & (p["col"] < p["cols"])
+    grown = F.flatten(F.transform("c", lambda c: F.filter(F.transform(offsets, lambda o: patch(c, o)), inside)))
+    places = F.array_distinct(F.transform(grown, lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col"))))
+    return held.select("grid", F.explode(places).alias("p")).select("grid", "p.row", "p.col")
 
 
 def divide_regions(regions: DataFrame, patch: int, text_label: int = 1) -> DataFrame:

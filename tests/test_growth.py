@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import vectors as V
+from folioscan.operators import assembly as A
 from folioscan.operators import clustering as K
 from folioscan.operators import layout as L
 
@@ -74,3 +75,24 @@ def test_suppress(spark):
                 kept.append(box)
                 want.add((page, b))
     assert got == want
+
+
+def test_surroundings_grow_grid_by_grid(spark):
+    """Patches are made distinct within a grid, so no table holds all of them."""
+    rng = random.Random(4)
+    centres = [(g, rng.randrange(4), rng.randrange(5), 4, 5) for g in range(30) for _ in range(rng.randrange(1, 9))]
+    grown = A.surroundings(spark.createDataFrame(centres, "grid long, row int, col int, rows int, cols int"), (1, 2))
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the plan is told from its end
+    want = {(g, r + i, c + j) for g, r, c, n, m in centres for i in range(-2, 3) for j in range(-1, 2) if 0 <= r + i < n and 0 <= c + j < m}
+    rows = [tuple(r) for r in grown.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_images_of_one_name(spark):
+    """The images of one name are dealt to many tasks."""
+    images = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("img"), F.floor(F.col("id") / 399)).alias("image_name"))
+    boxes = spark.createDataFrame([("img0", b) for b in range(7)] + [("img2", 9)], "image_name string, box_id long")
+    rows = L.boxes_of_images(images, boxes, "image_name", F.col("page_id")).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["page_id"], r["box_id"]) for r in rows} == {(i, b) for i in range(399) for b in range(7)} and len(rows) == 399 * 7
+    assert len({r["task"] for r in rows}) > 4
