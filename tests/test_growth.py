@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,28 @@ def test_images_of_one_name(spark):
     rows = L.boxes_of_images(images, boxes, "image_name", F.col("page_id")).withColumn("task", F.spark_partition_id()).collect()
     assert {(r["page_id"], r["box_id"]) for r in rows} == {(i, b) for i in range(399) for b in range(7)} and len(rows) == 399 * 7
     assert len({r["task"] for r in rows}) > 4
+
+
+def test_edges_by_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    kind = "struct<x0: double, y0: double, x1: double, y1: double>"
+    nodes = [(p, b, (rng.random(), rng.random(), rng.random() + 1, rng.random() + 1), [rng.gauss(0, 1) for _ in range(4)] if b % 7 else None) for p in range(3) for b in range(p * 100, p * 100 + 40 - p * 15)]
+    monkeypatch.setattr(L, "BLOCK", 8)
+    frame = spark.createDataFrame(nodes, f"page long, box_id long, box {kind}, v array<double>")
+    rows = {(r["page"], r["a"], r["b"]): r["weight"] for r in L.edges(frame, "v").collect()}
+    held = [(p, b, x, [c / math.hypot(*v) for c in v]) for p, b, x, v in nodes if v]
+    near = lambda x, y: 1 / (1 + math.hypot((x[0] + x[2] - y[0] - y[2]) / 2, (x[1] + x[3] - y[1] - y[3]) / 2))
+    want = {(p, a, b): (near(x, y) + sum(map(float.__mul__, u, v))) / 2 for p, a, x, u in held for q, b, y, v in held if p == q and a < b}
+    assert rows == pytest.approx(want) and len(rows) == len(want)
+
+
+def test_spectrum_of_many_boxes(monkeypatch):
+    """The spectrum and the groups are those of the whole matrix, of which only some rows are held."""
+    rng = np.random.default_rng(3)
+    corner = rng.random((500, 2))
+    boxes, vectors = np.concatenate([corner, corner + rng.random((500, 2)) / 4], 1), rng.standard_normal((500, 16))
+    for v in (None, vectors):
+        assert np.abs(K.far_spectrum(boxes, v, 10) - K.spectrum(K.affinity(boxes, v), 10)).max() < 1e-8
+    whole = K.group_boxes(boxes)
+    monkeypatch.setattr(K, "WHOLE", 100)
+    assert (K.group_boxes(boxes) == whole).all()
