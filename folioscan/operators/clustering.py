@@ -11,14 +11,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def affinity(boxes: np.ndarray, vectors: np.ndarray | None = None) -> np.ndarray:
-    """1 / (1 + distance of centres); with vectors the mean of that and their cosine."""
+#: Boxes beyond which a page's affinity isn't held whole, its rows that are then held, and spaces that its spectrum is sought in.
+WHOLE, ROWS, SPACES = 1_500, 256, 40
+
+
+def affinity(boxes: np.ndarray, vectors: np.ndarray | None = None, rows: slice = slice(None)) -> np.ndarray:
+    """1 / (1 + distance of centres); with vectors the mean of that and their cosine. `rows` of it alone, if given."""
     centre = np.stack([boxes[:, [0, 2]].mean(1), boxes[:, [1, 3]].mean(1)], 1)
-    near = 1 / (1 + np.linalg.norm(centre[:, None] - centre[None], axis=2))
+    near = 1 / (1 + np.linalg.norm(centre[rows, None] - centre[None], axis=2))
     if vectors is None:
         return near
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return (near + unit @ unit.T) / 2
+    return (near + unit[rows] @ unit.T) / 2
+
+
+def far_spectrum(boxes: np.ndarray, vectors: np.ndarray | None, most: int) -> np.ndarray:
+    """`spectrum` of the affinity of many boxes, of which ROWS rows are held at a time: spaces of powers, each with what the
+    ones before it leave, until the vectors wanted are the matrix's own to the last digits but few."""
+    n = len(boxes)
+
+    def applied(q: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        return np.concatenate([scale[k : k + ROWS, None] * (affinity(boxes, vectors, slice(k, k + ROWS)) @ (scale[:, None] * q)) for k in range(0, n, ROWS)])
+
+    weight = applied(np.ones((n, 1)), np.ones(n))[:, 0]
+    scale = 1 / (np.sqrt(np.maximum(weight, 0)) + 1e-10)
+    new = np.linalg.qr(np.concatenate([np.sqrt(np.maximum(weight, 0))[:, None], np.random.default_rng(0).standard_normal((n, 2 * most))], 1))[0]
+    base, image = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(SPACES):
+        image_new = applied(new, scale)
+        base, image = np.concatenate([base, new], 1), np.concatenate([image, image_new], 1)
+        value, turn = np.linalg.eigh(base.T @ image)
+        turn, value = turn[:, ::-1][:, :most], value[::-1][:most]
+        found = base @ turn
+        if np.linalg.norm(image @ turn - found * value, axis=0).max() < 1e-11:
+            break
+        new = image_new
+        for _ in range(2):  # twice is enough to be orthogonal to all before
+            new = np.linalg.qr(new - base @ (base.T @ new))[0]
+    return found * np.where(found[np.abs(found).argmax(0), np.arange(most)] < 0, -1, 1)
 
 
 def spectrum(weights: np.ndarray, most: int) -> np.ndarray:
@@ -52,11 +82,15 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     groups = np.unique(labels)
     if len(groups) < 2:
         return -1.0
-    apart = np.linalg.norm(points[:, None] - points[None], axis=2)
-    sums = np.stack([apart[:, labels == g].sum(1) for g in groups], 1)
     sizes = np.array([(labels == g).sum() for g in groups])
     own = np.searchsorted(groups, labels)
     i = np.arange(len(points))
+    inside = [labels == g for g in groups]
+    sums = []
+    for k in range(0, len(points), ROWS):  # some rows of the distances at a time
+        apart = np.linalg.norm(points[k : k + ROWS, None] - points[None], axis=2)
+        sums.append(np.stack([apart[:, g].sum(1) for g in inside], 1))
+    sums = np.concatenate(sums)
     a = sums[i, own] / np.maximum(sizes[own] - 1, 1)
     means = sums / sizes
     means[i, own] = np.inf
@@ -76,7 +110,7 @@ def group_boxes(boxes: np.ndarray, vectors: np.ndarray | None = None, most: int
     n = len(boxes)
     if n < 3:
         return np.full(n, -1)
-    points = spectrum(affinity(boxes, vectors), most)
+    points = spectrum(affinity(boxes, vectors), most) if n <= WHOLE else far_spectrum(boxes, vectors, most)
     tried = {k: k_means(points[:, :k] if how == "best" else points, k) for k in range(2, min(most, n - 1) + 1)}
     k = max(tried, key=lambda k: round(silhouette(points, tried[k]), 9))  # the smallest k of equal ones
     best = tried[k] if how == "best" else k_means(points[:, :k], k)
@@ -99,7 +133,9 @@ def clusters(boxes: DataFrame, vector: str | None = None, most: int = 10, how: s
         return pd.DataFrame({"page": rows["page"], "box_id": rows["box_id"], "cluster": found.astype("int64")})
 
     flat = boxes.select("page", "box_id", "box.*", *([] if vector is None else [F.col(vector).alias("v")]))
-    return flat.groupBy("page").applyInPandas(one, "page long, box_id long, cluster long")
+    # A page takes far longer than its bytes tell, so tasks aren't put together.
+    tasks = max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * boxes.sparkSession.sparkContext.defaultParallelism)
+    return flat.repartition(tasks, "page").groupBy("page").applyInPandas(one, "page long, box_id long, cluster long")
 
 
 def split_by_budget(rows: DataFrame, by: list[str], order: str, tokens: str, budget: int) -> DataFrame:
