@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as G
 from folioscan.functions import vectors as V
-from folioscan.functions.similarity import chunk_score, window_score
+from folioscan.functions.similarity import best_window_score, chunk_score
 from folioscan.operators import chunking as C
 from folioscan.operators import clustering as K
 from folioscan.operators import histograms as H
@@ -192,10 +192,13 @@ def chunk_scores(spark, sf) -> DataFrame:
     """How well the pages of a conversation's other roles hold each user turn, which is the answer that is looked for."""
     rows = pages(spark, sf).select("doc_id", "page_idx", "role", F.array_join("words", " ").alias("text"))
     asked = rows.filter("role = 'user'").select("doc_id", F.col("page_idx").alias("turn"), F.col("text").alias("part"))
-    held = rows.filter("role <> 'user'").select("doc_id", F.col("text").alias("chunk"))
-    # A pair takes long for its few bytes, so pairs are dealt out by their number, a long conversation's too.
+    # A turn meets some pages at a time, so that what one page has needn't be looked for below that in the next.
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx"))
+    held = rows.filter("role <> 'user'").select("doc_id", "text", F.floor((nth - 1) / 16).alias("some"))
+    held = held.groupBy("doc_id", "some").agg(F.collect_list("text").alias("chunks"))
+    # Comparing takes long for its few bytes, so it is dealt out by number, a long conversation's too.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    scored = asked.join(held, "doc_id").repartition(tasks).withColumn("s", window_score(F.col("chunk"), F.col("part")))
+    scored = asked.join(held, "doc_id").repartition(tasks).withColumn("s", best_window_score(F.col("chunks"), F.col("part")))
     return scored.groupBy("doc_id", "turn").agg(F.round(chunk_score(F.max("s")), 6).alias("chunk_score"))
 
 

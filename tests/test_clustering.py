@@ -118,3 +118,25 @@ def test_running_means(spark, tmp_path):
     last = spark.read.parquet(f"{tmp_path}/out")
     last = last.filter(F.col("batch") == last.agg(F.max("batch")).first()[0]).collect()
     assert {(r.k, r.n, r.s) for r in last} == {("a", 3, 0.5), ("b", 1, 1.0)}
+
+
+def test_window_ratio_of_many_texts(monkeypatch):
+    """What one text has is kept while the others are read; no stretch reaches from one text into the next."""
+    rng = random.Random(11)
+    monkeypatch.setattr(similarity, "STEP", 300)
+    for n in (2, 60, 210):
+        part = "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+        texts = ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(2 * n + 40))) for _ in range(6)] + [part[n // 2 :], part[: n // 2], ""]
+        assert window_ratio(texts, part) == pytest.approx(max(plain_ratio(t, part) for t in texts))
+        assert window_ratio([*texts, "x" + part], part) == 1.0
+
+
+def test_window_ratio_takes_less_than_all_rectangles(monkeypatch):
+    """Stretches side by side share their blocks: the rectangles looked at are far fewer than those of all stretches."""
+    seen = []
+    distinct = similarity.Shorts._distinct
+    monkeypatch.setattr(similarity.Shorts, "_distinct", staticmethod(lambda r: seen.append(len(r[0])) or distinct(r)))
+    rng = random.Random(3)
+    part, text = ("".join(rng.choice(["th", "er", "on", "an", "re", " ", "he"]) for _ in range(n)) for n in (90, 1200))
+    window_ratio(text, part)
+    assert 0 < sum(seen) < 12 * (len(text) - len(part))
