@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscan.functions import vectors as V
 from folioscan.operators import chunking as C
 from folioscan.operators import models as M
 from folioscan.operators import ranking as R
 
 MODES = ("oracle", "concat", "maxconf", "anyconf", "maxconfpage", "anyconfpage", "anyconforacle", "majorpage", "weightmajorpage", "custom", "none", "whole")
 
+#: Pages of a document, and chunks of a page, whose vectors a task holds together; similarities and results that it holds at a time.
+PAGES, CHUNKS, CELLS, ROWS = 64, 256, 1_000_000, 2_000
+#: What retrieval tells of a question and of a chunk.
+_KEPT = (["question_id", "question"], ["doc_id", "page_idx", "chunk_id", "words"])
+
 
 @dataclass(frozen=True)
 class Rerank:
@@ -29,16 +36,67 @@ class Rerank:
 def retrieve(questions: DataFrame, pages: DataFrame, k: int, rule: C.ChunkRule, embedder: Callable[[], M.Embedder], gold: bool = False) -> DataFrame:
     """question_id, question, doc_id, page_idx, chunk_id, words, sim, rank: the k best chunks with words of each question's document.
 
-    With gold, only chunks of the question's own gold_page are candidates.
+    With gold, only chunks of the question's own gold_page are candidates. Vectors meet as matrices: the chunks of some pages of
+    a document stand still, and its questions pass by them.
     """
     text = F.array_join("words", " ")
     chunks = C.chunks(pages.select("doc_id", "page_idx", "words"), rule).filter(F.size("words") > 0)
-    chunks = chunks.select("doc_id", "page_idx", "chunk_id", "words", M.embedding(text, embedder).alias("cv"))
-    keys = ["doc_id", "page_idx"] if gold else ["doc_id"]
+    chunks = chunks.select("doc_id", "page_idx", "chunk_id", "words", F.floor(F.col("page_idx") / PAGES).alias("some"), F.floor(F.col("chunk_id") / CHUNKS).alias("part"), M.embedding(text, embedder).alias("vector"))
+    of = [*(["doc_id", "page_idx"] if gold else ["doc_id"]), "some", "part"]
     page = [F.col("gold_page").alias("page_idx")] if gold else []
-    asked = questions.select("question_id", "doc_id", *page, "question", M.embedding(F.col("question"), embedder).alias("qv"))
-    scored = asked.join(chunks, keys).withColumn("sim", V.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv")
-    return R.top_k(scored, ["question_id"], "sim", ["page_idx", "chunk_id"], k)
+    asked = questions.select("question_id", "doc_id", *page, "question", M.embedding(F.col("question"), embedder).alias("vector"))
+    asked = asked.join(chunks.select(*of).distinct(), of[:-2]).withColumn("asks", F.lit(1))
+    rows = chunks.withColumn("asks", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    group = Window.partitionBy(*of).orderBy("asks")
+    rows = rows.withColumn("first", F.row_number().over(group) == 1).select("first", "asks", "question_id", "question", "doc_id", "page_idx", "chunk_id", "words", "vector")
+    out = T.StructType([rows.schema[c] for c in _KEPT[0] + _KEPT[1]] + [T.StructField("sim", T.DoubleType())])
+    found = rows.mapInArrow(_best_chunks(k), out)
+    return R.top_k(found, ["question_id"], "sim", ["page_idx", "chunk_id"], k)
+
+
+def _best_chunks(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best chunks of each question in each group of rows: its chunks come first and are held, its questions pass by."""
+
+    def scored(block: pa.Table, vectors: np.ndarray, norms: np.ndarray, asking: pa.RecordBatch) -> pa.Table:
+        q = _matrix(asking.column("vector"))
+        near = q @ vectors.T / (np.sqrt((q**2).sum(1))[:, None] * norms + 1e-8)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :k]  # chunks stand in the order of ties
+        at = pa.array(np.repeat(np.arange(len(q)), best.shape[1]))
+        told = [asking.column(c).take(at) for c in _KEPT[0]] + [block.column(c).take(pa.array(best.ravel())) for c in _KEPT[1]]
+        return pa.table([*told, pa.array(np.take_along_axis(near, best, 1).ravel())], [*_KEPT[0], *_KEPT[1], "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, out = [], None, []
+        for batch in batches:
+            first, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "asks"))
+            cuts = np.flatnonzero(first | (np.diff(asks, prepend=asks[:1]) != 0))
+            cuts = [0, *cuts[cuts > 0].tolist(), len(asks)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if first[s]:
+                    held, block = [], None
+                if not asks[s]:
+                    held.append(batch.slice(s, e - s))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = pa.Table.from_batches(held).sort_by([("page_idx", "ascending"), ("chunk_id", "ascending")]).combine_chunks()
+                    vectors = _matrix(block.column("vector").combine_chunks())
+                    norms = np.sqrt((vectors**2).sum(1))
+                step = max(1, CELLS // len(vectors))
+                for at in range(s, e, step):
+                    out.append(scored(block, vectors, norms, batch.slice(at, min(step, e - at))))
+                    if sum(map(len, out)) >= ROWS:
+                        yield from pa.concat_tables(out).combine_chunks().to_batches()
+                        out = []
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return run
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def reranked(best: DataFrame, how: Rerank) -> DataFrame:

@@ -86,3 +86,29 @@ def test_writers(spark, tmp_path):
     sinks.write_pairs(spark.createDataFrame([("a", "b"), ("c", None)], "anchor string, positive string"), str(tmp_path / "p"))
     back = spark.read.parquet(str(tmp_path / "p"))
     assert back.columns == ["id", "anchor", "positive"] and back.select("id").distinct().count() == 2
+
+
+def test_retrieve_over_blocks_of_pages(spark):
+    """The best chunks of all blocks of a document's pages, in the order of the cosine; no pair of question and chunk is a row."""
+    import random
+
+    import numpy as np
+    from folioscan.operators import chunking as C
+    from folioscan.operators import models as M
+    from folioscan.plans import answering as A
+
+    rng = random.Random(2)
+    say = lambda n: [rng.choice("red green blue one two three four five".split()) for _ in range(n)]
+    held = [(d, p, say(rng.randrange(1, 9))) for d in (1, 2) for p in range(90)]
+    asked = [(f"{d}:{i}", d, " ".join(say(3))) for d in (1, 2, 3) for i in range(4)]
+    found = A.retrieve(spark.createDataFrame(asked, "question_id string, doc_id long, question string"), spark.createDataFrame(held, "doc_id long, page_idx long, words array<string>"), 5, C.ChunkRule(), M.HashedTerms)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "MapInArrow" in plan
+    got = {(r.question_id, r.rank): (r.page_idx, r.words, round(r.sim, 9)) for r in found.collect()}
+    embed = M.HashedTerms().embed
+    want = {}
+    for name, d, text in asked:
+        q = embed([text])[0]
+        own = [(float(q @ v / (np.sqrt(q @ q) * np.sqrt(v @ v) + 1e-8)), p, w) for e, p, w in held if e == d for v in (embed([" ".join(w)])[0],)]
+        for rank, (sim, p, w) in enumerate(sorted(own, key=lambda x: (-x[0], x[1]))[:5], 1):
+            want[name, rank] = (p, w, round(sim, 9))
+    assert got == want
