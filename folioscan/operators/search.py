@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block at most, which a task holds, and at least, if there are tasks to spare.
-MOST, LEAST = 100_000, 500
+MOST, LEAST = 25_000, 500
 #: Similarities that a task holds at a time.
-CELLS = 4_000_000
+CELLS = 500_000
 #: Decimals of a similarity by which vectors are ranked: sums in other orders differ further behind.
 DECIMALS = 9
 
@@ -52,15 +52,17 @@ def _passed(queries: DataFrame, corpus: DataFrame, tell: Callable[[], _Told], sc
                 continue
             if block is None:
                 block = np.concatenate(vectors)
-                own, group, norms = np.concatenate(ids), np.concatenate(parts), np.sqrt((block**2).sum(1))
                 vectors = []
+                own, group, norms = np.concatenate(ids), np.concatenate(parts), np.sqrt(np.einsum("ij,ij->i", block, block))
             asking = batch.slice(first)
             q, names = _matrix(asking.column("vector")), asking.column("id").to_numpy()
             step = max(1, CELLS // len(block))
             for k in range(0, len(q), step):
                 part = q[k : k + step]
-                near = part @ block.T / (np.sqrt((part**2).sum(1))[:, None] * norms + 1e-8)
-                yield told(names[k : k + step], own, group, np.round(near, DECIMALS))
+                near, over = part @ block.T, np.sqrt((part**2).sum(1))[:, None] * norms
+                over += 1e-8
+                near /= over
+                yield told(names[k : k + step], own, group, np.round(near, DECIMALS, out=near))
 
     rows = held.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("query")
     return rows.select("query", "id", "part", "vector").mapInArrow(run, schema)

@@ -3,7 +3,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.operators import search
 
@@ -44,3 +46,17 @@ def test_search(spark, monkeypatch, vectors, least, cells):
     got = {(r["question"], r["part"]): r["sim"] for r in search.best_of_parts(asked, e).collect()}
     assert got.keys() == best.keys() and all(abs(got[x] - best[x]) < 2e-9 for x in best)
     assert search.nearest(asked, e.filter("id < 0").select("id", "vector"), 3).count() == 0
+
+
+def test_a_task_holds_little(spark):
+    """Similarities and the block of a task stay small, whatever the corpus, and blocks are as many as that takes."""
+    assert search.CELLS * 8 * 2 <= 10 << 20 and search.MOST * 64 * 8 <= 16 << 20
+    rows = spark.range(60_000).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3), F.sin(F.col("id") * 7)).alias("vector"))
+    found = search.nearest(rows.filter("id % 20000 = 7"), rows, 3)
+    assert "+- MapInArrow" in found._jdf.queryExecution().toString()
+    v = np.array([[math.sin(i), math.cos(i * 3), math.sin(i * 7)] for i in range(60_000)])
+    got = {(r.question, r["rank"]): round(r.sim, 8) for r in found.collect()}
+    for q in (7, 20_007, 40_007):
+        sims = v @ v[q] / (np.sqrt((v**2).sum(1)) * np.sqrt(v[q] @ v[q]) + 1e-8)
+        sims[q] = -2
+        assert [got[q, r] for r in (1, 2, 3)] == pytest.approx(np.sort(sims)[::-1][:3].tolist(), abs=2e-8)
