@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Masks that a task reads, and regions that it tells, at a time.
+MASKS, REGIONS = 64, 20_000
+
 
 def regions(mask: np.ndarray, least: int = 4) -> np.ndarray:
     """x0, y0, x1, y1, n of each region of touching true pixels (corners touch too) of at least `least` pixels, from the top.
@@ -45,20 +48,30 @@ def mask_regions(masks: DataFrame, key: str, least: int = 4) -> DataFrame:
     """key, region, x0, y0, x1, y1, n of the regions of each mask (key, width, mask: a byte for each pixel, row by row); a row
     that the mask doesn't fill is false behind its end. Null and empty masks have no regions."""
 
+    def told(batch: pa.RecordBatch, at: list[np.ndarray], found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        return pa.record_batch([batch.column(key).take(pa.array(np.concatenate(at))), *(pa.array(c) for c in rows.T.copy())], [key, "region", "x0", "y0", "x1", "y1", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
-            for i, (width, mask) in enumerate(zip(batch.column("width").to_pylist(), batch.column("mask").to_pylist(), strict=True)):
-                flat = np.frombuffer(mask or b"", np.uint8)
-                if not width or not len(flat):
-                    continue
-                grid = np.zeros(-(-len(flat) // width) * width, bool)
-                grid[: len(flat)] = flat > 0
-                own = regions(grid.reshape(-1, width), least)
-                at += [i] * len(own)
-                found.append(np.concatenate([np.arange(len(own))[:, None], own], 1))
-            rows = np.concatenate(found or [np.zeros((0, 6), np.int64)])
-            yield pa.record_batch([batch.column(key).take(pa.array(at, pa.int64())), *(pa.array(c) for c in rows.T.copy())], [key, "region", "x0", "y0", "x1", "y1", "n"])
+            at, found, n = [], [], 0
+            for first in range(0, batch.num_rows, MASKS):
+                some = batch.slice(first, MASKS)
+                for i, (width, mask) in enumerate(zip(some.column("width").to_pylist(), some.column("mask").to_pylist(), strict=True), first):
+                    flat = np.frombuffer(mask or b"", np.uint8)
+                    if not width or not len(flat):
+                        continue
+                    grid = np.zeros(-(-len(flat) // width) * width, bool)
+                    grid[: len(flat)] = flat > 0
+                    own = regions(grid.reshape(-1, width), least)
+                    at.append(np.full(len(own), i))
+                    found.append(np.concatenate([np.arange(len(own))[:, None], own], 1))
+                    n += len(own)
+                    if n >= REGIONS:
+                        yield told(batch, at, found)
+                        at, found, n = [], [], 0
+            if n:
+                yield told(batch, at, found)
 
     kind = masks.schema[key].dataType.simpleString()
     return masks.select(key, "width", "mask").mapInArrow(run, f"`{key}` {kind}, region long, x0 long, y0 long, x1 long, y1 long, n long")

@@ -64,3 +64,13 @@ def test_query(spark, tmp_path):
         seen = [c not in b"abcdefghijklmnopqrstuvwxyz \t\n" for c in (html or "").encode()]
         flat = np.array(seen + [False] * (-len(seen) % 40), bool).reshape(-1, 40)
         assert got.get(page, []) == flooded(flat, 4)
+
+
+def test_regions_are_told_some_at_a_time(spark, monkeypatch):
+    """Masks are read and regions told in parts; none is lost or numbered anew where a part ends."""
+    monkeypatch.setattr(K, "MASKS", 3)
+    monkeypatch.setattr(K, "REGIONS", 5)
+    line = lambda n: b"\1\1\0" * n
+    rows = [(i, 3 * i if i else None, line(i) if i % 4 else b"") for i in range(40)]
+    found = K.mask_regions(spark.createDataFrame(rows, "page long, width int, mask binary").coalesce(1), "page", 2).collect()
+    assert sorted((r.page, r.region, r.x0, r.x1) for r in found) == [(i, k, 3 * k, 3 * k + 2) for i in range(40) if i % 4 for k in range(i)]
