@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Code points of the strings in one automaton: what the driver and each task hold at a time. A longer string has its own.
 BLOCK = 200_000
-#: Code points that a task reads in step, and those of one stretch of a text.
-BATCH, STRETCH = 4 << 20, 4096
+#: Code points that a task reads in step, and those of one stretch of a text; texts that it holds at a time.
+BATCH, STRETCH, TEXTS = 2 << 20, 4096, 1024
 
 
 def code_points(text: str) -> np.ndarray:
@@ -123,7 +123,7 @@ def _spans(docs: DataFrame, key: str, strings: list[str], ids: list[list[int]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings, ids = given.value
         automaton = Automaton(strings)
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             texts, best = [t or "" for t in batch.column("text").to_pylist()], {}
             for group in pieces(texts, int(automaton.sizes.max()) - 1):
                 for p, s, start in zip(*(x.tolist() for x in automaton.first([x[2] for x in group])), strict=True):

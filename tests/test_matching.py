@@ -55,3 +55,14 @@ def test_a_long_text_in_pieces(monkeypatch):
         for p, _, at in zip(*(x.tolist() for x in found.first([x[2] for x in group])), strict=True):
             best.setdefault(group[p][0], group[p][1] + at)
     assert best == {0: 500, 1: 6}
+
+
+def test_texts_are_held_some_at_a_time(spark, monkeypatch):
+    from folioscan.operators import matching
+
+    monkeypatch.setattr(matching, "TEXTS", 3)
+    texts = [None if i % 7 == 0 else "x" * i + "needle" * (i % 3) + "pin" * (i % 2) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "needle"), (2, "pin")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start for r in matching.first_spans(docs, items).collect()}
+    assert got == {(i, k): (t or "").find(w) for i, t in enumerate(texts) for k, w in ((1, "needle"), (2, "pin")) if w in (t or "")}
