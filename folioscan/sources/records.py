@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ BOXES = "array<array<array<double>>>"
 PAGED = f"question_id string, question string, answers array<string>, answer_page_idx int, image_id string, image_name array<string>, ocr_tokens array<array<string>>, ocr_normalized_boxes {BOXES}"
 INFOGRAPHIC = "data array<struct<questionId:string, question:string, answers:array<string>, ocr_output_file:string, image_local_name:string>>"
 OCR = "LINE array<struct<Text:string>>, WORD array<struct<Text:string, Geometry:struct<Polygon:array<struct<X:double,Y:double>>, BoundingBox:struct<Left:double,Top:double,Width:double,Height:double>>>>"
+#: Words that travel to the JVM together.
+WORDS = 20_000
 LONG = "id string, question string, answer string, doc_id string, doc_type string, evidence_pages string, evidence_sources string, answer_format string"
 
 
@@ -167,6 +170,8 @@ def document_words(spark: SparkSession, path: str, parser: Parser, errors: bool
     parser makes, in each task, a function from a file's bytes to (page, line, place, character, left, bottom, right, top, page's
     width, page's height), with the origin at the lower left, as page description formats have it. Words end at blanks; boxes are
     shares of the page with the origin at the upper left, cut off at its edges. A document is parsed once, whatever asks for it.
+    If parser has a function `words` (as `pdf.parser` has), which gives the number and the words of each page of a file, words are
+    made in the task that reads the file; characters of other parsers may come in any order, are rows and meet by page and line.
     With `errors`, a file that can't be parsed to its end gives what was found and a row with a message in `error`; without, it
     ends the job.
     """
@@ -178,8 +183,50 @@ def pdf_words(spark: SparkSession, path: str) -> DataFrame:
     return document_words(spark, path, pdf.parser, errors=True)
 
 
+def _whole_words(files: DataFrame, words: Callable[[bytes], Iterator[tuple[int, tuple[list, ...]]]], errors: bool) -> DataFrame:
+    """`words_of_files` for a parser that gives words itself. files: document, content."""
+    kinds = {"document": "string", "page": "int", "line": "int", "first": "int", "word": "string", "x0": "double", "y0": "double", "x1": "double", "y1": "double", "error": "string"}
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def told(held: list[list]) -> Iterator[pa.RecordBatch]:
+        batch = pa.record_batch([pa.array(x, types[k]) for x, k in zip(held, kinds.values(), strict=True)], list(kinds))
+        return (batch.slice(at, WORDS) for at in range(0, batch.num_rows, WORDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in kinds]
+        for document, content in ((d.as_py(), c.as_py()) for b in batches for d, c in zip(b.column("document"), b.column("content"), strict=True)):
+            found = words(content)
+            while True:
+                page = error = None
+                try:
+                    page = next(found, None)
+                except Exception as e:  # whatever a file holds, the others are read
+                    if not errors:
+                        raise
+                    error = f"{type(e).__name__}: {e}"
+                if page is None and error is None:
+                    break
+                number, columns = page or (None, [[None]] * 7)
+                n = len(columns[0])
+                for x, own in zip(held, ([document] * n, [number] * n, *columns, [error] * n), strict=True):
+                    x += own
+                if len(held[0]) >= WORDS:
+                    yield from told(held)
+                    held = [[] for _ in kinds]
+                if error:
+                    break
+        yield from told(held)
+
+    rows = files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    box = F.when(F.col("x0").isNotNull(), G.clip(G.box(*map(F.col, ("x0", "y0", "x1", "y1")))))
+    return rows.select("document", "page", "line", "first", "word", box.alias("box"), *(["error"] if errors else []))
+
+
 def words_of_files(files: DataFrame, parser: Parser, errors: bool = False) -> DataFrame:
     """The same of the rows of files (path, content)."""
+    document = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("document")
+    if words := getattr(parser, "words", None):
+        return _whole_words(files.select(document, "content"), words, errors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, names = parser(), ["path", "page", "line", "pos", "char", "l", "b", "r", "t", "w", "h"]
@@ -204,7 +251,6 @@ def words_of_files(files: DataFrame, parser: Parser, errors: bool = False) -> Da
     schema = "path string, page int, line int, pos int, char string, l double, b double, r double, t double, w double, h double, error string"
     chars = files.select("path", "content").mapInPandas(run, schema)
     box = G.clip(G.box(F.col("l") / F.col("w"), 1 - F.col("t") / F.col("h"), F.col("r") / F.col("w"), 1 - F.col("b") / F.col("h")))
-    document = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("document")
     if not errors:
         placed = chars.select(F.struct(document, "page").alias("page"), "line", "pos", "char", box.alias("box"))
         return words_of_chars(placed).select("page.document", "page.page", "line", "first", "word", "box")
