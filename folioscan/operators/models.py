@@ -65,10 +65,12 @@ class BestSentence:
     """The first of the sentences that share most words with the question; the share is the confidence."""
 
     def answer(self, questions: list[str], contexts: list[str]) -> list[tuple[str, float]]:
-        out = []
+        out, last, asked = [], None, set()
         for q, c in zip(questions, contexts, strict=True):
+            if q != last:
+                last, asked = q, set(WORD.findall(q.lower()))
             parts = [p.strip() for p in re.split(r"(?<=[.!?])\s", c) if p.strip()] or [""]
-            scores = SharedWords().score([(q, p) for p in parts])
+            scores = [len(asked.intersection(WORD.findall(p.lower()))) / len(asked) if asked else 0.0 for p in parts]
             best = max(range(len(parts)), key=scores.__getitem__)
             out.append((parts[best], scores[best]))
         return out
